@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from . import catalogue
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+for _module in (catalogue,):
+    QUERIES |= _module.QUERIES
+    ORACLE_SQL |= _module.ORACLE_SQL
