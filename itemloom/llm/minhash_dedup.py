@@ -4,8 +4,8 @@ large-star and small-star.
 Documents with the same shingle set form a class, and only one of a class is compared, so a group of thousands of copies
 costs one row. Within a bucket of a band, members are compared with two pivots (the member that shares most buckets, and
 the smallest), not with one another. What then still lies in different components of one bucket is compared block by
-block on signatures, and only pairs that may reach the threshold leave the block. A pair at the threshold misses all
-bands with probability (1 - 0.85**5)**24 < 1e-6; the estimate's margin is four standard deviations.
+block on longer sketches, and only pairs that may reach the threshold leave the block. A pair at the threshold misses
+all bands with probability (1 - 0.85**5)**24 < 1e-6; the margins of both estimates are four standard deviations.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ N_HASHES = BANDS * ROWS
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 85
 MARGIN = 0.13
+#: Minima, a byte of each, in the sketches of documents that share a bucket, and their margin.
+SKETCH, SKETCH_MARGIN = 1024, 0.045
 #: Members of a bucket that are compared with one another in one task.
 BLOCK = 128
 
@@ -33,6 +35,7 @@ _RNG = np.random.default_rng(85)
 _A = _RNG.integers(1, 1 << 63, N_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(1, 1 << 63, N_HASHES, dtype=np.uint64)
 _SEED = _RNG.integers(1, 1 << 63, BANDS, dtype=np.uint64)
+_LONG = _RNG.integers(1, 1 << 63, (2, SKETCH), dtype=np.uint64) | np.uint64(1)
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,9 +95,14 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for rows, data, offsets in text_blocks(batch):
+        for rows, data, offsets in text_blocks(batch, limit=1 << 19):
             hashes, at = shingles(data, offsets)
-            yield pa.RecordBatch.from_pydict({"id": rows.column("id"), "items": pa.array([np.unique(hashes[a:b]).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())})
+            full, sketch = np.flatnonzero(np.diff(at)), np.zeros((rows.num_rows, SKETCH), np.uint8)
+            for p in range(SKETCH if len(full) else 0):
+                least = np.minimum.reduceat(((hashes * _LONG[0, p] + _LONG[1, p]) >> np.uint64(32)).astype(np.uint32), at[full])
+                sketch[full, p] = (least * np.uint32(0x9E3779B1)) >> np.uint32(24)
+            items = [np.unique(hashes[a:b]).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_pydict({"id": rows.column("id"), "items": pa.array(items, pa.binary()), "sketch": pa.array([x.tobytes() for x in sketch], pa.binary())})
 
 
 def _estimated(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
@@ -148,7 +156,7 @@ def _block_pairs(key, table: pa.Table, least: float) -> pa.Table:
     """Pairs of one block pair of a bucket that lie in different components and may reach the threshold."""
     i, j = key[1].as_py(), key[2].as_py()
     ids, comps, part = (table.column(c).to_numpy() for c in ("id", "component", "part"))
-    marks = np.array([np.frombuffer(x, np.uint32) for x in table.column("signature").to_pylist()])
+    marks = np.array([np.frombuffer(x, np.uint8) for x in table.column("sketch").to_pylist()])
     left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
     a, b = [], []
     for x in left:
@@ -186,7 +194,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     pairs = stars.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
 
     active = sized(members.select("id").distinct())
-    wanted = docs.select(F.col("doc_id").alias("id"), "text").join(active, "id", "left_semi").mapInArrow(_sets, "id long, items binary")
+    wanted = docs.select(F.col("doc_id").alias("id"), "text").join(active, "id", "left_semi").mapInArrow(_sets, "id long, items binary, sketch binary")
     sets = stored(wanted, "sets").dropDuplicates(["id"])
 
     def alike(p: DataFrame) -> DataFrame:
@@ -200,12 +208,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # buckets whose members still lie in several components
     placed = members.select("bucket", "id", "n").join(found, "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("component"))
     open_ = placed.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.max("n").alias("n")).where("c1 <> c2 AND n > 2").select("bucket")
-    rest = placed.join(open_, "bucket").join(reps.select("id", "signature"), "id")
+    rest = placed.join(open_, "bucket").join(sets.select("id", "sketch"), "id")
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
     part = F.pmod(F.xxhash64("id"), parts).cast("int")
     dealt = rest.withColumn("part", part).select("*", F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-    dealt = dealt.select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "id", "component", "part", "signature")
-    late = dealt.groupBy("bucket", "i", "j").applyInArrow(lambda k, t: _block_pairs(k, t, least), "a long, b long").distinct()
+    dealt = dealt.select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "id", "component", "part", "sketch")
+    late = dealt.groupBy("bucket", "i", "j").applyInArrow(lambda k, t: _block_pairs(k, t, percent / 100 - SKETCH_MARGIN), "a long, b long").distinct()
     more = stored(confirm(late.join(pairs, ["a", "b"], "left_anti"), sets, percent), "more-links")
     if not more.isEmpty():
         found = stored(components(links.unionByName(more)), "components")
