@@ -62,7 +62,7 @@ def split_row(line: Cols) -> Column:
     """Cells of a row: at tabs if it has one, else at white space; empty cells go."""
     text = F.trim(col(line))
     cells = F.when(F.contains(text, F.lit("\t")), F.split(text, "\t", -1)).otherwise(F.split(text, r"\s+", -1))
-    return F.filter(F.transform(cells, F.trim), lambda x: x != "")
+    return F.filter(F.transform(cells, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def file_time(name: Cols) -> Column:

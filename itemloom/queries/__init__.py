@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import catalogue
+from . import browsing, catalogue, upkeep
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _module in (catalogue,):
+for _module in (catalogue, browsing, upkeep):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
