@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import browsing, catalogue, upkeep
+from . import browsing, catalogue, live, upkeep
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _module in (catalogue, browsing, upkeep):
+for _module in (catalogue, browsing, upkeep, live):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
