@@ -83,7 +83,8 @@ def _repeats(key, table: pa.Table, doc_parts: int) -> pa.Table:
     order = np.argsort(part, kind="stable")
     late, part = late[order], part[order]
     out = {"part": [], "places": []}
-    for a, b in zip(*(lambda c: (c, np.append(c[1:], len(part))))(np.flatnonzero(np.diff(part, prepend=-1))), strict=True):
+    cut = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
+    for a, b in zip(cut[:-1], cut[1:], strict=True):
         own = late[a:b]
         own = own[np.lexsort((pos[own], docs[own]))]
         src = source[own]
