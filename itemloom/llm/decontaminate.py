@@ -74,11 +74,13 @@ class Index:
         self.filter[(self.keys * _ODD) >> np.uint64(64 - _FILTER_BITS)] = True
 
 
-def align(item: np.ndarray, region: np.ndarray) -> tuple[int, int]:
-    """Fewest edits between item and any part of region, and where that part ends; a cell of the band is a diagonal of the region."""
-    m, width = len(item), max(len(region) - len(item), 0)
+def align(item: np.ndarray, region: np.ndarray, edits: int) -> tuple[int, int]:
+    """Fewest edits between item and any part of region, if they are no more than `edits`, and where that part ends.
+
+    A cell of the band is a diagonal of the region, with room for `edits` more on both sides."""
+    m, width = len(item), max(len(region) - len(item), 0) + 2 * edits
     text = np.zeros(m + width, np.uint8)
-    text[: len(region)] = region[: m + width]
+    text[edits : edits + len(region)] = region[: m + width - edits]
     steps = np.arange(width + 1)
     row = np.zeros(width + 1, np.int64)
     for i in range(m):
@@ -86,7 +88,7 @@ def align(item: np.ndarray, region: np.ndarray) -> tuple[int, int]:
         best[:-1] = np.minimum(best[:-1], row[1:] + 1)
         row = np.minimum.accumulate(best - steps) + steps
     t = int(row.argmin())
-    return int(row[t]), m + t
+    return int(row[t]), min(max(m + t - edits, 0), len(region))
 
 
 def _leaks(data: np.ndarray, offsets: np.ndarray, index: Index) -> dict[tuple[int, int], tuple[int, int, int]]:
@@ -118,7 +120,7 @@ def _leaks(data: np.ndarray, offsets: np.ndarray, index: Index) -> dict[tuple[in
         a, z = max(from_ - e, 0), min(from_ + 2 * width + m + e, int(offsets[r + 1] - offsets[r]))
         region = data[offsets[r] + a : offsets[r] + z]
         exact = region.tobytes().find(index.items[i].tobytes())
-        distance, end = (0, exact + m) if exact >= 0 else align(index.items[i], region)
+        distance, end = (0, exact + m) if exact >= 0 else align(index.items[i], region, e)
         before = found.get((r, i), (distance, a + end, 0))
         if distance <= e:
             found[r, i] = (*min(before[:2], (distance, a + end)), before[2] + 1)
