@@ -12,7 +12,6 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
-from pyspark.sql.types import StructType
 
 SCHEMA = "scan bigint, path string, length bigint, mtime_ns bigint"
 
@@ -66,10 +65,10 @@ class ListingSource(DataSource):
     def name(cls) -> str:
         return "listing"
 
-    def schema(self) -> StructType:
-        return StructType.fromDDL(SCHEMA)
+    def schema(self) -> str:
+        return SCHEMA
 
-    def streamReader(self, schema: StructType) -> DataSourceStreamReader:  # noqa: N802
+    def streamReader(self, schema) -> DataSourceStreamReader:  # noqa: N802
         return _ListingStream(self.options)
 
 
