@@ -284,11 +284,11 @@ def tail_n(spark, sf_dir):
 
 
 @query("""
-WITH s AS (SELECT event_id, user_id, value, epoch_ms(ts) / 1000 AS s FROM events),
+WITH s AS (SELECT event_id, user_id, value, epoch_us(ts) / 1e6 AS s FROM events),
 d AS (SELECT event_id, value - lag(value) OVER w AS dv, s - lag(s) OVER w AS ds FROM s WINDOW w AS (PARTITION BY user_id ORDER BY s, event_id))
 SELECT event_id, round(CASE WHEN dv > 0 AND ds > 0 THEN dv / ds ELSE 0 END, 6) AS rate FROM d""")
 def throughput(spark, sf_dir):
-    out = profile.throughput(table(spark, sf_dir, "events"), "value", F.unix_millis(F.col("ts").cast("timestamp")) / 1000, ["_s", "event_id"], "user_id")
+    out = profile.throughput(table(spark, sf_dir, "events"), "value", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6, ["_s", "event_id"], "user_id")
     return out.select("event_id", F.round("rate", 6).alias("rate"))
 
 
