@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cells import as_number
+from . import tables
 
 
 def _keys(nodes: DataFrame) -> DataFrame:
@@ -69,14 +70,18 @@ def bounding_boxes(tree: DataFrame, placed: DataFrame, sizes: DataFrame | None =
 
 
 def grid(nodes: DataFrame, order: str, spacing: float = 200.0, origin: tuple[float, float] = (0.0, 0.0), columns: int | None = None, *groups: str) -> DataFrame:
-    """nodes with x and y on a grid of rows, ceil(sqrt(n)) wide by default, within each group."""
-    group = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
-    at = F.row_number().over(group.orderBy(order)) - 1
-    width = F.lit(columns) if columns else F.ceil(F.sqrt(F.count(F.lit(1)).over(group))).cast("int")
-    placed = nodes.withColumn("_at", at).withColumn("_w", width)
+    """nodes with x and y on a grid of rows, ceil(sqrt(n)) wide by default, within each group or over all nodes."""
+    if groups:
+        group = Window.partitionBy(*groups)
+        placed = nodes.withColumn("_at", F.row_number().over(group.orderBy(order)) - 1).withColumn("_n", F.count(F.lit(1)).over(group))
+    else:
+        total = nodes.agg(F.count(F.lit(1)).alias("_n"))
+        placed = tables.ranked(nodes, order, name="_at").withColumn("_at", F.col("_at") - 1).join(total.hint("broadcast"))  # one row
+    width = F.lit(columns) if columns else F.ceil(F.sqrt("_n")).cast("int")
+    placed = placed.withColumn("_w", width)
     x = origin[0] + (F.col("_at") % F.col("_w")) * spacing
     y = origin[1] + F.floor(F.col("_at") / F.col("_w")) * spacing
-    return placed.withColumn("x", x.cast("double")).withColumn("y", y.cast("double")).drop("_at", "_w")
+    return placed.withColumn("x", x.cast("double")).withColumn("y", y.cast("double")).drop("_at", "_w", "_n")
 
 
 def grid_columns(n: int) -> int:

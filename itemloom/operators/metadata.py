@@ -40,6 +40,13 @@ def inherited(tree: DataFrame, own: DataFrame) -> DataFrame:
     return fold(up.join(own, "collection_id").select("entity_id", "layer", "name", "value"))
 
 
+def display(tree: DataFrame, own: DataFrame, analyzed: DataFrame) -> DataFrame:
+    """entity_id (collection), name, value as shown for a collection: inherited and its own, under what its analysis found."""
+    above = inherited(tree, own).withColumn("layer", F.lit(INHERITED))
+    found = analyzed.select(F.col("collection_id").alias("entity_id"), "name", "value", F.lit(ANALYSIS).alias("layer"))
+    return fold(above.unionByName(found))
+
+
 def by_suffix(paths: DataFrame, rows: DataFrame) -> DataFrame:
     """Parameters of nodes from rows whose fragment ends at the node, longer fragments winning.
 

@@ -83,6 +83,15 @@ def plot_pairs(table: DataFrame, x: str, y: str) -> DataFrame:
     return pairs.where(finite("x") & finite("y"))
 
 
+def plot_data(payloads: dict[str, DataFrame], items: DataFrame, x: str, y: str) -> DataFrame:
+    """Finite (x, y) pairs from the payloads of chosen items, which must be of one kind (items: item_id, kind)."""
+    kinds = [r["kind"] for r in items.select("kind").distinct().limit(2).collect()]
+    if len(kinds) != 1:
+        raise ValueError(f"items of one kind are needed, got {len(kinds)} or more")
+    chosen = payloads[kinds[0]].join(items.select("item_id").distinct(), "item_id", "left_semi")
+    return plot_pairs(chosen, x, y)
+
+
 def delivered(processed: DataFrame, collected: DataFrame, key: str = "item_id") -> DataFrame:
     """Rows of the collection stage where an item has any, else those of its own stage."""
     return collected.unionByName(processed.join(collected.select(key).distinct(), key, "left_anti"))

@@ -58,6 +58,15 @@ def first_rows(rows: DataFrame, keys: list[str], order: list, limit: int) -> Dat
     return counted.where(F.col("_n") <= limit).withColumn("warning", told).drop("_n")
 
 
+def ranked(rows: DataFrame, *order, name: str = "position") -> DataFrame:
+    """rows with their rank in the whole table, from 1: ranges are sorted apart, and only their sizes meet in one place."""
+    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
+    local = sorted_.withColumn("_p", F.shiftright("_m", 33)).withColumn("_i", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = local.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return local.join(sizes.select("_p", before.alias("_b")), "_p").withColumn(name, F.col("_b") + F.col("_i") + 1).drop("_m", "_p", "_i", "_b")
+
+
 def read_in_order(payload: DataFrame, requests: DataFrame, key: str = "item_id", row: str = "__row") -> DataFrame:
     """Payload rows of the requested items in the order asked for (requests: pos, item_id); an item asked for twice comes twice."""
     return requests.join(payload, key).orderBy("pos", row)

@@ -148,6 +148,12 @@ def grid_layout(spark, sf_dir):
     return annotations.grid(nodes, "c_custkey", 200.0, (5.0, 7.0), None, "c_nationkey").select("c_custkey", "x", "y")
 
 
+@query("SELECT c_custkey, ((row_number() OVER (ORDER BY c_acctbal, c_custkey) - 1) % ceil(sqrt(count(*) OVER ()))::BIGINT * 200)::DOUBLE AS x, ((row_number() OVER (ORDER BY c_acctbal, c_custkey) - 1) // ceil(sqrt(count(*) OVER ()))::BIGINT * 200)::DOUBLE AS y FROM customer")
+def grid_of_all(spark, sf_dir):
+    nodes = table(spark, sf_dir, "customer").select("c_custkey", F.struct("c_acctbal", "c_custkey").alias("key"))
+    return annotations.grid(nodes, "key").select("c_custkey", "x", "y")
+
+
 @query("""
 SELECT s_suppkey AS k, s_name AS name, s_acctbal AS balance, NULL::VARCHAR AS segment, 'supplier' AS _item_ FROM supplier
 UNION ALL SELECT c_custkey, c_name, NULL, c_mktsegment, 'customer' FROM customer""")
@@ -175,6 +181,13 @@ def plot_pairs(spark, sf_dir):
     return selection.plot_pairs(lines.select(x.alias("x"), y.alias("y")), "x", "y")
 
 
+@query("SELECT l_quantity AS x, l_discount AS y FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey % 2 = 0")
+def plot_data(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").withColumn("item_id", F.concat(F.col("l_orderkey").cast("string"), F.lit("#lines:"), "l_returnflag"))
+    items = lines.where("l_returnflag = 'R' AND l_orderkey % 2 = 0").select("item_id", F.lit("lines").alias("kind"))
+    return selection.plot_data({"lines": lines}, items, "l_quantity", "l_discount")
+
+
 @query("SELECT doc_id, CASE WHEN length(text) > 90 THEN substr(text, 1, 87) || '...' ELSE text END AS cell FROM documents")
 def shown_cells(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", cell_text("text").alias("cell"))

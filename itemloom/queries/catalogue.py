@@ -162,6 +162,25 @@ def inherited_metadata(spark, sf_dir):
     return metadata.inherited(nodes, own)
 
 
+@query(f"""
+WITH own AS (SELECT u1 AS collection_id, 'area' AS name, label AS value FROM ({NODES}) WHERE depth = 1 UNION ALL SELECT collection_id, 'segment', label FROM ({NODES}) WHERE depth = 3),
+a AS (SELECT i3 AS id, count(*) AS n FROM ({IDS}) GROUP BY 1),
+l AS (SELECT up.collection_id AS id, name, value, 0 AS layer FROM ({UPS}) up JOIN own ON up.up = own.collection_id
+  UNION ALL SELECT id, 'customers', n::VARCHAR, 4 FROM a UNION ALL SELECT id, 'area', 'many', 4 FROM a WHERE n > 1)
+SELECT id AS entity_id, name, max_by(value, layer) AS value FROM l GROUP BY 1, 2""")
+def collection_display(spark, sf_dir):
+    nodes = tree(spark, sf_dir)
+    own = nodes.where("depth IN (1, 3)").select("collection_id", F.when(F.col("depth") == 1, "area").otherwise("segment").alias("name"), F.col("label").alias("value"))
+    counts = customer_paths(spark, sf_dir).groupBy(F.element_at(hierarchy.id_path("path"), -1).alias("collection_id")).agg(F.count(F.lit(1)).alias("n"))
+    found = metadata.layer(counts, "collection_id", metadata.ANALYSIS, {"customers": "n", "area": F.when(F.col("n") > 1, F.lit("many"))})
+    return metadata.display(nodes, own, found.withColumnRenamed("entity_id", "collection_id"))
+
+
+@query(f"SELECT collection_id, CASE WHEN length(label) % 2 = 0 THEN key ELSE '@collection/' || collection_id END AS key FROM ({NODES})")
+def annotation_keys(spark, sf_dir):
+    return tree(spark, sf_dir).select("collection_id", hierarchy.annotation_key("path", "collection_id", F.length("label") % 2 == 0).alias("key"))
+
+
 @query(f"""
 WITH m AS (SELECT c_custkey, map_from_entries([('x', a), ('y', a)]) AS m1, map_from_entries([('y', b)]) AS m2 FROM ({PATHS}))
 SELECT c_custkey, m1['x'] AS x, m2['y'] AS y FROM m""")
