@@ -10,8 +10,10 @@ writer adds as the line separator.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,11 +38,23 @@ MAGIC = "ARROW1"
 _LOOSE = re.compile(r" (?:\s|\Z)")
 
 
+#: Letters of two fixed blocks, then at most one mark: byte-level BPE always parts them there, and merges each alone.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)\Z")
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letter that byte-level vocabularies write for each byte: itself if printable, else the next beyond 255 (a published fixed rule)."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
+
+
 class Encoder:
     """The tokenizers library on texts cut at single blanks, with the ids of pieces remembered.
 
     Byte-level BPE splits a text before each blank that white space or the end does not follow, and merges nothing
-    across; so the ids of such pieces, each with its blank, are the ids of the text. Other texts are encoded whole.
+    across; so the ids of such pieces, each with its blank, are the ids of the text. Other texts are encoded whole, and
+    so are all texts for a tokenizer of another kind.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
@@ -49,24 +63,49 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        told = json.loads(self.tokenizer.to_str())
+        split = told["pre_tokenizer"] or {}
+        self.by_piece = told["normalizer"] is None and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+        self.letters = _byte_letters()
+        self.blank, self.merge, self.code = chr(self.letters[32]), self.tokenizer.model.tokenize, np.dtype(self.dtype).char
         self.known: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
         self.remembered = remembered
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a blank and letters, which no rule splits: the library's merges alone."""
+        written = self.blank + (word if word.isascii() else word.encode().decode("latin-1").translate(self.letters))
+        return array(self.code, [t.id for t in self.merge(written)]).tobytes()
+
+    def _pieces(self, new: set[str]) -> dict[str, bytes]:
+        out, rest = {}, []
+        for piece in new:
+            plain = _PLAIN.match(piece)
+            if plain is None:
+                rest.append(piece)
+                continue
+            word, mark = plain.groups()
+            if mark not in self.marks:
+                self.marks[mark] = self._encode([mark])[0]
+            out[piece] = (self.known.get(word) or out.get(word) or self._word(word)) + self.marks[mark]
+        out.update(zip(rest, self._encode([" " + p for p in rest]), strict=True))
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [None if _LOOSE.search(t) or any(x in t for x in self.special) else t.split(" ") for t in texts]
+        whole = lambda t: not self.by_piece or _LOOSE.search(t) or any(x in t for x in self.special)
+        cut = [None if whole(t) else t.split(" ") for t in texts]
         known = self.known
-        new = list({p for pieces in cut if pieces for p in pieces[1:] if p not in known})
-        extra = dict(zip(new, self._encode([" " + p for p in new]), strict=True))
+        extra = self._pieces({p for pieces in cut if pieces for p in pieces[1:] if p not in known})
         if len(known) + len(extra) <= self.remembered:
             known.update(extra)
             extra = {}
-        whole = iter(self._encode([t if pieces is None else pieces[0] for t, pieces in zip(texts, cut, strict=True)]))
+        heads = iter(self._encode([t if pieces is None else pieces[0] for t, pieces in zip(texts, cut, strict=True)]))
         out = []
         for pieces in cut:
-            head = next(whole)
+            head = next(heads)
             if pieces is None:
                 out.append(head)
             elif extra:
