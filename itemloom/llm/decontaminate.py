@@ -87,6 +87,8 @@ def align(item: np.ndarray, region: np.ndarray, edits: int) -> tuple[int, int]:
         best = row + (text[i : i + width + 1] != item[i])
         best[:-1] = np.minimum(best[:-1], row[1:] + 1)
         row = np.minimum.accumulate(best - steps) + steps
+        if i % 16 == 15 and row.min() > edits:  # it never falls again
+            break
     t = int(row.argmin())
     return int(row[t]), min(max(m + t - edits, 0), len(region))
 
@@ -109,12 +111,16 @@ def _leaks(data: np.ndarray, offsets: np.ndarray, index: Index) -> dict[tuple[in
     diagonal = np.repeat(hits, count) - offsets[row] - index.pos[entry] + (1 << 31)
     band = diagonal // (2 * index.edits[item] + 1)
     group = row * len(index.items) + item
-    each = np.concatenate([(group << 33) + band, (group << 33) + band - 1])
-    each, n = np.unique(each, return_counts=True)
-    group, band = each >> 33, each & ((1 << 33) - 1)
-    item = group % len(index.items)
-    for g, b in zip(group[n >= index.need[item]].tolist(), band[n >= index.need[item]].tolist(), strict=True):
-        r, i = divmod(g, len(index.items))
+    both = np.concatenate([(group << 33) + band, (group << 33) + band - 1])
+    order = np.argsort(both, kind="stable")
+    head = np.flatnonzero(np.diff(both[order], prepend=-1))
+    n, each = np.diff(head, append=len(both)), both[order[head]]
+    for c in np.flatnonzero(n >= index.need[(each >> 33) % len(index.items)]).tolist():
+        r, i = divmod(int(each[c]) >> 33, len(index.items))
+        b = int(each[c]) & ((1 << 33) - 1)
+        shared = index.pos[entry[order[head[c] : head[c] + n[c]] % len(entry)]]
+        if len(np.unique(shared)) < index.need[i]:  # the same q-grams of the item again and again
+            continue
         e, m, width = int(index.edits[i]), int(index.size[i]), 2 * int(index.edits[i]) + 1
         from_ = b * width - (1 << 31)
         a, z = max(from_ - e, 0), min(from_ + 2 * width + m + e, int(offsets[r + 1] - offsets[r]))
