@@ -31,7 +31,7 @@ def drop_repeated_lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest doc_id."""
-    gone = sized(minhash_dedup.near_duplicates(docs).where("NOT kept").select("doc_id"))
+    gone = sized(stored(minhash_dedup.near_duplicates(docs).where("NOT kept").select("doc_id"), "gone"))
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 

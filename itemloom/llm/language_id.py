@@ -7,24 +7,22 @@ n_buckets rows and a column for each language, is broadcast, and texts are score
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import crc32, mix, text_blocks
+from ._text import crc32, held, mix, text_blocks
 
 ORDERS = (1, 2, 3)
 N_BUCKETS = 1 << 15
 ALPHA = 0.5
 UNKNOWN = "und"
 #: Text bytes turned into code points at once.
-LID_BLOCK = 1 << 20
+LID_BLOCK = 1 << 19
 
 
-@lru_cache(1)
 def _tables() -> tuple[np.ndarray, np.ndarray]:
     """For each code point: the letter that stands for it in n-grams (lower case; a blank for what is no letter), and whether it is a letter."""
     letter, fold = np.zeros(0x110000, bool), np.full(0x110000, 32, np.uint32)
@@ -38,7 +36,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 
 def ngram_buckets(data: np.ndarray, offsets: np.ndarray, n_buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each order: (bucket of each n-gram, its row's first n-gram with one more at the end, whether each row has a letter)."""
-    fold, letter = _tables()
+    fold, letter = held("letters", _tables)
     points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     heads = np.zeros(len(data) + 1, np.int64)
     np.cumsum((data & 0xC0) != 0x80, out=heads[1:])

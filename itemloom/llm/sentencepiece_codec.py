@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -19,11 +20,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._text import text_blocks
+from ._text import held, text_blocks
 
 BLANK = "▁"
 #: Parts whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
+#: Text bytes encoded at once; their ids are Python lists, several times the size of the text.
+CODE_BYTES = 1 << 19
 #: Symbols of a part beyond which its agenda is a heap.
 SIDE_BY_SIDE = 48
 _PARTS = re.compile(r" *[^ ]+| +")
@@ -57,13 +60,14 @@ class Codec:
             for cut in range(1, len(piece)):
                 a, b = piece[:cut], piece[cut:]
                 if (a in self.pieces or cut == 1) and (b in self.pieces or cut == len(piece) - 1):
-                    pairs[self._symbol(a), self._symbol(b)] = int(self.rank[i])
-        self.pairs = pairs
-        keys = np.array([(a << 32) | b for a, b in pairs], np.int64)
+                    pairs[(self._symbol(a) << 32) | self._symbol(b)] = int(self.rank[i])
+        keys = np.array(list(pairs), np.int64)
         by = np.argsort(keys)
         self.keys, self.ranks = keys[by], np.array(list(pairs.values()), np.int64)[by]
         self.none = len(order)
-        self.known: dict[str, tuple[int, bytes, tuple[int, ...]]] = {}
+        self.decimal = [str(i).encode() for i in range(len(model.pieces))]
+        self.code = np.uint16 if len(model.pieces) <= 1 << 16 else np.uint32
+        self.known: dict[str, bytes] = {}
         self.remembered = remembered
 
     def _symbol(self, text: str) -> int:
@@ -86,7 +90,7 @@ class Codec:
 
         def add(i: int) -> None:
             j = right[i] if i >= 0 else -1
-            if j >= 0 and (r := self.pairs.get((symbols[i], symbols[j]))) is not None:
+            if j >= 0 and (r := self._rank_of_pair(symbols[i], symbols[j])) < self.none:
                 heap.append((r, i, symbols[i], symbols[j])) if not live else heapq.heappush(heap, (r, i, symbols[i], symbols[j]))
 
         live = False
@@ -107,6 +111,11 @@ class Codec:
             add(i)
         return self._ids(s for s in symbols if s >= 0)
 
+    def _rank_of_pair(self, a: int, b: int) -> int:
+        key = (a << 32) | b
+        at = int(self.keys.searchsorted(key))
+        return int(self.ranks[at]) if at < len(self.keys) and self.keys[at] == key else self.none
+
     def _rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = (a << 32) | b
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
@@ -156,8 +165,8 @@ class Codec:
         wild[owner[order][symbols >= len(self.rank)]] = True
         return [self._ids(plain[a:b]) if w else tuple(plain[a:b]) for a, b, w in zip(cut[:-1], cut[1:], wild.tolist(), strict=True)]
 
-    def _learn(self, parts: list[str]) -> tuple[dict, set[str]]:
-        """(number of ids, ids in decimal, ids) of each part, and the parts on which the library differs."""
+    def _learn(self, parts: list[str]) -> tuple[dict[str, bytes], set[str]]:
+        """Packed ids of each part, and the parts on which the library differs."""
         marked = [BLANK + p.replace(" ", BLANK) for p in parts]
         short = [i for i, m in enumerate(marked) if len(m) <= SIDE_BY_SIDE]
         ids: list = [None] * len(parts)
@@ -167,10 +176,10 @@ class Codec:
             if ids[i] is None:
                 ids[i] = self.agenda(m)
         off = {p for p, x, y in zip(parts, ids, self.library.encode(parts, num_threads=1), strict=True) if p and list(x) != y}
-        return {p: (len(x), ",".join(map(str, x)).encode(), x) for p, x in zip(parts, ids, strict=True)}, off
+        return {p: array(np.dtype(self.code).char, x).tobytes() for p, x in zip(parts, ids, strict=True)}, off
 
-    def encode(self, texts: list[str]) -> list[tuple[int, bytes, list[int], bool]]:
-        """(number of ids, ids in decimal joined by commas, ids, whether the agenda agrees with the library) of each text."""
+    def encode(self, texts: list[str]) -> list[tuple[bytes, list[int], bool]]:
+        """(ids in decimal joined by commas, ids, whether the agenda agrees with the library) of each text."""
         cut = []
         for t in texts:
             t = t.replace(BLANK, " ")
@@ -190,43 +199,30 @@ class Codec:
             get = lambda p: known.get(p) or extra[p]
         out = []
         for t, parts in zip(texts, cut, strict=True):
-            if off and not off.isdisjoint(parts):
-                ids = self.library.encode(t)
-                out.append((len(ids), ",".join(map(str, ids)).encode(), ids, False))
-                continue
-            got = list(map(get, parts))
-            ids = list(chain.from_iterable([g[2] for g in got]))
-            out.append((len(ids), b",".join([g[1] for g in got]), ids, True))
+            agrees = not off or off.isdisjoint(parts)
+            ids = np.frombuffer(b"".join(map(get, parts)), self.code).tolist() if agrees else self.library.encode(t)
+            out.append((b",".join([self.decimal[i] for i in ids]), ids, agrees))
         return out
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.library.decode(ids, num_threads=1) if ids else []
 
 
-_CODECS: dict[str, Codec] = {}
-
-
-def codec(path: str) -> Codec:
-    if path not in _CODECS:
-        _CODECS[path] = Codec(path)
-    return _CODECS[path]
-
-
 def _round_trip(batches: Iterator[pa.RecordBatch], path: str, with_ids: bool) -> Iterator[pa.RecordBatch]:
-    tool = codec(path)
+    tool = held(("sentencepiece", path), lambda: Codec(path))
     for batch in batches:
-        for rows, _, _ in text_blocks(batch):
+        for rows, _, _ in text_blocks(batch, limit=CODE_BYTES):
             got = tool.encode([x or "" for x in rows.column("text").to_pylist()])
-            texts = tool.decode([x[2] for x in got])
+            texts = tool.decode([x[1] for x in got])
             arrays = {
                 "doc_id": rows.column("doc_id"),
-                "n_tokens": pa.array([x[0] for x in got], pa.int64()),
-                "ids_sha256": pa.array([hashlib.sha256(x[1]).hexdigest() for x in got], pa.string()),
+                "n_tokens": pa.array([len(x[1]) for x in got], pa.int64()),
+                "ids_sha256": pa.array([hashlib.sha256(x[0]).hexdigest() for x in got], pa.string()),
                 "decoded_sha256": pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts], pa.string()),
-                "agrees": pa.array([x[3] for x in got], pa.bool_()),
+                "agrees": pa.array([x[2] for x in got], pa.bool_()),
             }
             if with_ids:
-                arrays |= {"ids": pa.array([x[2] for x in got], pa.list_(pa.int32())), "decoded": pa.array(texts, pa.string())}
+                arrays |= {"ids": pa.array([x[1] for x in got], pa.list_(pa.int32())), "decoded": pa.array(texts, pa.string())}
             yield pa.RecordBatch.from_pydict(arrays)
 
 
