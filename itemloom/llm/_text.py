@@ -19,7 +19,6 @@ _LOWER[65:91] += 32
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def text_blocks(batch: pa.RecordBatch, column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -40,6 +39,18 @@ def text_blocks(batch: pa.RecordBatch, column: str = "text", limit: int = BLOCK_
         at = to
 
 
+_HELD: dict[object, object] = {}
+
+
+def held(key: object, make):
+    """make(), kept in this worker until another key is asked for: a worker serves many stages and should not hold what
+    earlier ones needed."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit (splitmix64's finalizer, a published fixed function)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -49,15 +60,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and its inverse modulo 2**64, for i up to n."""
-    have = _POWERS.get(0)
+    have = _HELD.get("powers")
     if have is None or len(have[0]) <= n:
-        size = 1 << max(16, int(n).bit_length())
+        size = (n >> 18) + 1 << 18
         both = []
         for b in (_BASE, pow(_BASE, -1, 1 << 64)):
             p = np.full(size, b, np.uint64)
             p[0] = 1
             both.append(np.multiply.accumulate(p))
-        have = _POWERS[0] = (both[0], both[1])
+        _HELD.clear()
+        have = _HELD["powers"] = (both[0], both[1])
     return have
 
 
