@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._packed import spread, squeeze
-from ._store import BROADCAST_ROWS, source_parts, stored
+from ._store import source_parts, stored
 from ._text import mix, text_blocks, window_hashes, word_hashes, word_spans
 
 K = 13
 #: Text bytes whose edges are packed together.
-PACK_BYTES = 4 << 20
+PACK_BYTES = 2 << 20
 #: Hash ranges for each task that reads documents: a range holds about a sixteenth of one task's edges.
 RANGES_PER_TASK = 16
 
@@ -42,7 +42,7 @@ def _edges(batches: Iterator[pa.RecordBatch], k: int, bits: int) -> Iterator[pa.
             row = np.repeat(np.arange(rows.num_rows), count)
             pos = np.arange(len(hashes)) - np.repeat(at[:-1], count)
             ids = rows.column("doc_id").to_numpy(zero_copy_only=False)
-            part = (hashes >> np.uint64(64 - bits)).astype(np.uint16)
+            part = (hashes >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
             order = np.argsort(part, kind="stable")
             cut = np.searchsorted(part[order], np.arange((1 << bits) + 1))
             low = hashes[order].view(np.uint8).reshape(-1, 8)[:, :7]  # the range stands for the top byte
@@ -129,19 +129,17 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if c == "digest" else pa.int64()) for c, v in out.items()], list(out))
 
 
-def _by_doc(spans: DataFrame, count: int) -> DataFrame:
-    """One row for each document; broadcast while all spans are few."""
-    rows = spans.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    return rows.hint("broadcast") if count <= BROADCAST_ROWS else rows
+def _by_doc(spans: DataFrame) -> DataFrame:
+    """One row for each document."""
+    return spans.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
 
 def _verify(docs: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Spans whose words are those at their source, and the others."""
     there = spans.select(F.col("source_id").alias("doc_id"), F.col("source_start").alias("start"), "n")
-    asked = stored(spans.select("doc_id", "start", "n").unionByName(there).distinct(), "asked")
-    marks = _by_doc(asked, asked.count())
+    marks = _by_doc(spans.select("doc_id", "start", "n").unionByName(there).distinct())
     texts = docs.join(marks, docs.doc_id == marks["_doc"]).select("doc_id", "text", "spans")
-    digests = stored(texts.mapInArrow(_digests, "doc_id long, start long, n long, digest binary"), "digests").dropDuplicates(["doc_id", "start", "n"])
+    digests = stored(texts.mapInArrow(_digests, "doc_id long, start long, n long, digest binary").dropDuplicates(["doc_id", "start", "n"]), "digests")
     own = digests.select("doc_id", "start", "n", F.col("digest").alias("own"))
     source = digests.select(F.col("doc_id").alias("source_id"), F.col("start").alias("source_start"), "n", F.col("digest").alias("its"))
     both = stored(spans.join(own, ["doc_id", "start", "n"]).join(source, ["source_id", "source_start", "n"]), "verified")
@@ -157,7 +155,7 @@ def repeated_spans(docs: DataFrame, k: int = K) -> DataFrame:
     the same document; ties between sources go to the smallest doc_id and the first position."""
     rows = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
     tasks = source_parts(docs)
-    bits = min(16, max(8, (RANGES_PER_TASK * tasks - 1).bit_length()))
+    bits = min(20, max(8, (RANGES_PER_TASK * tasks - 1).bit_length()))
     packed = rows.mapInArrow(lambda it: _edges(it, k, bits), "part int, edges binary, places binary")
     places = packed.groupBy("part").applyInArrow(lambda key, t: _repeats(key, t, 4 * tasks), "part int, places binary")
     spans = places.groupBy("part").applyInArrow(lambda key, t: _paths(key, t, k), "doc_id long, start long, n long, source_id long, source_start long")
@@ -189,8 +187,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (the words that stay, joined by blanks) for each row of docs; null texts have no words."""
-    spans = stored(spans, "repeats")
-    marks = _by_doc(spans, spans.count())
+    marks = _by_doc(spans)
     both = docs.join(marks, docs.doc_id == marks["_doc"], "left").select("doc_id", "text", "spans")
     return both.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_text string")
 
