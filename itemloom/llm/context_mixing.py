@@ -4,8 +4,10 @@ A text is a sequence of bytes and an end byte that UTF-8 never uses; each byte i
 0 to 6 bytes, hashed tables hold how often each decision went either way in the training texts. Their log-odds are mixed
 by weights that two gates select (the longest context seen before, with the place in the word; and the bits of this byte
 so far), and the mixed probability is refined by an adaptive map of (bits, probability). Weights and map learn online
-from training texts that the tables have not seen. Scoring uses the finished model, so a score does not depend on how
-Spark deals out texts, and the bits of all bytes add up to the text's probability.
+from all training texts of one fold, a ninth of them, while the tables have not seen it; then its counts join the tables.
+Groups of texts learn side by side, dealt by hash of the row, and are averaged by how often each value was used. Scoring
+uses the finished model, so a score does not depend on how Spark deals out texts, and the bits of all bytes add up to the
+text's probability.
 
 The model depends on the last six bytes and the next, so the corpus is gathered as counts of seven-byte strings: packed
 by context, summed by Spark, turned into table cells there and quantized; the driver gets tables of a fixed size.
@@ -32,8 +34,10 @@ PRIOR = 0.2
 END = 0xFF
 #: log2 of the cells that are summed and sent as one row.
 CHUNK_BITS = 16
-#: The mixer learns from at most this many training texts, none longer than MIX_CHARS.
-MIX_DOCS, MIX_CHARS = 256, 20_000
+#: The mixer's fold is learned in so many rounds, each text in one of them, with an average after each.
+MIX_ROUNDS = 3
+#: Bytes of the fold for each group of texts that learns by itself, and the most groups (beyond it, groups grow).
+MIX_BYTES, MIX_GROUPS = 2 << 20, 512
 #: Distinct strings a task holds before it passes them on.
 HELD = 6_000_000
 #: Most frequent words whose counts are broadcast; other words meet their counts by hash range.
@@ -87,6 +91,11 @@ class Mixer:
         self.by_bits = np.zeros((256, ORDERS), np.float32)
         grid = np.linspace(-8, 8, self.BUCKETS)
         self.refined = np.broadcast_to(1 / (1 + np.exp(-grid)), (256, self.BUCKETS)).astype(np.float32).copy()
+        self.used = [np.zeros(n, np.int64) for n in (len(self.by_reach), 256, self.refined.size)]
+
+    def values(self) -> list[np.ndarray]:
+        """What learn() moves; used[i] counts how often it moved each row of the i-th."""
+        return [self.by_reach, self.by_bits, self.refined.reshape(-1, 1)]
 
     def _inputs(self, keys: np.ndarray, contexts: list[np.ndarray], place: np.ndarray, bit: int):
         byte = keys & np.uint64(255)
@@ -114,11 +123,17 @@ class Mixer:
                 x, gate, node, y = self._inputs(some, contexts, place, bit)
                 p, bucket, _ = self._predict(x, gate, node)
                 move = (rate * (y - p))[:, None] * x
-                for own, weights in ((gate, self.by_reach), (node, self.by_bits)):
-                    total, count = np.zeros_like(weights), np.bincount(own, minlength=len(weights))
-                    np.add.at(total, own, move)
-                    weights += total / np.sqrt(np.maximum(count, 1))[:, None]
-                np.add.at(self.refined, (node, bucket), 0.01 * (y - self.refined[node, bucket]))
+                for i, (own, weights) in enumerate(((gate, self.by_reach), (node, self.by_bits))):
+                    spot = (own[:, None] * ORDERS + np.arange(ORDERS)).reshape(-1)
+                    total = np.bincount(spot, move.reshape(-1), weights.size).reshape(weights.shape)
+                    count = np.bincount(own, minlength=len(weights))
+                    weights += (total / np.sqrt(np.maximum(count, 1))[:, None]).astype(np.float32)
+                    self.used[i] += count
+                spot = node * self.BUCKETS + bucket
+                count, flat = np.bincount(spot, minlength=self.refined.size), self.refined.reshape(-1)
+                mean = np.bincount(spot, y, self.refined.size) / np.maximum(count, 1)
+                flat += ((1 - 0.99**count) * (mean - flat)).astype(np.float32)  # as count moves by a hundredth of the way
+                self.used[2] += count
                 np.clip(self.refined, 1e-4, 1 - 1e-4, out=self.refined)
 
     def bits(self, keys: np.ndarray) -> np.ndarray:
@@ -223,23 +238,89 @@ def _log_odds(key, table: pa.Table) -> pa.Table:
     return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "cells": pa.array([values.tobytes()], pa.binary())})
 
 
-def train(docs: DataFrame) -> Mixer:
-    """Tables from whole texts of all training documents but a tenth, weights online from documents of that tenth."""
-    fold_of = F.expr(f"{crc32('doc_id')} % 10")
-    texts = docs.where("text IS NOT NULL")
-    parts = max(64, 2 * source_parts(docs))
-    counts = texts.where(fold_of > 1).select("text").mapInArrow(lambda it: _gather(it, parts), "part int, packed binary")
-    cells = counts.groupBy("part").applyInArrow(lambda key, t: _to_cells(key, t), "chunk int, packed binary")
+def _add_cells(key, table: pa.Table) -> pa.Table:
+    got = [spread(x.as_py()) for x in table.column("packed")]
+    cell, one, zero = fold(np.concatenate([np.cumsum(c) for c, _, _ in got]), *(np.concatenate([g[i] for g in got]) for i in (1, 2)))
+    return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "packed": pa.array([squeeze(np.diff(cell, prepend=0), one, zero)], pa.binary())})
+
+
+def _tables(cells: DataFrame) -> list[np.ndarray]:
     tables = [np.zeros(1 << b, np.float16) for b in CELL_BITS]
     for row in cells.groupBy("chunk").applyInArrow(lambda key, t: _log_odds(key, t), "chunk int, cells binary").collect():
         order, chunk = divmod(row["chunk"], 1 << 16)
         values = np.frombuffer(row["cells"], np.float16)
         tables[order][chunk << CHUNK_BITS : (chunk << CHUNK_BITS) + len(values)] = values
-    mixer = Mixer(tables)
-    sample = texts.where((fold_of == 1) & (F.length("text") <= MIX_CHARS)).orderBy(F.xxhash64("doc_id"), "doc_id", "text").select("text").limit(MIX_DOCS).collect()
-    for n, row in enumerate(sample):
-        raw = np.frombuffer(row["text"].encode(), np.uint8)
-        mixer.learn(grams(raw, np.array([0, len(raw)]))[0], 0.005 / (1 + n / 20) + 0.001)
+    return tables
+
+
+def _learn_groups(batches: Iterator[pa.RecordBatch], tables, start: list[np.ndarray], before: int) -> Iterator[pa.RecordBatch]:
+    """What each group's mixer comes to from the start values; rows of a group follow one another. `before` bytes were learned earlier."""
+    group, mixer, size = None, None, 0
+
+    def result():
+        arrays = [*(v.astype(np.float32) for v in mixer.values()), *mixer.used]
+        return pa.RecordBatch.from_pydict({"group": pa.array([group], pa.int32()), "bytes": pa.array([size], pa.int64()), "learned": pa.array([[a.tobytes() for a in arrays]], pa.list_(pa.binary()))})
+
+    for batch in batches:
+        groups = batch.column("group").to_numpy()
+        cut = [0, *(np.flatnonzero(np.diff(groups)) + 1).tolist(), len(groups)]
+        for a, z in zip(cut[:-1], cut[1:], strict=True):
+            if a == z:
+                continue
+            if groups[a] != group:
+                if mixer is not None:
+                    yield result()
+                group, mixer, size = int(groups[a]), Mixer(tables.value), 0
+                for own, value in zip(mixer.values(), start, strict=True):
+                    own[:] = value
+            for _, data, offsets in text_blocks(batch.slice(a, z - a), limit=_BLOCK):
+                keys, at = grams(data, offsets)[0], 0
+                while at < len(keys):
+                    done = before + size
+                    step = min(max(256, done >> 6), 4096)
+                    some = keys[at : at + 16 * step]
+                    mixer.learn(some, 0.005 / (1 + done / 40_000) + 0.001, step)
+                    at, size = at + len(some), size + len(some)
+    if mixer is not None:
+        yield result()
+
+
+def _average(results: list, start: list[np.ndarray]) -> list[np.ndarray]:
+    """Each row's mean over the groups, weighted by its uses there; a row that none used stays."""
+    total, used = [np.zeros(v.shape) for v in start], [np.zeros(len(v), np.int64) for v in start]
+    for row in sorted(results, key=lambda r: r["group"]):
+        for i, v in enumerate(start):
+            n = np.frombuffer(row["learned"][len(start) + i], np.int64)
+            total[i] += np.frombuffer(row["learned"][i], np.float32).reshape(v.shape) * n[:, None]
+            used[i] += n
+    return [np.where(n[:, None] > 0, t / np.maximum(n, 1)[:, None], v).astype(np.float32) for t, n, v in zip(total, used, start, strict=True)]
+
+
+def train(docs: DataFrame) -> Mixer:
+    """Tables from whole texts of all training documents; weights online from all of one fold, before the tables have it."""
+    spark = docs.sparkSession
+    fold_of = F.expr(f"{crc32('doc_id')} % 10")
+    texts = docs.where("text IS NOT NULL")
+    parts = max(64, 2 * source_parts(docs))
+
+    def cells(some: DataFrame) -> DataFrame:
+        counts = some.select("text").mapInArrow(lambda it: _gather(it, parts), "part int, packed binary")
+        return counts.groupBy("part").applyInArrow(lambda key, t: _to_cells(key, t), "chunk int, packed binary")
+
+    first = stored(cells(texts.where(fold_of > 1)).groupBy("chunk").applyInArrow(lambda key, t: _add_cells(key, t), "chunk int, packed binary"), "cells")
+    own = stored(texts.where(fold_of == 1).select(F.xxhash64("doc_id", "text").alias("h"), "doc_id", "text"), "mixer-texts")
+    groups = min(max(1, -(-(own.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // MIX_BYTES)), MIX_GROUPS)
+    own = own.withColumn("group", F.pmod(F.xxhash64("h"), F.lit(groups)).cast("int"))
+    tables, values, before = spark.sparkContext.broadcast(_tables(first)), Mixer([]).values(), 0
+    for r in range(MIX_ROUNDS):
+        some = own.where(F.pmod("h", F.lit(MIX_ROUNDS)) == r).repartition(groups, "group").sortWithinPartitions("group", "h", "doc_id", "text").select("group", "text")
+        results = some.mapInArrow(lambda it, start=values, before=before: _learn_groups(it, tables, start, before), "group int, bytes long, learned array<binary>").collect()
+        values = _average(results, values)
+        before += sum(x["bytes"] for x in results) // max(len(results), 1)
+    tables.destroy()
+    mixer = Mixer(_tables(first.unionByName(cells(own))))
+    for mine, value in zip(mixer.values(), values, strict=True):
+        mine[:] = value
     return mixer
 
 

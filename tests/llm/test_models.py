@@ -89,6 +89,33 @@ def test_bits_are_probabilities_and_learning_helps():
     assert np.allclose(scorer.bits(keys), mixer.bits(keys)) and np.allclose(scorer.bits(keys), mixer.bits(keys))
 
 
+def test_mixer_learns_from_all_of_its_fold_and_tables_get_it(spark, table, prose):
+    fold_of = lambda i: zlib.crc32(str(i).encode()) % 10
+    mine = [i for i in range(400) if fold_of(i) == 1][:12]
+    pairs = [(i, prose(40, i)) for i in range(60) if fold_of(i) > 1] + [(i, prose(3500, i) + f" zqx{i}jv") for i in mine]
+    assert all(len(t) > 20_000 for i, t in pairs if i in mine)
+    mixer = context_mixing.train(table(pairs))
+    assert mixer.by_bits.any() and (mixer.by_reach != 0.25).any()
+    for i in mine:  # the last word stands in no other text
+        raw = np.frombuffer(f" zqx{i}jv".encode(), np.uint8)
+        keys = context_mixing.grams(raw, np.array([0, len(raw)]))[0][7:8]
+        assert mixer.tables[6][context_mixing._cells(6, context_mixing._context(keys, 6), np.uint64(1))].all()
+    again = context_mixing.train(table(pairs).repartition(7))
+    assert all((a == b).all() for a, b in zip(mixer.values() + mixer.tables, again.values() + again.tables))
+
+
+def test_every_byte_of_the_fold_is_learned_once(spark, table, prose, monkeypatch):
+    pairs = [(i, prose(30 + i, i)) for i in range(3000, 6000)]
+    seen, average = [], context_mixing._average
+    monkeypatch.setattr(context_mixing, "MIX_BYTES", 20_000)
+    monkeypatch.setattr(context_mixing, "_average", lambda results, start: seen.extend(results) or average(results, start))
+    pairs = [(i, t[: 400 + i % 300]) for i, t in pairs]
+    context_mixing.train(table(pairs))
+    own = [len(t) + 1 for i, t in pairs if zlib.crc32(str(i).encode()) % 10 == 1]
+    assert len(own) > 256 and sum(r["bytes"] for r in seen) == sum(own)
+    assert len({r["group"] for r in seen}) > 1
+
+
 def test_empty_corpus(table):
     assert context_mixing.score_texts(table([])).count() == 0
 
