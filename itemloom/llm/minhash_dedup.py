@@ -5,11 +5,13 @@ Documents with the same shingle set form a class, and only one of a class is com
 costs one row. Within a bucket of a band, members are compared with two pivots (the member that shares most buckets, and
 the smallest), not with one another. What then still lies in different components of one bucket is compared block by
 block on longer sketches, and only pairs that may reach the threshold leave the block. A pair at the threshold misses
-all bands with probability (1 - 0.85**5)**24 < 1e-6; the margins of both estimates are four standard deviations.
+all bands with probability below 1e-6, for which a lower threshold gets more bands (85 percent 24, 80 percent 35); the
+margins of both estimates are four standard deviations.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +23,8 @@ from ._store import sized, stored
 from ._text import mix, text_blocks, window_hashes, word_hashes, word_spans
 
 SHINGLE = 5
-BANDS, ROWS = 24, 5
-N_HASHES = BANDS * ROWS
+#: Minima of a band, and the probability with which a pair at the threshold may miss all bands.
+ROWS, MISS = 5, 1e-6
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 85
 MARGIN = 0.13
@@ -31,11 +33,22 @@ SKETCH, SKETCH_MARGIN = 1024, 0.045
 #: Members of a bucket that are compared with one another in one task.
 BLOCK = 128
 
-_RNG = np.random.default_rng(85)
-_A = _RNG.integers(1, 1 << 63, N_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _RNG.integers(1, 1 << 63, N_HASHES, dtype=np.uint64)
-_SEED = _RNG.integers(1, 1 << 63, BANDS, dtype=np.uint64)
-_LONG = _RNG.integers(1, 1 << 63, (2, SKETCH), dtype=np.uint64) | np.uint64(1)
+_FINGER = np.uint64(0x8C5FB3A1D2E94677)
+_LONG = np.random.default_rng(85).integers(1, 1 << 63, (2, SKETCH), dtype=np.uint64) | np.uint64(1)
+
+
+def bands_for(percent: int) -> int:
+    """The fewest bands that a pair at the threshold misses with a probability below MISS."""
+    if not 0 < percent <= 100:
+        raise ValueError("percent must be over 0 and at most 100")
+    return 1 if percent == 100 else math.floor(math.log(MISS) / math.log1p(-((percent / 100) ** ROWS))) + 1
+
+
+def _parameters(n_bands: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Multipliers and summands of the minima, and a seed of each band."""
+    rng, n = np.random.default_rng(85), n_bands * ROWS
+    a = rng.integers(1, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return a, rng.integers(1, 1 << 63, n, dtype=np.uint64), rng.integers(1, 1 << 63, n_bands, dtype=np.uint64)
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -59,23 +72,24 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return hashes, at
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sign(batches: Iterator[pa.RecordBatch], n_bands: int) -> Iterator[pa.RecordBatch]:
+    times, plus, seed = _parameters(n_bands)
     for batch in batches:
         for rows, data, offsets in text_blocks(batch, limit=1 << 19):
             hashes, at = shingles(data, offsets)
             full = np.flatnonzero(np.diff(at))
             n = rows.num_rows
             size, f1, f2 = np.zeros(n, np.int64), np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-            signature, bands = np.zeros((n, N_HASHES), np.uint32), np.zeros((n, BANDS), np.uint64)
+            signature, bands = np.zeros((n, len(times)), np.uint32), np.zeros((n, n_bands), np.uint64)
             for i in full:
                 own = np.unique(hashes[at[i] : at[i + 1]])
                 size[i] = len(own)
-                f1[i], f2[i] = mix(own).sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(own ^ _SEED[0]))
+                f1[i], f2[i] = mix(own).sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(own ^ _FINGER))
             if len(full):
-                for p in range(N_HASHES):
-                    signature[full, p] = np.minimum.reduceat(((hashes * _A[p] + _B[p]) >> np.uint64(32)).astype(np.uint32), at[full])
-                for b in range(BANDS):
-                    h = np.full(n, _SEED[b])
+                for p in range(len(times)):
+                    signature[full, p] = np.minimum.reduceat(((hashes * times[p] + plus[p]) >> np.uint64(32)).astype(np.uint32), at[full])
+                for b in range(n_bands):
+                    h = np.full(n, seed[b])
                     for p in range(b * ROWS, (b + 1) * ROWS):
                         h = mix(h ^ signature[:, p])
                     bands[:, b] = h
@@ -83,14 +97,14 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 {
                     "doc_id": rows.column("doc_id"), "n_shingles": size, "f1": f1.view(np.int64), "f2": f2.view(np.int64),
                     "signature": pa.array([x.tobytes() for x in signature], pa.binary()),
-                    "bands": pa.ListArray.from_arrays(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32), bands.reshape(-1).view(np.int64)),
+                    "bands": pa.ListArray.from_arrays(np.arange(0, n * n_bands + 1, n_bands, dtype=np.int32), bands.reshape(-1).view(np.int64)),
                 }
             )
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, n_bands: int) -> DataFrame:
     """doc_id, n_shingles, f1 and f2 (fingerprint of the set), signature, bands."""
-    return docs.select("doc_id", "text").mapInArrow(_sign, "doc_id long, n_shingles long, f1 long, f2 long, signature binary, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(lambda it: _sign(it, n_bands), "doc_id long, n_shingles long, f1 long, f2 long, signature binary, bands array<long>")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +191,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     component, so ties cannot arise. An empty table gives an empty table.
     """
     least = percent / 100 - MARGIN
-    signed = stored(signatures(docs), "signatures")
+    signed = stored(signatures(docs, bands_for(percent)), "signatures")
     full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = stored(full.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("id")), "classes")
     own = full.join(classes, (full.doc_id == classes.id) & (full.f1 == classes.f1) & (full.f2 == classes.f2), "left_semi").dropDuplicates(["doc_id"])

@@ -68,6 +68,26 @@ def test_near_duplicates_of_odd_tables(table, prose):
     assert got == sorted([(1, 1, True), (1, 1, True), (2, 1, False), (None, None, True)], key=str)
 
 
+def test_lower_threshold_finds_its_pairs(table, prose):
+    pairs, dropped = [], set()
+    for k in range(40):
+        words = prose(204, 900 + k).split()  # 200 shingles
+        n = 21 + k % 6  # shingles of each that the other lacks
+        changed = words[: 204 - n] + [f"own{k}x{j}" for j in range(n)]
+        pairs += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(changed))]
+        if 100 * (200 - n) >= 80 * (200 + n):
+            assert 80 * (200 + n) <= 100 * (200 - n) < 85 * (200 + n)
+            dropped.add(2 * k + 1)
+    got = minhash_dedup.near_duplicates(table(pairs), percent=80).where("NOT kept")
+    assert {r["doc_id"] for r in got.collect()} == dropped and len(dropped) >= 10
+
+
+def test_bands_follow_the_threshold():
+    assert minhash_dedup.bands_for(85) == 24
+    for percent in (50, 70, 80, 85, 95, 100):
+        assert (1 - (percent / 100) ** minhash_dedup.ROWS) ** minhash_dedup.bands_for(percent) < 1e-6
+
+
 def test_components(spark):
     path = [(i, i + 1) for i in range(40)] + [(100, 101), (5, 5), (7, 6)]
     got = dict(rows(minhash_dedup.components(spark.createDataFrame(path, "a long, b long"))))
