@@ -110,14 +110,15 @@ def _leaks(data: np.ndarray, offsets: np.ndarray, index: Index) -> dict[tuple[in
     item, row = index.item[entry], np.repeat(row, count)
     diagonal = np.repeat(hits, count) - offsets[row] - index.pos[entry] + (1 << 31)
     band = diagonal // (2 * index.edits[item] + 1)
-    group = row * len(index.items) + item
-    both = np.concatenate([(group << 33) + band, (group << 33) + band - 1])
-    order = np.argsort(both, kind="stable")
-    head = np.flatnonzero(np.diff(both[order], prepend=-1))
-    n, each = np.diff(head, append=len(both)), both[order[head]]
-    for c in np.flatnonzero(n >= index.need[(each >> 33) % len(index.items)]).tolist():
-        r, i = divmod(int(each[c]) >> 33, len(index.items))
-        b = int(each[c]) & ((1 << 33) - 1)
+    group = np.tile(row * len(index.items) + item, 2)
+    both = np.concatenate([band, band - 1])
+    order = np.lexsort((both, group))
+    group, both = group[order], both[order]
+    head = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (both[1:] != both[:-1])]))
+    n = np.diff(head, append=len(both))
+    for c in np.flatnonzero(n >= index.need[group[head] % len(index.items)]).tolist():
+        r, i = divmod(int(group[head[c]]), len(index.items))
+        b = int(both[head[c]])
         shared = index.pos[entry[order[head[c] : head[c] + n[c]] % len(entry)]]
         if len(np.unique(shared)) < index.need[i]:  # the same q-grams of the item again and again
             continue
@@ -156,11 +157,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE) -> Dat
     doc_id, item_id, distance (fewest edits), item_chars, end (of that occurrence, in bytes of the normalized text), regions.
 
     Case of A-Z and the amount of white space don't count. Null, empty and short items (under MIN_CHARS) match nothing,
-    nor do null or empty texts. Repeated rows are reported as often as they stand in docs; repeated items each. Ties
+    nor do null or empty texts. An item without an item_id is an item like any other and gives rows with a null item_id.
+    Repeated rows are reported as often as they stand in docs; repeated items each. Ties
     between occurrences go to the first end. An empty table on either side gives no row. Only doc_id, item_id and text
     are read. The benchmark is read in blocks of bounded size, each broadcast and held against all documents.
     """
-    sized = benchmark.select("item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL")
+    sized = benchmark.select("item_id", "text").where("text IS NOT NULL")
     chars = sized.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-chars // BLOCK_CHARS)
     out = None

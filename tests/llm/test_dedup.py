@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 
 from itemloom.llm import decontaminate, line_dedup, minhash_dedup, substring_dedup
@@ -177,6 +178,27 @@ def test_decontamination(spark, table, prose):
     assert decontaminate.leaks(table(pairs), bench.limit(0)).count() == 0
 
 
+def test_leaks_in_a_large_block_of_texts_and_items(prose):
+    """Rows times items beyond 2**30."""
+    items = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(110_000)]
+    index = decontaminate.Index(list(range(len(items))), items)
+    texts = [b"-"] * 10_000
+    planted = {9_800: 5, 9_900: 60_000, 9_999: 109_999}
+    for r, i in planted.items():
+        texts[r] = items[i].encode()
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    assert len(texts) * len(items) >= 1 << 30
+    found = decontaminate._leaks(data, offsets, index)
+    assert {k: v[0] for k, v in found.items() if v[0] == 0} == {k: 0 for k in planted.items()}
+
+
+def test_items_without_an_id_are_evidence(spark, table, prose):
+    leak, other = prose(25, 700), prose(25, 701)
+    bench = spark.createDataFrame([(None, leak), (4, other), (None, None)], "item_id long, text string")
+    docs = table([(1, f"before {leak} after"), (2, prose(60, 1)), (3, f"{other} and {leak}")])
+    assert rows(decontaminate.leaks(docs, bench), "doc_id", "item_id") == sorted([(1, None), (3, 4), (3, None)], key=str)
+
+
 def test_alignment_is_the_edit_distance():
     import random
 
