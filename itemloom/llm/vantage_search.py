@@ -4,11 +4,15 @@ Adding a coordinate that brings every vector to the largest norm turns the large
 distance, so the triangle inequality applies. A shard holds its distinct vectors in a tree; equal vectors are one entry
 with their ids. Leaves are visited in order of the distance that the inequality allows at least, and a query stops when
 that, times a factor, exceeds the distance of its k-th best. With factor 1 the search is exact; a larger one prunes more.
-Queries are broadcast in blocks of a bounded number, each held against all shards, and Spark merges the shards' best.
+
+Matrix products only choose: whatever comes within their rounding error of a query's k-th best is scored once more by one
+fixed sum, by which ranks and ties are decided. Vectors are dealt to shards and trees built once, in a stored table;
+queries are broadcast in blocks of a bounded number, each held against all trees, and Spark merges the shards' best.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,18 +20,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import stored
+from ._store import scratch, stored
 
 K = 20
 EVERY = 20
 FACTOR = 1.0
-#: Vectors in a shard, on average; in a leaf, at most; queries broadcast at once.
-SHARD_ROWS, LEAF_ROWS, QUERY_BLOCK = 8192, 128, 4096
-
-
-def _matrix(column: pa.Array) -> np.ndarray:
-    n = len(column)
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1) if n else np.zeros((0, 0))
+#: Vectors in a shard, on average, and fewer where they are so long that a shard would pass SHARD_BYTES; in a leaf, at
+#: most; queries broadcast at once, and those of them that a shard searches side by side.
+SHARD_ROWS, SHARD_BYTES, LEAF_ROWS, QUERY_BLOCK, QUERY_STEP = 8192, 8 << 20, 128, 4096, 256
+
+
+def _by_length(ids: pa.Array, column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Length of the vectors -> (their ids, their matrix). Of the rows with one id, the smallest vector takes part."""
+    ids, length = ids.to_numpy(zero_copy_only=False), column.value_lengths().to_numpy(zero_copy_only=False)
+    distinct, count = np.unique(ids, return_counts=True)
+    if len(distinct) < len(ids):
+        keep = ~np.isin(ids, distinct[count > 1])
+        least: dict[int, tuple] = {}
+        for i in np.flatnonzero(~keep).tolist():
+            least[int(ids[i])] = min(least.get(int(ids[i]), (column[i].as_py(), i)), (column[i].as_py(), i))
+        keep[[i for _, i in least.values()]] = True
+        rows = pa.array(np.flatnonzero(keep))
+        ids, length, column = ids[keep], length[keep], column.take(rows)
+    out = {}
+    for n in np.unique(length).tolist():
+        own = column.filter(pa.array(length == n))
+        out[int(n)] = ids[length == n], own.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), int(n))
+    return out
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -70,93 +89,122 @@ class Tree:
         return out
 
 
+class Shard:
+    """A tree over the distinct vectors of one length; `top` is a bound on all norms."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, top: float):
+        order = np.argsort(ids, kind="stable")
+        points, group = np.unique(vectors[order], axis=0, return_inverse=True)
+        group = group.reshape(-1)
+        members = np.argsort(group, kind="stable")  # ids of equal vectors, ascending
+        self.points, self.top = np.ascontiguousarray(points), top
+        self.ids, self.cut = ids[order][members], np.searchsorted(group[members], np.arange(len(points) + 1))
+        lift = np.sqrt(np.maximum(top * top - (points**2).sum(axis=1), 0))
+        self.tree = Tree(np.column_stack([points, lift]))
+
+    def _near(self, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
+        """(query, point), ordered by query, of all points that may be among a query's k + 1 best."""
+        norm = np.sqrt((queries**2).sum(axis=1))
+        base = norm**2 + self.top**2  # squared distance = base - 2 * inner product
+        unit = (queries.shape[1] + 8) * np.finfo(np.float64).eps
+        slack, off = 4 * np.sqrt(unit) * (norm + self.top), 2 * unit * norm * self.top  # rounding of distances and products
+        least = self.tree.least(np.column_stack([queries, np.zeros(len(queries))]))
+        visit = np.argsort(least, axis=1)
+        best = np.full((len(queries), k + 1), -np.inf)  # one more: the query itself may be among them
+        active, seen = np.arange(len(queries)), []
+        for step in range(len(self.tree.leaves)):
+            leaf = visit[active, step]
+            worst = np.sqrt(np.maximum(base[active] - 2 * best[active, -1], 0))
+            on = ~(least[active, leaf] * factor > worst + slack[active]) | np.isinf(best[active, -1])
+            active, leaf = active[on], leaf[on]
+            if not len(active):
+                break
+            for j in np.unique(leaf):
+                q, rows = active[leaf == j], self.tree.leaves[j][0]
+                score = queries[q] @ self.points[rows].T
+                high = np.concatenate([best[q], score], axis=1)
+                best[q] = -np.partition(-high, k, axis=1)[:, : k + 1]
+                best[q] = -np.sort(-best[q], axis=1)
+                a, b = np.nonzero(score >= (best[q, -1] - 2 * off[q])[:, None])
+                seen.append((q[a], rows[b], score[a, b]))
+        query, point, score = (np.concatenate(x) for x in zip(*seen, strict=True))
+        keep = score >= (best[:, -1] - 2 * off)[query]
+        query, point = query[keep], point[keep]
+        order = np.argsort(query, kind="stable")
+        return query[order], point[order]
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, factor: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(query, ids, scores) of each query's k best, best first, its own row left out."""
+        for at in range(0, len(queries), QUERY_STEP):
+            some = queries[at : at + QUERY_STEP]
+            query, point = self._near(some, k, factor)
+            first = np.searchsorted(query, np.arange(len(some) + 1))
+            for i, own in enumerate(query_ids[at : at + QUERY_STEP]):
+                rows = point[first[i] : first[i + 1]]
+                score = (self.points[rows] * some[i]).sum(axis=1)  # the same sum for a vector wherever it lies
+                count = self.cut[rows + 1] - self.cut[rows]
+                few = np.minimum(count, k + 1)  # the smallest ids of each are enough
+                spot = np.repeat(self.cut[rows] - np.cumsum(few) + few, few) + np.arange(few.sum())
+                ids, score = self.ids[spot], np.repeat(score, few)
+                ids, score = ids[ids != own], score[ids != own]
+                order = np.lexsort((ids, -score))[:k]
+                yield own, ids[order].astype(np.int64), score[order]
+
+
 def search_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, top: float, k: int, factor: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query, ids, scores) of each query's k best in the shard, best first, its own row left out; top: a bound on all norms."""
-    order = np.argsort(ids, kind="stable")
-    ids, vectors = ids[order], vectors[order]
-    points, group = np.unique(vectors, axis=0, return_inverse=True)
-    group = group.reshape(-1)
-    members = np.argsort(group, kind="stable")  # ids of equal vectors, ascending
-    cut = np.searchsorted(group[members], np.arange(len(points) + 1))
-    lift = np.sqrt(np.maximum(top * top - (points**2).sum(axis=1), 0))
-    tree = Tree(np.column_stack([points, lift]))
-    base = (queries**2).sum(axis=1) + top * top  # squared distance = base - 2 * inner product
-    least = tree.least(np.column_stack([queries, np.zeros(len(queries))]))
-    visit = np.argsort(least, axis=1)
-    best = np.full((len(queries), k + 1), -np.inf)  # one more: the query itself may be among them
-    where = np.full((len(queries), k + 1), -1)
-    active = np.arange(len(queries))
-    for step in range(len(tree.leaves)):
-        leaf = visit[active, step]
-        worst = np.sqrt(np.maximum(base[active] - 2 * best[active, -1], 0))
-        on = ~(least[active, leaf] * factor > worst + 1e-9) | np.isinf(best[active, -1])
-        active, leaf = active[on], leaf[on]
-        if not len(active):
-            break
-        for j in np.unique(leaf):
-            q, rows = active[leaf == j], tree.leaves[j][0]
-            score = np.concatenate([best[q], queries[q] @ points[rows].T], axis=1)
-            at = np.concatenate([where[q], np.broadcast_to(rows, (len(q), len(rows)))], axis=1)
-            first = np.argsort(-score, axis=1, kind="stable")[:, : k + 1]
-            best[q], where[q] = np.take_along_axis(score, first, 1), np.take_along_axis(at, first, 1)
-    for i, own in enumerate(query_ids):
-        rows = where[i][where[i] >= 0]
-        score = (points[rows] * queries[i]).sum(axis=1)  # the same sum for a vector wherever it lies
-        found, value = [], []
-        for r, s in zip(rows, score, strict=True):
-            same = ids[members[cut[r] : cut[r + 1]]]
-            same = same[same != own][:k]
-            found.append(same)
-            value.append(np.full(len(same), s))
-        found, value = np.concatenate([*found, np.zeros(0, np.int64)]), np.concatenate([*value, np.zeros(0)])
-        order = np.lexsort((found, -value))[:k]
-        yield own, found[order].astype(np.int64), value[order]
-
-
-def _searcher(shared, k: int, factor: float):
-    return lambda table: _search(table, *shared.value, k, factor)
-
-
-def _search(table: pa.Table, query_ids: np.ndarray, queries: np.ndarray, top: float, k: int, factor: float) -> pa.Table:
-    vectors = _matrix(table.column("embedding").combine_chunks())
-    got = list(search_shard(table.column("vec_id").to_numpy(), vectors, query_ids, queries, top, k, factor))
-    return pa.table(
-        {
-            "query_id": np.repeat([q for q, _, _ in got], [len(i) for _, i, _ in got]).astype(np.int64),
-            "vec_id": np.concatenate([i for _, i, _ in got] or [np.zeros(0, np.int64)]),
-            "score": np.concatenate([s for _, _, s in got] or [np.zeros(0)]),
-        }
-    )
+    """(query, ids, scores) of each query's k best among the vectors, best first, its own row left out; top: a bound on all norms."""
+    return Shard(ids, vectors, top).search(query_ids, queries, k, factor)
+
+
+def _plant(table: pa.Table, top: float) -> pa.Table:
+    shards = [Shard(ids, vectors, top) for ids, vectors in _by_length(table.column("vec_id").combine_chunks(), table.column("embedding").combine_chunks()).values()]
+    return pa.table({"length": pa.array([s.points.shape[1] for s in shards], pa.int32()), "shard": pa.array([pickle.dumps(s, 5) for s in shards], pa.binary())})
+
+
+def _search(batches: Iterator[pa.RecordBatch], shared, k: int, factor: float) -> Iterator[pa.RecordBatch]:
+    queries = shared.value
+    for batch in batches:
+        for length, packed in zip(batch.column("length").to_pylist(), batch.column("shard"), strict=True):
+            if length not in queries:
+                continue
+            got = list(pickle.loads(packed.as_buffer()).search(*queries[length], k, factor))
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "query_id": np.repeat([q for q, _, _ in got], [len(i) for _, i, _ in got]).astype(np.int64),
+                    "vec_id": np.concatenate([i for _, i, _ in got]),
+                    "score": np.concatenate([s for _, _, s in got]),
+                }
+            )
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, factor: float = FACTOR) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of queries, the k rows of vectors with the largest inner product, best
     first, ties to the smaller vec_id, a row with the query's own vec_id left out.
 
-    Vectors that are null, zero, or hold null or non-finite components take no part on either side; if fewer than k others
-    remain, all are returned. Both tables have vec_id and embedding (arrays of one length; other columns are not read);
-    vec_id is unique and not null; an empty table gives no rows."""
+    Vectors that are null, zero, or hold null or non-finite components take no part on either side, nor do rows with a
+    null vec_id; if fewer than k others remain, all are returned. Both tables have vec_id and embedding; other columns are
+    not read. Vectors of another length than a query's are no candidates of it. Of rows with the same vec_id on one side,
+    the one whose vector is smallest (component by component from the first) takes part, so repeated rows count once. An empty table gives no rows."""
     spark = vectors.sparkSession
     rows = usable(vectors.where("vec_id IS NOT NULL")).select("vec_id", "embedding")
     asked = usable(queries.where("vec_id IS NOT NULL")).select("vec_id", "embedding")
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    count, top = rows.agg(F.count(F.lit(1)), F.max(norm)).first()
-    n_queries = asked.count()
-    shards = max(1, -(-count // SHARD_ROWS))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)))
+    count, top, longest = rows.agg(F.count(F.lit(1)), F.max(norm), F.max(F.size("embedding"))).first()
+    top, n_queries = (top or 0.0) * (1 + 1e-9), asked.count()
+    shards = max(1, -(-count // max(1, min(SHARD_ROWS, SHARD_BYTES // (8 * (longest or 1))))))
+    dealt = rows.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(shards)))
+    trees = stored(dealt.applyInArrow(lambda table: _plant(table, top), "length int, shard binary"), "trees")
     blocks = max(1, -(-n_queries // QUERY_BLOCK))
-    parts = []
+    path = scratch(spark, "nearest")
     for b in range(blocks):
         block = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow().combine_chunks()
-        shared = spark.sparkContext.broadcast((block.column("vec_id").to_numpy(), _matrix(block.column("embedding").combine_chunks()), (top or 0.0) * (1 + 1e-9)))
-        found = dealt.groupBy("shard").applyInArrow(_searcher(shared, k, factor), "query_id long, vec_id long, score double")
+        shared = spark.sparkContext.broadcast(_by_length(block.column("vec_id").combine_chunks(), block.column("embedding").combine_chunks()))
+        found = trees.mapInArrow(lambda it, s=shared: _search(it, s, k, factor), "query_id long, vec_id long, score double")
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        parts.append(stored(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "nearest"))
+        ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        ranked.write.mode("append").parquet(path)
         shared.unpersist()
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return spark.read.schema(ranked.schema).parquet(path)
 
 
 def op9_vantage_search(spark, sf_dir: str) -> DataFrame:

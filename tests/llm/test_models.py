@@ -142,6 +142,40 @@ def test_search_is_exact_with_factor_one(spark):
     assert got == sorted(exact(ids, vectors, [i for i in ids if i % 20 == 0], 20))
 
 
+def test_search_is_exact_on_ties(spark, monkeypatch):
+    """Distinct vectors with one score, small integers, sums that products round otherwise, over several shards and steps."""
+    monkeypatch.setattr(vantage_search, "SHARD_ROWS", 900)
+    rng = np.random.default_rng(11)
+    level = rng.normal(size=(400, 6))
+    level[:, 0] = 1.0
+    level[0] = [1, 0, 0, 0, 0, 0]  # scores 1 with all of them
+    whole = rng.integers(-2, 3, size=(3000, 6)).astype(float)
+    whole = whole[(whole != 0).any(axis=1)]
+    near = np.tile(rng.normal(size=6), (300, 1)) * (1 + rng.integers(-2, 3, size=(300, 1)) * 2.0**-52)
+    for vectors, every in ((level, 400), (whole, 100), (np.concatenate([whole[:500], near]), 40)):
+        ids = np.arange(len(vectors))
+        df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, vectors)], "vec_id long, embedding array<double>")
+        got = sorted(tuple(r) for r in vantage_search.nearest(df, df.where(f"vec_id % {every} = 0")).collect())
+        assert got == sorted(exact(ids, vectors, ids[::every], 20))
+
+
+def test_search_of_repeated_rows_and_other_lengths(spark, monkeypatch):
+    rows = [(0, [1.0, 2.0]), (1, [3.0, 1.0]), (1, [2.0, 9.0]), (1, [2.0, 9.0]), (2, [1.0, 1.0, 1.0]), (3, [4.0]), (4, [0.5, 0.0]), (4, [0.5, 0.0]), (None, [9.0, 9.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(vantage_search, "QUERY_BLOCK", 1)
+    got = sorted(tuple(r) for r in vantage_search.nearest(df, df.where("vec_id IN (0, 2, 4)")).collect())
+    assert got == [(0, 1, 1, 20.0), (0, 2, 4, 0.5), (4, 1, 1, 1.0), (4, 2, 0, 0.5)]
+
+
+def test_search_query_on_its_whole_table(spark):
+    from itemloom.llm.registry import QUERIES
+
+    rows = [r for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect() if r["embedding"] and all(x is not None and math.isfinite(x) for x in r["embedding"]) and any(r["embedding"])]
+    ids, vectors = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], np.float64)
+    got = sorted(tuple(r) for r in QUERIES["op9_vantage_search"](spark, SF).select("query_id", "rank", "vec_id", "score").collect())
+    assert got == sorted(exact(ids, vectors, [i for i in ids if i % 20 == 0], 20)) and got
+
+
 def test_relaxed_search_keeps_recall(spark):
     from itemloom.llm.vantage_search import Tree, search_shard
 
