@@ -15,6 +15,7 @@ by context, summed by Spark, turned into table cells there and quantized; the dr
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,13 +32,15 @@ ORDERS = 7
 #: log2 of the cells of each order's table; orders 0 and 1 are exact.
 CELL_BITS = (8, 16, 20, 21, 22, 22, 22)
 PRIOR = 0.2
+#: Stands for log-odds of 0 where decisions were seen, as 0 says that none were.
+SEEN = 2.0**-14
 END = 0xFF
 #: log2 of the cells that are summed and sent as one row.
 CHUNK_BITS = 16
 #: The mixer's fold is learned in so many rounds, each text in one of them, with an average after each.
 MIX_ROUNDS = 3
-#: Bytes of the fold for each group of texts that learns by itself, and the most groups (beyond it, groups grow).
-MIX_BYTES, MIX_GROUPS = 2 << 20, 512
+#: Bytes of the fold for each group of texts that learns by itself; groups are averaged in so many sums before the driver adds these.
+MIX_BYTES, MIX_SUMS = 2 << 20, 64
 #: Distinct strings a task holds before it passes them on.
 HELD = 6_000_000
 #: Most frequent words whose counts are broadcast; other words meet their counts by hash range.
@@ -171,13 +174,13 @@ class Scorer:
 
 
 def _gather(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """Packed counts of seven-byte strings, dealt out by their last two context bytes."""
+    """Packed counts of seven-byte strings, dealt out by their last four context bytes."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
 
     def send():
         keys, counts = fold(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
-        part = (mix(_context(keys, 2)) % np.uint64(parts)).astype(np.int32)
+        part = (mix(_context(keys, 4)) % np.uint64(parts)).astype(np.int32)
         order = np.argsort(part, kind="stable")
         cut = np.searchsorted(part[order], np.arange(parts + 1))
         full = np.flatnonzero(np.diff(cut))
@@ -204,8 +207,8 @@ def _unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return fold(np.concatenate([np.cumsum(k) for k, _ in got]), np.concatenate([c for _, c in got]))
 
 
-def _to_cells(key, table: pa.Table) -> pa.Table:
-    """Counts of decisions in the tables' cells, in chunks."""
+def _to_cells(key, table: pa.Table, salts: int = 1) -> pa.Table:
+    """Counts of decisions in the tables' cells, in chunks; a part's share of a chunk is first summed with those of its salt."""
     keys, counts = _unpack(table)
     keys = keys.view(np.uint64)
     out = {"chunk": [], "packed": []}
@@ -226,7 +229,8 @@ def _to_cells(key, table: pa.Table) -> pa.Table:
             own = slice(cut[c], cut[c + 1])
             out["chunk"].append((k << 16) + int(c))
             out["packed"].append(squeeze(np.diff(cell[own], prepend=0), one[own], zero[own]))
-    return pa.table([pa.array(out["chunk"], pa.int32()), pa.array(out["packed"], pa.binary())], list(out))
+    salt = pa.array([key[0].as_py() % salts if key else 0] * len(out["chunk"]), pa.int32())
+    return pa.table([pa.array(out["chunk"], pa.int32()), salt, pa.array(out["packed"], pa.binary())], ["chunk", "salt", "packed"])
 
 
 def _log_odds(key, table: pa.Table) -> pa.Table:
@@ -234,11 +238,13 @@ def _log_odds(key, table: pa.Table) -> pa.Table:
     cell, one, zero = fold(np.concatenate([np.cumsum(c) for c, _, _ in got]), *(np.concatenate([g[i] for g in got]) for i in (1, 2)))
     order, chunk = divmod(key[0].as_py(), 1 << 16)
     values = np.zeros(1 << min(CELL_BITS[order], CHUNK_BITS), np.float16)
-    values[cell - (chunk << CHUNK_BITS)] = np.log((one + PRIOR) / (zero + PRIOR))
+    odds = np.log((one + PRIOR) / (zero + PRIOR))
+    values[cell - (chunk << CHUNK_BITS)] = np.where(odds == 0, SEEN, odds)
     return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "cells": pa.array([values.tobytes()], pa.binary())})
 
 
 def _add_cells(key, table: pa.Table) -> pa.Table:
+    """The sum of a chunk's pieces; key is (chunk, salt)."""
     got = [spread(x.as_py()) for x in table.column("packed")]
     cell, one, zero = fold(np.concatenate([np.cumsum(c) for c, _, _ in got]), *(np.concatenate([g[i] for g in got]) for i in (1, 2)))
     return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "packed": pa.array([squeeze(np.diff(cell, prepend=0), one, zero)], pa.binary())})
@@ -258,8 +264,8 @@ def _learn_groups(batches: Iterator[pa.RecordBatch], tables, start: list[np.ndar
     group, mixer, size = None, None, 0
 
     def result():
-        arrays = [*(v.astype(np.float32) for v in mixer.values()), *mixer.used]
-        return pa.RecordBatch.from_pydict({"group": pa.array([group], pa.int32()), "bytes": pa.array([size], pa.int64()), "learned": pa.array([[a.tobytes() for a in arrays]], pa.list_(pa.binary()))})
+        learned = [v * n[:, None] for v, n in zip((v.astype(np.float64) for v in mixer.values()), mixer.used, strict=True)]
+        return _learned(group, 1, size, learned, mixer.used)
 
     for batch in batches:
         groups = batch.column("group").to_numpy()
@@ -285,40 +291,67 @@ def _learn_groups(batches: Iterator[pa.RecordBatch], tables, start: list[np.ndar
         yield result()
 
 
-def _average(results: list, start: list[np.ndarray]) -> list[np.ndarray]:
-    """Each row's mean over the groups, weighted by its uses there; a row that none used stays."""
+_LEARNED = "group int, groups int, bytes long, learned array<binary>"
+
+
+def _learned(group: int, groups: int, size: int, values: list[np.ndarray], used: list[np.ndarray]) -> pa.RecordBatch:
+    """Values, each times its uses, and the uses, of one group or a sum of groups."""
+    return pa.RecordBatch.from_pydict(
+        {
+            "group": pa.array([group], pa.int32()), "groups": pa.array([groups], pa.int32()), "bytes": pa.array([size], pa.int64()),
+            "learned": pa.array([[a.tobytes() for a in (*values, *used)]], pa.list_(pa.binary())),
+        }
+    )
+
+
+def _totals(rows: list[dict], start: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Sums over rows of _learned, in the order of their groups, so that rounding does not depend on how they arrive."""
     total, used = [np.zeros(v.shape) for v in start], [np.zeros(len(v), np.int64) for v in start]
-    for row in sorted(results, key=lambda r: r["group"]):
+    for row in sorted(rows, key=lambda r: r["group"]):
         for i, v in enumerate(start):
-            n = np.frombuffer(row["learned"][len(start) + i], np.int64)
-            total[i] += np.frombuffer(row["learned"][i], np.float32).reshape(v.shape) * n[:, None]
-            used[i] += n
-    return [np.where(n[:, None] > 0, t / np.maximum(n, 1)[:, None], v).astype(np.float32) for t, n, v in zip(total, used, start, strict=True)]
+            total[i] += np.frombuffer(row["learned"][i], np.float64).reshape(v.shape)
+            used[i] += np.frombuffer(row["learned"][len(start) + i], np.int64)
+    return total, used
+
+
+def _adder(start: list[np.ndarray]):
+    return lambda table: _add_groups(table.to_pylist(), start)
+
+
+def _add_groups(rows: list[dict], start: list[np.ndarray]) -> pa.Table:
+    return pa.Table.from_batches([_learned(min(r["group"] for r in rows), sum(r["groups"] for r in rows), sum(r["bytes"] for r in rows), *_totals(rows, start))])
+
+
+def _average(rows: list, start: list[np.ndarray]) -> list[np.ndarray]:
+    """Each value's mean over the groups, weighted by its uses there; one that no group used stays."""
+    return [np.where(n[:, None] > 0, t / np.maximum(n, 1)[:, None], v).astype(np.float32) for t, n, v in zip(*_totals(rows, start), start, strict=True)]
 
 
 def train(docs: DataFrame) -> Mixer:
     """Tables from whole texts of all training documents; weights online from all of one fold, before the tables have it."""
     spark = docs.sparkSession
     fold_of = F.expr(f"{crc32('doc_id')} % 10")
-    texts = docs.where("text IS NOT NULL")
     parts = max(64, 2 * source_parts(docs))
+    salts = math.isqrt(parts)
 
     def cells(some: DataFrame) -> DataFrame:
         counts = some.select("text").mapInArrow(lambda it: _gather(it, parts), "part int, packed binary")
-        return counts.groupBy("part").applyInArrow(lambda key, t: _to_cells(key, t), "chunk int, packed binary")
+        pieces = counts.groupBy("part").applyInArrow(lambda key, t: _to_cells(key, t, salts), "chunk int, salt int, packed binary")
+        return pieces.groupBy("chunk", "salt").applyInArrow(lambda key, t: _add_cells(key, t), "chunk int, packed binary")
 
-    first = stored(cells(texts.where(fold_of > 1)).groupBy("chunk").applyInArrow(lambda key, t: _add_cells(key, t), "chunk int, packed binary"), "cells")
-    own = stored(texts.where(fold_of == 1).select(F.xxhash64("doc_id", "text").alias("h"), "doc_id", "text"), "mixer-texts")
-    groups = min(max(1, -(-(own.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // MIX_BYTES)), MIX_GROUPS)
+    first = stored(cells(docs.where(fold_of > 1)), "cells")
+    own = stored(docs.where(fold_of == 1).select(F.xxhash64("doc_id", "text").alias("h"), "doc_id", "text"), "mixer-texts")
+    groups = max(1, -(-(own.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // MIX_BYTES))
     own = own.withColumn("group", F.pmod(F.xxhash64("h"), F.lit(groups)).cast("int"))
     tables, values, before = spark.sparkContext.broadcast(_tables(first)), Mixer([]).values(), 0
     for r in range(MIX_ROUNDS):
         some = own.where(F.pmod("h", F.lit(MIX_ROUNDS)) == r).repartition(groups, "group").sortWithinPartitions("group", "h", "doc_id", "text").select("group", "text")
-        results = some.mapInArrow(lambda it, start=values, before=before: _learn_groups(it, tables, start, before), "group int, bytes long, learned array<binary>").collect()
-        values = _average(results, values)
-        before += sum(x["bytes"] for x in results) // max(len(results), 1)
+        learned = some.mapInArrow(lambda it, start=values, before=before: _learn_groups(it, tables, start, before), _LEARNED)
+        rows = learned.groupBy(F.col("group") % MIX_SUMS).applyInArrow(_adder(values), _LEARNED).collect()
+        values = _average(rows, values)
+        before += sum(x["bytes"] for x in rows) // max(sum(x["groups"] for x in rows), 1)
     tables.destroy()
-    mixer = Mixer(_tables(first.unionByName(cells(own))))
+    mixer = Mixer(_tables(first.unionByName(stored(cells(docs.where(fold_of == 1)), "more-cells"))))
     for mine, value in zip(mixer.values(), values, strict=True):
         mine[:] = value
     return mixer
@@ -373,7 +406,7 @@ def _score(batches: Iterator[pa.RecordBatch], shared, parts: int) -> Iterator[pa
     """A row for each document, with its frequent words counted, and packed rows of its other words by hash range."""
     mixer, frequent, counts, logs = shared.value
     scorer, task, n_rows = Scorer(mixer), TaskContext.get().partitionId(), 0
-    names = ["part", "packed", "row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"]
+    names = ["part", "packed", "row", "doc_id", "held_out", "n_tokens", "n_bytes", "n_known", "base", "score"]
     for batch in batches:
         for rows, data, offsets in text_blocks(batch, limit=_BLOCK):
             n = rows.num_rows
@@ -391,7 +424,7 @@ def _score(batches: Iterator[pa.RecordBatch], shared, parts: int) -> Iterator[pa
             n_rows += n
             none = lambda m, t: pa.nulls(m, t)
             yield pa.RecordBatch.from_arrays(
-                [none(n, pa.int32()), none(n, pa.binary()), pa.array(ids), rows.column("doc_id"), rows.column("held_out"), pa.array(np.diff(first) + 1), pa.array(known), pa.array(base), pa.array(score)], names
+                [none(n, pa.int32()), none(n, pa.binary()), pa.array(ids), rows.column("doc_id"), rows.column("held_out"), pa.array(np.diff(first) + 1), pa.array(np.diff(stop)), pa.array(known), pa.array(base), pa.array(score)], names
             )
             words, doc = words[~hit], doc[~hit]
             part = (words % np.uint64(parts)).astype(np.int32)
@@ -402,7 +435,7 @@ def _score(batches: Iterator[pa.RecordBatch], shared, parts: int) -> Iterator[pa
             packed = [squeeze(words[cut[p] : cut[p + 1]].view(np.int64), np.diff(ids[doc[cut[p] : cut[p + 1]]], prepend=0)) for p in full]
             m = len(full)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(full, pa.int32()), pa.array(packed, pa.binary()), none(m, pa.int64()), none(m, pa.int64()), none(m, pa.bool_()), *(none(m, pa.int64()) for _ in range(2)), *(none(m, pa.float64()) for _ in range(2))], names
+                [pa.array(full, pa.int32()), pa.array(packed, pa.binary()), none(m, pa.int64()), none(m, pa.int64()), none(m, pa.bool_()), *(none(m, pa.int64()) for _ in range(3)), *(none(m, pa.float64()) for _ in range(2))], names
             )
 
 
@@ -434,8 +467,10 @@ def score_texts(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for each row of docs (doc_id, text).
 
     Learns from documents whose crc32(doc_id as text) mod 10 is not 0; null doc_ids are scored and teach nothing. A null
-    text counts as an empty one: an end alone, in training too. Words are compared by 64-bit hashes. A repeated row
-    teaches again and is scored again. An empty table gives an empty table."""
+    text counts as an empty one: an end alone, in training too. score is the log10 probability of a text's bytes and their
+    end, bits_per_byte the same in bits, for each byte, the end counted as one. Words are compared by 64-bit hashes. A
+    repeated row teaches again and is scored again. Texts are scored whole, however long. Columns other than doc_id and
+    text are not read. An empty table gives an empty table."""
     spark = docs.sparkSession
     held = F.expr(f"{crc32('doc_id')} % 10 = 0")
     parts = max(64, 2 * source_parts(docs))
@@ -453,7 +488,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
     frequent, counts = frequent[order], table["n"].to_numpy(np.int64)[order]
     logs = np.log10((counts + 0.1) / (total + 0.1 * (distinct + 1)))
     shared = spark.sparkContext.broadcast((train(docs), frequent, counts, logs))
-    schema = "part int, packed binary, row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
+    schema = "part int, packed binary, row long, doc_id long, held_out boolean, n_tokens long, n_bytes long, n_known long, base double, score double"
     every = docs.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "text")
     scored = stored(every.mapInArrow(lambda it: _score(it, shared, parts), schema), "scored")
     asked = scored.where("part IS NOT NULL").select("part", "packed")
@@ -463,6 +498,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), "score",
+        (-F.col("score") * math.log2(10) / F.col("n_bytes")).alias("bits_per_byte"),
     )
 
 

@@ -116,6 +116,106 @@ def test_every_byte_of_the_fold_is_learned_once(spark, table, prose, monkeypatch
     assert len({r["group"] for r in seen}) > 1
 
 
+class PlainMixer:
+    """The model bit by bit: counts in dictionaries, texts of one group, learned in the operator's order and steps."""
+
+    def __init__(self, texts, mixer_texts):
+        self.counts = {}
+        self.add(texts)
+        n = context_mixing.ORDERS
+        self.reach = {(g, j): 0.25 for g in range((n + 1) * n) for j in range(n)}
+        self.node = {(g, j): 0.0 for g in range(256) for j in range(n)}
+        self.fine = {(g, b): 1 / (1 + math.exp(-(-8 + b / 2))) for g in range(256) for b in range(33)}
+        before = 0
+        for some in mixer_texts:
+            size, codes = 0, [c for t in some for c in self.codes(t)]
+            while size < len(codes):
+                done = before + size
+                step = min(max(256, done >> 6), 4096)
+                for at in range(size, min(size + 16 * step, len(codes)), step):
+                    self.learn(codes[at : min(at + step, size + 16 * step)], 0.005 / (1 + done / 40_000) + 0.001)
+                size = min(size + 16 * step, len(codes))
+            before += size
+        self.add(t for some in mixer_texts for t in some)
+
+    @staticmethod
+    def codes(text):
+        raw = bytes(6) + (text or "").encode() + b"\xff"
+        return [(raw[i - 6 : i], raw[i]) for i in range(6, len(raw))]
+
+    @staticmethod
+    def cell(order, context, node):
+        value = np.array([int.from_bytes(context[6 - order :], "big")], np.uint64)
+        return order, int(context_mixing._cells(order, value, np.uint64(node))[0])
+
+    def add(self, texts):
+        for t in texts:
+            for context, byte in self.codes(t):
+                for bit in range(8):
+                    for k in range(context_mixing.ORDERS):
+                        own = self.counts.setdefault(self.cell(k, context, (1 << bit) | (byte >> (8 - bit))), [0, 0])
+                        own[1 - (byte >> (7 - bit) & 1)] += 1
+
+    def inputs(self, context, byte, bit):
+        node, x = (1 << bit) | (byte >> (8 - bit)), []
+        for k in range(context_mixing.ORDERS):
+            one, zero = self.counts.get(self.cell(k, context, node), (0, 0))
+            odds = math.log((one + 0.2) / (zero + 0.2)) if one + zero else 0.0
+            x.append(float(np.float16(2.0**-14 if one + zero and odds == 0 else odds)))
+        reach = max((k + 1 for k in range(context_mixing.ORDERS) if x[k]), default=0)
+        place = next((k for k in range(6) if context[5 - k] <= 32), 6)
+        mixed = sum(x[j] * (self.reach[reach * 7 + place, j] + self.node[node, j]) for j in range(7))
+        return x, reach * 7 + place, node, min(max(mixed, -12), 12), byte >> (7 - bit) & 1
+
+    def learn(self, codes, rate):
+        for bit in range(8):
+            moves = []
+            for context, byte in codes:
+                x, gate, node, mixed, y = self.inputs(context, byte, bit)
+                spot = (min(max(mixed, -8), 8) + 8) * 2
+                low = min(int(spot), 31)
+                moves.append((x, gate, node, rate * (y - 1 / (1 + math.exp(-mixed))), low + (spot - low > 0.5), y))
+            for at, weights in ((1, self.reach), (2, self.node)):
+                n = Counter(m[at] for m in moves)
+                for m in moves:
+                    for j in range(7):
+                        weights[m[at], j] += m[3] * m[0][j] / math.sqrt(n[m[at]])
+            seen = {}
+            for m in moves:
+                seen.setdefault((m[2], m[4]), []).append(m[5])
+            for spot, ys in seen.items():
+                self.fine[spot] += (1 - 0.99 ** len(ys)) * (sum(ys) / len(ys) - self.fine[spot])
+                self.fine[spot] = min(max(self.fine[spot], 1e-4), 1 - 1e-4)
+
+    def score(self, text):
+        total = 0.0
+        for context, byte in self.codes(text):
+            for bit in range(8):
+                _, _, node, mixed, y = self.inputs(context, byte, bit)
+                spot = (min(max(mixed, -8), 8) + 8) * 2
+                low = min(int(spot), 31)
+                fine = self.fine[node, low] * (low + 1 - spot) + self.fine[node, low + 1] * (spot - low)
+                p = min(max(0.5 / (1 + math.exp(-mixed)) + 0.5 * fine, 1e-5), 1 - 1e-5)
+                total += math.log10(p if y else 1 - p)
+        return total
+
+
+def test_scores_against_a_plain_model(spark, table, prose):
+    fold_of = lambda i: -1 if i is None else zlib.crc32(str(i).encode()) % 10
+    pairs = [(i, prose(6 + i % 9, i)) for i in range(90)] + [(200, None), (201, ""), (None, "aside"), (7, prose(13, 7)), (206, None), (207, "")]
+    hashes = {(r["doc_id"], r["text"]): r["h"] for r in table(pairs).selectExpr("doc_id", "text", "xxhash64(doc_id, text) AS h").collect()}
+    mine = sorted((p for p in pairs if fold_of(p[0]) == 1), key=lambda p: (hashes[p], p[0], p[1] or ""))
+    rounds = [[t for i, t in mine if hashes[i, t] % context_mixing.MIX_ROUNDS == r] for r in range(context_mixing.MIX_ROUNDS)]
+    assert len(mine) > 6 and all(rounds)
+    plain = PlainMixer([t for i, t in pairs if fold_of(i) > 1], rounds)
+    got = context_mixing.score_texts(table(pairs)).collect()
+    assert len(got) == len(pairs)
+    text_of = dict(pairs)
+    for r in got:
+        assert r["score"] == pytest.approx(plain.score(text_of[r["doc_id"]]), rel=2e-3, abs=2e-3), r["doc_id"]
+        assert r["bits_per_byte"] == pytest.approx(-r["score"] * math.log2(10) / (len((text_of[r["doc_id"]] or "").encode()) + 1))
+
+
 def test_empty_corpus(table):
     assert context_mixing.score_texts(table([])).count() == 0
 
