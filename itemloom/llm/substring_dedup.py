@@ -1,13 +1,16 @@
 """Substring dedup on a de Bruijn graph of words.
 
 Every window of k consecutive words is an edge, from its first to its last k - 1 words. Edges meet by hash range; an edge
-that also starts in a document with a smaller doc_id carries the source coordinate (document and word position) of its
-first occurrence. In each document, edges that follow one another while their source coordinates do too are a
-nonbranching path, compacted to one span; a branch, in the document or at the source, ends it. Joins with the texts at
+that also starts in a document with a smaller doc_id carries a source coordinate, the document and word position of an
+earlier occurrence. Edges of a document that follow one another while their source coordinates do too are a nonbranching
+path; a branch, in the document or at the source, ends it. Paths are compacted within tiles of TILE positions first, then
+by joins of each piece with the one that begins where it ends, doubling the reach each round. Joins with the texts at
 both coordinates verify each span word for word. Words under a verified span go.
 
 Edges travel packed, about 10 bytes each: one row for each block of documents and hash range, holding sorted-out hashes
-and compressed coordinates. A document's spans come back in a few rows.
+and compressed coordinates. A window that several documents of a block share is sent for the smallest of them alone: the
+others have their source in the block. The same holds for windows that earlier blocks of the task were found to share. So
+a passage that a third of all documents hold costs its hash range a few rows a task, not one for each document.
 """
 
 from __future__ import annotations
@@ -27,37 +30,112 @@ from ._text import mix, text_blocks, window_hashes, word_hashes, word_spans
 K = 13
 #: Text bytes whose edges are packed together.
 PACK_BYTES = 2 << 20
+#: log2 of the positions of a document in whose tiles paths are compacted before pieces are joined.
+TILE_BITS = 8
+#: Shared windows that a task remembers from block to block; beyond it, those of the last block.
+REMEMBERED = 1 << 17
 #: Hash ranges for each task that reads documents: a range holds about a sixteenth of one task's edges.
 RANGES_PER_TASK = 16
 
 
-def _edges(batches: Iterator[pa.RecordBatch], k: int, bits: int) -> Iterator[pa.RecordBatch]:
+def _tiles(docs: np.ndarray, pos: np.ndarray, parts: int) -> np.ndarray:
+    return (mix(docs.view(np.uint64) ^ mix((pos >> TILE_BITS).view(np.uint64))) % np.uint64(parts)).astype(np.int32)
+
+
+def _sourced(docs: np.ndarray, pos: np.ndarray, source: np.ndarray, start: np.ndarray, parts: int) -> tuple[np.ndarray, list[bytes]]:
+    """Packed edges with the coordinates of their sources, by tile."""
+    part = _tiles(docs, pos, parts)
+    order = np.lexsort((pos, docs, part))
+    docs, pos, source, start, part = docs[order], pos[order], source[order], start[order], part[order]
+    cut = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
+    packed = [squeeze(np.diff(docs[a:b], prepend=0), np.diff(pos[a:b], prepend=0), docs[a:b] - source[a:b], pos[a:b] - start[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    return part[cut[:-1]], packed
+
+
+class _Shared:
+    """Windows that several documents of a task share, each with its smallest document so far and the position there."""
+
+    def __init__(self):
+        self.hashes, self.docs, self.pos = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, hashes: np.ndarray, docs: np.ndarray, pos: np.ndarray) -> None:
+        if len(self.hashes) + len(hashes) <= REMEMBERED:
+            hashes, docs, pos = np.concatenate([self.hashes, hashes]), np.concatenate([self.docs, docs]), np.concatenate([self.pos, pos])
+        order = np.lexsort((pos, docs, hashes))
+        hashes, docs, pos = hashes[order], docs[order], pos[order]
+        head = np.ones(len(hashes), bool)
+        head[1:] = hashes[1:] != hashes[:-1]
+        self.hashes, self.docs, self.pos = hashes[head][:REMEMBERED], docs[head][:REMEMBERED], pos[head][:REMEMBERED]
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of the hashes are known, and where)."""
+        if not len(self.hashes):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        known = np.flatnonzero(self.hashes[at] == hashes)
+        return known, at[known]
+
+
+def _within(hashes: np.ndarray, docs: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(edges that also start in a smaller document of the same arrays, the first place of each)."""
+    order = np.argsort(hashes, kind="stable")
+    same = hashes[order[1:]] == hashes[order[:-1]]
+    many = np.zeros(len(hashes), bool)
+    many[:-1] |= same
+    many[1:] |= same
+    some = order[many]
+    some = some[np.lexsort((pos[some], docs[some], hashes[some]))]
+    own = hashes[some]
+    head = np.flatnonzero(np.diff(own, prepend=own[:1] + np.uint64(1)))
+    source = some[np.repeat(head, np.diff(head, append=len(some)))]
+    late = docs[some] > docs[source]
+    return some[late], source[late]
+
+
+def _edges(batches: Iterator[pa.RecordBatch], k: int, bits: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """Packed edges by hash range, and as part -1 - tile those whose source was found on the way."""
+    shared = _Shared()
     for batch in batches:
         for rows, data, offsets in text_blocks(batch, limit=PACK_BYTES):
             starts, ends, first = word_spans(data, offsets)
             hashes, at = window_hashes(word_hashes(data, starts, ends, lower=False), first, k)
             if not len(hashes):
                 continue
-            count = np.diff(at)
-            row = np.repeat(np.arange(rows.num_rows), count)
-            pos = np.arange(len(hashes)) - np.repeat(at[:-1], count)
-            ids = rows.column("doc_id").to_numpy(zero_copy_only=False)
-            part = (hashes >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
-            order = np.argsort(part, kind="stable")
-            cut = np.searchsorted(part[order], np.arange((1 << bits) + 1))
+            docs = np.repeat(rows.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64), np.diff(at))
+            pos = np.arange(len(hashes)) - np.repeat(at[:-1], np.diff(at))
+            source, start = docs.copy(), pos.copy()
+            late, first_place = _within(hashes, docs, pos)
+            source[late], start[late] = docs[first_place], pos[first_place]
+            known, where = shared.find(hashes)
+            earlier = shared.docs[where] < docs[known]
+            known, where = known[earlier], where[earlier]
+            source[known], start[known] = shared.docs[where], shared.pos[where]
+            places = np.unique(first_place)
+            shared.add(hashes[places], docs[places], pos[places])
+            sent = source < docs
+            tile, packed = _sourced(docs[sent], pos[sent], source[sent], start[sent], parts)
+            out = {"part": (-1 - tile).tolist(), "edges": [None] * len(packed), "places": packed}
+            order = np.flatnonzero(~sent)
+            part = (hashes[order] >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
+            by_part = np.argsort(part, kind="stable")
+            order, part = order[by_part], part[by_part]
+            cut = np.searchsorted(part, np.arange((1 << bits) + 1))
             low = hashes[order].view(np.uint8).reshape(-1, 8)[:, :7]  # the range stands for the top byte
-            out = {"part": [], "edges": [], "places": []}
-            for p in np.flatnonzero(np.diff(cut)):
+            for p in np.flatnonzero(np.diff(cut)).tolist():
                 own = order[cut[p] : cut[p + 1]]
-                docs = np.flatnonzero(np.diff(row[own], prepend=-1))
+                heads = np.flatnonzero(np.concatenate([[True], docs[own[1:]] != docs[own[:-1]]]))
                 out["part"].append(p)
                 out["edges"].append(low[cut[p] : cut[p + 1]].tobytes())
-                out["places"].append(squeeze(np.diff(ids[row[own[docs]]], prepend=0), np.diff(docs, append=len(own)), np.diff(pos[own], prepend=0)))
+                out["places"].append(squeeze(np.diff(docs[own[heads]], prepend=0), np.diff(heads, append=len(own)), np.diff(pos[own], prepend=0)))
             yield pa.RecordBatch.from_arrays([pa.array(out["part"], pa.int32()), pa.array(out["edges"], pa.binary()), pa.array(out["places"], pa.binary())], list(out))
 
 
-def _repeats(key, table: pa.Table, doc_parts: int) -> pa.Table:
-    """Edges of one hash range that start in a document smaller than theirs, with the first place they start at."""
+def _repeats(key, table: pa.Table, parts: int) -> pa.Table:
+    """Edges of one hash range that start in a document smaller than theirs, with the first place they start at, by tile."""
+    part = key[0].as_py()
+    if part < 0:
+        tile, packed = [-1 - part] * table.num_rows, table.column("places").combine_chunks()
+        return pa.table([pa.array(tile, pa.int32()), packed], ["part", "places"])
     low, docs, pos = [], [], []
     for edges, places in zip(table.column("edges"), table.column("places"), strict=True):
         flat = np.frombuffer(edges.as_py(), np.uint8).reshape(-1, 7)
@@ -68,33 +146,13 @@ def _repeats(key, table: pa.Table, doc_parts: int) -> pa.Table:
         docs.append(np.repeat(np.cumsum(d), n))
         pos.append(np.cumsum(p))
     low, docs, pos = np.concatenate(low), np.concatenate(docs), np.concatenate(pos)
-    order = np.argsort(low)
-    same = low[order[1:]] == low[order[:-1]]
-    many = np.zeros(len(low), bool)
-    many[:-1] |= same
-    many[1:] |= same
-    some = order[many]
-    some = some[np.lexsort((pos[some], docs[some], low[some]))]
-    low, docs, pos = low[some], docs[some], pos[some]
-    head = np.flatnonzero(np.diff(low, prepend=low[:1] + np.uint64(1)))
-    source = np.repeat(head, np.diff(head, append=len(low)))
-    late = np.flatnonzero(docs > docs[source])
-    part = (mix(docs[late].view(np.uint64)) % np.uint64(doc_parts)).astype(np.int32)
-    order = np.argsort(part, kind="stable")
-    late, part = late[order], part[order]
-    out = {"part": [], "places": []}
-    cut = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
-    for a, b in zip(cut[:-1], cut[1:], strict=True):
-        own = late[a:b]
-        own = own[np.lexsort((pos[own], docs[own]))]
-        src = source[own]
-        out["part"].append(part[a])
-        out["places"].append(squeeze(np.diff(docs[own], prepend=0), np.diff(pos[own], prepend=0), docs[own] - docs[src], pos[own] - pos[src]))
-    return pa.table([pa.array(out["part"], pa.int32()), pa.array(out["places"], pa.binary())], list(out))
+    late, source = _within(low, docs, pos)
+    tile, packed = _sourced(docs[late], pos[late], docs[source], pos[source], parts)
+    return pa.table([pa.array(tile, pa.int32()), pa.array(packed, pa.binary())], ["part", "places"])
 
 
-def _paths(key, table: pa.Table, k: int) -> pa.Table:
-    """Maximal runs of repeated edges whose source coordinates advance with their own."""
+def _pieces(key, table: pa.Table) -> pa.Table:
+    """Maximal runs, within a tile, of repeated edges whose source coordinates advance with their own."""
     docs, pos, back, lag = ([] for _ in range(4))
     for places in table.column("places"):
         d, p, b, s = spread(places.as_py())
@@ -103,16 +161,33 @@ def _paths(key, table: pa.Table, k: int) -> pa.Table:
         back.append(b)
         lag.append(s)
     docs, pos, back, lag = (np.concatenate(x) for x in (docs, pos, back, lag))
-    order = np.lexsort((pos, docs))
+    order = np.lexsort((-lag, -back, pos, docs))
     docs, pos, back, lag = docs[order], pos[order], back[order], lag[order]
     once = np.ones(len(docs), bool)
     once[1:] = (docs[1:] != docs[:-1]) | (pos[1:] != pos[:-1])
     docs, pos, back, lag = docs[once], pos[once], back[once], lag[once]
     start = np.ones(len(docs), bool)
-    start[1:] = (docs[1:] != docs[:-1]) | (pos[1:] != pos[:-1] + 1) | (back[1:] != back[:-1]) | (lag[1:] != lag[:-1])
+    start[1:] = (docs[1:] != docs[:-1]) | (pos[1:] != pos[:-1] + 1) | (back[1:] != back[:-1]) | (lag[1:] != lag[:-1]) | (pos[1:] >> TILE_BITS << TILE_BITS == pos[1:])
     at = np.flatnonzero(start)
-    n = np.diff(at, append=len(docs)) + k - 1
-    return pa.table({"doc_id": docs[at], "start": pos[at], "n": n, "source_id": docs[at] - back[at], "source_start": pos[at] - lag[at]})
+    return pa.table({"doc_id": docs[at], "start": pos[at], "end": pos[at] + np.diff(at, append=len(docs)), "back": back[at], "lag": lag[at]})
+
+
+def compact(pieces: DataFrame) -> DataFrame:
+    """Pieces of paths (doc_id, start, end, back, lag; edges start to end - 1) as whole paths: a piece is joined with the
+    one that begins where it ends, on the same document and source, and reaches twice as far each round."""
+    pieces, chain = stored(pieces, "pieces"), ["doc_id", "back", "lag"]
+    border = (F.col("start") % (1 << TILE_BITS) == 0) | (F.col("end") % (1 << TILE_BITS) == 0)
+    now = pieces.where(border)
+    heads = now.join(now.select(*chain, F.col("end").alias("start")), [*chain, "start"], "left_anti").select(*chain, "start")
+    while True:
+        after = now.select(*chain, F.col("start").alias("end"), F.col("end").alias("to"))
+        now = now.join(after, [*chain, "end"], "left")
+        now = stored(now.select(*chain, "start", F.coalesce("to", "end").alias("end"), F.col("to").isNotNull().alias("moved")), "paths")
+        if now.where("moved").isEmpty():
+            break
+        now = now.drop("moved")
+    whole = now.join(heads, [*chain, "start"], "left_semi").select("doc_id", "start", "end", "back", "lag")
+    return pieces.where(~border).unionByName(whole)
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,14 +226,19 @@ def _verify(docs: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
 def repeated_spans(docs: DataFrame, k: int = K) -> DataFrame:
     """doc_id, start, n, source_id, source_start: words start to start + n of doc_id that stand word for word in source_id,
     a smaller doc_id, from source_start on. Every k-word window of a document that also starts in a smaller document lies
-    in one of its spans. Texts with fewer than k words, null texts and rows with a null doc_id have none; a repeated row is
-    the same document; ties between sources go to the smallest doc_id and the first position."""
+    in one of its spans. A span's source is a smaller document that holds it, not always the smallest that does. Texts with
+    fewer than k words, null, empty and blank texts and rows with a null doc_id have none; a repeated row is the same
+    document (a doc_id names one text). Other columns are not read. Texts are read whole, however long. An empty table gives
+    no spans."""
     rows = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
     tasks = source_parts(docs)
     bits = min(20, max(8, (RANGES_PER_TASK * tasks - 1).bit_length()))
-    packed = rows.mapInArrow(lambda it: _edges(it, k, bits), "part int, edges binary, places binary")
+    packed = rows.mapInArrow(lambda it: _edges(it, k, bits, 4 * tasks), "part int, edges binary, places binary")
     places = packed.groupBy("part").applyInArrow(lambda key, t: _repeats(key, t, 4 * tasks), "part int, places binary")
-    spans = places.groupBy("part").applyInArrow(lambda key, t: _paths(key, t, k), "doc_id long, start long, n long, source_id long, source_start long")
+    paths = compact(places.groupBy("part").applyInArrow(lambda key, t: _pieces(key, t), "doc_id long, start long, end long, back long, lag long"))
+    spans = paths.select(
+        "doc_id", "start", (F.col("end") - F.col("start") + (k - 1)).alias("n"), (F.col("doc_id") - F.col("back")).alias("source_id"), (F.col("start") - F.col("lag")).alias("source_start")
+    )
     good, bad = _verify(rows, stored(spans, "spans"))
     if bad.isEmpty():
         return good
