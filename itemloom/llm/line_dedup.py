@@ -1,9 +1,9 @@
 """Line dedup by Spark SQL functions alone: keep bitmaps for each document instead of its text.
 
-Line keys are hashed to 128 bits. Occurrences are counted in two steps, so a line that a third of all documents
-share never meets in one task: first for each key and document shard (Spark combines them before the shuffle), then
-over hashes dealt out by ranges, with a secondary sort by document and position, where the first occurrence streams
-out ahead of its repeats. What goes back to a document is a sparse bitmap: 64 lines to a word, only words with a
+Line keys are hashed to 128 bits. Occurrences are counted in three steps, so a line that a third of all documents
+share never meets in one task: once for each key and document, then for each key and document shard (Spark combines
+these before it shuffles them), then over hashes dealt out by ranges, with a secondary sort by document and position,
+where the first occurrence streams out ahead of its repeats. What goes back to a document is a sparse bitmap: 64 lines to a word, only words with a
 dropped line.
 """
 
@@ -30,25 +30,31 @@ def _bit(pos: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), pos.cast("int").bitwiseAND(F.lit(63)))
 
 
+def _free(name: str, docs: DataFrame) -> str:
+    """A column name that docs does not have."""
+    while name.lower() in [c.lower() for c in docs.columns]:
+        name += "_"
+    return name
+
+
 def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False) -> DataFrame:
     """Lines to drop: doc_id, text_hash, dropped map<bigint, bigint> (line div 64 -> bits), one row for each document that loses lines.
 
     A line goes if its key has at least min_chars code points and stands in at least min_docs documents; with keep_first,
-    its first occurrence by (doc_id, position) stays. Null or empty texts hold one empty line, which is never dropped with
-    min_chars of 1 or more. Rows with the same doc_id are documents of their own if their texts differ; a repeated row
-    counts again. A null doc_id is a document like any other, first in order. An empty table gives an empty table; other
+    its first occurrence by (doc_id, text_hash, position) stays. Null or empty texts hold one empty line, which is never
+    dropped with min_chars of 1 or more. Rows with one doc_id count as one document, repeated or not, and so do all rows
+    without a doc_id, which come first in order; each row loses its own lines. An empty table gives an empty table; other
     columns are not read.
     """
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.transform(_lines(F.col("text")), _key).alias("keys"))
-    # the first line of each key within a document stands for the key
     hashed = lambda k: F.struct(F.xxhash64(k).alias("h1"), F.xxhash64(F.lit("line"), k).alias("h2"))
     long = lambda k: F.length(k) >= min_chars
-    seen = keyed.select("doc_id", "text_hash", F.explode(F.array_distinct(F.filter("keys", long))).alias("k"), F.col("keys")).select(
-        "doc_id", "text_hash", hashed(F.col("k")).alias("h"), F.array_position("keys", F.col("k")).alias("pos")
-    )
-    shard = F.pmod(F.xxhash64("doc_id"), F.lit(SHARDS))
-    first = F.min(F.struct("doc_id", "text_hash", "pos"))
-    parts = seen.groupBy(F.col("h.h1").alias("h1"), F.col("h.h2").alias("h2"), shard.alias("shard")).agg(F.count(F.lit(1)).alias("n"), first.alias("first"))
+    every = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.transform(_lines(F.col("text")), _key)).alias("pos", "k")).where(long(F.col("k")))
+    lines = every.select("doc_id", "text_hash", "pos", hashed(F.col("k")).alias("h")).select("doc_id", "text_hash", "pos", "h.h1", "h.h2")
+    # a document is counted once for a key, whatever copies of its rows there are: all its rows meet in one shard
+    first = F.min(F.struct("text_hash", "pos")).alias("first")
+    seen = lines.groupBy("h1", "h2", "doc_id").agg(first)
+    shard = F.pmod(F.xxhash64("doc_id"), F.lit(SHARDS)).alias("shard")
+    parts = seen.groupBy("h1", "h2", shard).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", F.col("first.text_hash").alias("text_hash"), F.col("first.pos").alias("pos"))).alias("first"))
     ranged = parts.repartitionByRange("h1", "h2").sortWithinPartitions("h1", "h2", "first")
     by_key = Window.partitionBy("h1", "h2")
     repeated = (
@@ -56,11 +62,9 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_f
         .where((F.col("docs") >= min_docs) & (F.col("rank") == 1) & (F.col("docs") > (1 if keep_first and min_chars else 0)))
         .select("h1", "h2", "first")
     )
-    every = keyed.select("doc_id", "text_hash", F.posexplode("keys").alias("pos", "k")).where(long(F.col("k")))
-    lines = every.select("doc_id", "text_hash", "pos", hashed(F.col("k")).alias("h")).select("doc_id", "text_hash", "pos", "h.h1", "h.h2")
     gone = lines.join(repeated, ["h1", "h2"])
     if keep_first:
-        gone = gone.where(~F.struct("doc_id", "text_hash", (F.col("pos") + 1).cast("long").alias("pos")).eqNullSafe(F.col("first")))
+        gone = gone.where(~F.struct("doc_id", "text_hash", "pos").eqNullSafe(F.col("first")))
     bits = gone.groupBy("doc_id", "text_hash", F.shiftright(F.col("pos"), 6).cast("long").alias("word")).agg(
         F.bit_or(_bit(F.col("pos"))).alias("bits")
     )
@@ -68,19 +72,18 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_f
 
 
 def drop_lines(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """docs with kept_lines (array of lines that stay), n_lines and n_dropped added; bitmaps from keep_bitmaps over the same docs."""
-    clash = {"text_hash", "dropped", "kept_lines", "n_lines", "n_dropped"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns in the way: {sorted(clash)}")
-    own = docs.withColumn("text_hash", F.xxhash64("text"))
-    marks = bitmaps.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), "dropped")
-    both = own.join(marks, (own.text_hash == marks["_hash"]) & own.doc_id.eqNullSafe(marks["_doc"]), "left").drop("_doc", "_hash", "text_hash")
-    word = lambda i: F.coalesce(F.try_element_at("dropped", F.shiftright(i, 6).cast("long")), F.lit(0).cast("long"))
+    """docs with kept_lines (array of lines that stay), n_lines and n_dropped, which replace columns of these names; bitmaps
+    from keep_bitmaps over the same docs. A null or empty text has one empty line; repeated rows come out each."""
+    docs = docs.drop("kept_lines", "n_lines", "n_dropped")
+    doc, text_hash, dropped = (_free(name, docs) for name in ("doc", "text_hash", "dropped"))
+    marks = bitmaps.select(F.col("doc_id").alias(doc), F.col("text_hash").alias(text_hash), F.col("dropped").alias(dropped))
+    both = docs.join(marks, (F.xxhash64(docs.text) == marks[text_hash]) & docs.doc_id.eqNullSafe(marks[doc]), "left").drop(doc, text_hash)
+    word = lambda i: F.coalesce(F.try_element_at(dropped, F.shiftright(i, 6).cast("long")), F.lit(0).cast("long"))
     stays = lambda x, i: word(i).bitwiseAND(_bit(i)) == 0
     lines = _lines(F.col("text"))
-    kept = F.when(F.col("dropped").isNull(), lines).otherwise(F.filter(lines, stays))
+    kept = F.when(F.col(dropped).isNull(), lines).otherwise(F.filter(lines, stays))
     return (
-        both.withColumn("kept_lines", kept).withColumn("n_lines", F.size(lines).cast("long")).withColumn("n_dropped", F.col("n_lines") - F.size("kept_lines")).drop("dropped")
+        both.withColumn("kept_lines", kept).withColumn("n_lines", F.size(lines).cast("long")).withColumn("n_dropped", F.col("n_lines") - F.size("kept_lines")).drop(dropped)
     )
 
 
