@@ -1,7 +1,8 @@
 """Language ID: multinomial naive Bayes over hashed character n-grams.
 
-Training counts (language, bucket) pairs over all labelled rows, summed by Spark; the log-probability matrix, of
-n_buckets rows and a column for each language, is broadcast, and texts are scored in numpy by gathering its rows.
+Training counts (language, bucket) pairs and documents of each language over all labelled rows, summed by Spark; the
+log-probability matrix, of n_buckets rows and a column for each language, and the languages' priors are broadcast, and
+texts are scored in numpy by gathering the matrix's rows.
 """
 
 from __future__ import annotations
@@ -64,25 +65,29 @@ def ngram_buckets(data: np.ndarray, offsets: np.ndarray, n_buckets: int) -> Iter
 
 def _count(batches: Iterator[pa.RecordBatch], n_buckets: int) -> Iterator[pa.RecordBatch]:
     counts: dict[str, np.ndarray] = {}
+    docs: dict[str, int] = {}
     for batch in batches:
         for rows, data, offsets in text_blocks(batch, limit=LID_BLOCK):
             langs = rows.column("lang").to_pylist()
             names = sorted(set(langs))
             of = np.searchsorted(names, langs)
+            for name, n in zip(names, np.bincount(of, minlength=len(names)).tolist(), strict=True):
+                docs[name] = docs.get(name, 0) + n
             for bucket, at, _ in ngram_buckets(data, offsets, n_buckets):
                 both = np.bincount(np.repeat(of, np.diff(at)) * n_buckets + bucket, minlength=len(names) * n_buckets)
                 for i, name in enumerate(names):
                     counts[name] = counts.get(name, 0) + both[i * n_buckets : (i + 1) * n_buckets]
     for name, n in counts.items():
         at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(at), pa.string()), "bucket": at.astype(np.int32), "n": n[at]})
+        bucket, n = np.append(at, -1), np.append(n[at], docs[name])  # bucket -1: documents
+        yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(bucket), pa.string()), "bucket": bucket.astype(np.int32), "n": n})
 
 
 class Model:
-    """langs: sorted labels. logp: float32 matrix (bucket, language). prior: log share of each language's n-grams."""
+    """langs: sorted labels. logp: float32 matrix (bucket, language). prior: log share of each language in the documents learned from."""
 
-    def __init__(self, langs: list[str], logp: np.ndarray):
-        self.langs, self.logp = langs, logp
+    def __init__(self, langs: list[str], logp: np.ndarray, prior: np.ndarray):
+        self.langs, self.logp, self.prior = langs, logp, prior
 
 
 def train(labelled: DataFrame, n_buckets: int = N_BUCKETS, alpha: float = ALPHA) -> Model:
@@ -93,9 +98,10 @@ def train(labelled: DataFrame, n_buckets: int = N_BUCKETS, alpha: float = ALPHA)
     counts = rows.mapInArrow(lambda it: _count(it, n_buckets), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table = counts.toPandas()
     langs = sorted(table["lang"].unique())
-    n = np.zeros((n_buckets, len(langs)))
+    n = np.zeros((n_buckets + 1, len(langs)))
     n[table["bucket"].to_numpy(), np.searchsorted(langs, table["lang"].to_numpy().astype(str)) if langs else []] = table["n"].to_numpy()
-    return Model(langs, np.log((n + alpha) / (n.sum(axis=0) + alpha * n_buckets)).astype(np.float32))
+    n, docs = n[:-1], n[-1]
+    return Model(langs, np.log((n + alpha) / (n.sum(axis=0) + alpha * n_buckets)).astype(np.float32), np.log(docs / docs.sum()))
 
 
 def _predict(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
@@ -110,6 +116,8 @@ def _predict(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBat
                 full = np.flatnonzero(np.diff(at))
                 if n_langs and len(full):
                     total[full] += np.add.reduceat(model.logp[bucket], at[full], axis=0, dtype=np.float64)
+            if n_langs:
+                total += model.prior
             best = total.argmax(axis=1)
             score = 1 / np.exp(total - total[np.arange(n), best][:, None]).sum(axis=1)
             known = letters & (n_langs > 0) & rows.column("text").is_valid().to_numpy(zero_copy_only=False)
@@ -122,11 +130,10 @@ def _predict(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBat
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """The columns doc_id and whatever else docs has but text, with lang_pred and lang_score (posterior share, 0 to 1).
 
-    `und` with score 0 where text is null, empty or has no letter. Equal scores go to the language first in order.
-    Texts of any length are scored whole. Columns lang_pred and lang_score must not exist yet."""
-    clash = {"lang_pred", "lang_score"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns in the way: {sorted(clash)}")
+    `und` with score 0 where text is null, empty or has no letter, or where the model has no language. Equal scores go to
+    the language first in order. Texts of any length are scored whole, repeated rows each. Columns of docs that are named
+    lang_pred or lang_score are replaced. An empty table gives an empty table."""
+    docs = docs.drop("lang_pred", "lang_score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     from pyspark.sql.types import DoubleType, StringType, StructType
 
