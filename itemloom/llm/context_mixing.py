@@ -64,10 +64,15 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return padded[target] & np.uint64((1 << 8 * ORDERS) - 1), stop
 
 
-def _cells(order: int, context: np.ndarray, node: np.ndarray) -> np.ndarray:
+def _bases(order: int, context: np.ndarray) -> np.ndarray:
+    """Where a context's cells begin: its 255 decisions stand in one block of 256 cells, in an order of its own."""
     if order < 2:
-        return ((context << np.uint64(8)) | node).astype(np.int64)
-    return (mix(((context << np.uint64(8)) | node) ^ _ORDER_SALT[order]) >> np.uint64(64 - CELL_BITS[order])).astype(np.int64)
+        return (context << np.uint64(8)).astype(np.int64)
+    return (mix(context ^ _ORDER_SALT[order]) >> np.uint64(64 - CELL_BITS[order])).astype(np.int64)
+
+
+def _cells(order: int, context: np.ndarray, node: np.ndarray) -> np.ndarray:
+    return _bases(order, context) ^ node.astype(np.int64)
 
 
 def _context(keys: np.ndarray, order: int) -> np.ndarray:
@@ -100,13 +105,17 @@ class Mixer:
         """What learn() moves; used[i] counts how often it moved each row of the i-th."""
         return [self.by_reach, self.by_bits, self.refined.reshape(-1, 1)]
 
-    def _inputs(self, keys: np.ndarray, contexts: list[np.ndarray], place: np.ndarray, bit: int):
-        byte = keys & np.uint64(255)
-        node = np.uint64(1 << bit) | (byte >> np.uint64(8 - bit))
-        x = np.stack([self.tables[k][_cells(k, contexts[k], node)] for k in range(ORDERS)], axis=1).astype(np.float32)
-        seen = x != 0
-        reach = np.where(seen.any(axis=1), ORDERS - np.argmax(seen[:, ::-1], axis=1), 0)
-        return x, reach * ORDERS + place, node.astype(np.int64), ((byte >> np.uint64(7 - bit)) & np.uint64(1)).astype(np.float32)
+    def _places(self, keys: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        return [_bases(k, _context(keys, k)) for k in range(ORDERS)], _place(keys)
+
+    def _inputs(self, byte: np.ndarray, bases: list[np.ndarray], place: np.ndarray, bit: int):
+        node = (1 << bit) | (byte >> (8 - bit))
+        x = np.empty((len(byte), ORDERS), np.float32)
+        reach = np.zeros(len(byte), np.int64)
+        for k in range(ORDERS):
+            x[:, k] = self.tables[k][bases[k] ^ node]
+            reach[x[:, k] != 0] = k + 1
+        return x, reach * ORDERS + place, node, ((byte >> (7 - bit)) & 1).astype(np.float32)
 
     def _predict(self, x, gate, node):
         mixed = (x * (self.by_reach[gate] + self.by_bits[node])).sum(axis=1).clip(-12, 12)
@@ -121,9 +130,9 @@ class Mixer:
         """Online, in the order of keys: predict a few bytes, then move weights and map toward what came."""
         for at in range(0, len(keys), step):
             some = keys[at : at + step]
-            contexts, place = [_context(some, k) for k in range(ORDERS)], _place(some)
+            (bases, place), byte = self._places(some), (some & np.uint64(255)).astype(np.int64)
             for bit in range(8):
-                x, gate, node, y = self._inputs(some, contexts, place, bit)
+                x, gate, node, y = self._inputs(byte, bases, place, bit)
                 p, bucket, _ = self._predict(x, gate, node)
                 move = (rate * (y - p))[:, None] * x
                 for i, (own, weights) in enumerate(((gate, self.by_reach), (node, self.by_bits))):
@@ -141,9 +150,9 @@ class Mixer:
 
     def bits(self, keys: np.ndarray) -> np.ndarray:
         """Bits that each key's last byte takes after those before it."""
-        contexts, place, total = [_context(keys, k) for k in range(ORDERS)], _place(keys), np.zeros(len(keys), np.float64)
+        (bases, place), byte, total = self._places(keys), (keys & np.uint64(255)).astype(np.int64), np.zeros(len(keys), np.float64)
         for bit in range(8):
-            x, gate, node, y = self._inputs(keys, contexts, place, bit)
+            x, gate, node, y = self._inputs(byte, bases, place, bit)
             p = self._predict(x, gate, node)[2]
             total -= np.log2(np.where(y > 0, p, 1 - p))
         return total
@@ -164,7 +173,7 @@ class Scorer:
         out, new = self.values[slot], self.keys[slot] != keys
         if new.any():
             distinct, back = np.unique(keys[new], return_inverse=True)
-            value = np.concatenate([self.mixer.bits(distinct[i : i + 65536]) for i in range(0, len(distinct), 65536)])
+            value = np.concatenate([self.mixer.bits(distinct[i : i + 8192]) for i in range(0, len(distinct), 8192)])
             out[new] = value[back]
             slot = (mix(distinct) >> np.uint64(64 - self.SLOTS)).astype(np.int64)
             self.keys[slot], self.values[slot] = distinct, value
