@@ -4,7 +4,6 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
-import pytest
 
 from itemloom.llm import decontaminate, line_dedup, minhash_dedup, substring_dedup
 
@@ -13,7 +12,7 @@ def rows(df, *columns):
     return sorted((tuple(r) for r in df.select(*columns or df.columns).collect()), key=str)
 
 
-def near_by_force(pairs):
+def near_by_force(pairs, percent=85):
     sets = {}
     for i, t in pairs:
         low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
@@ -28,7 +27,7 @@ def near_by_force(pairs):
 
     for a in sets:
         for b in sets:
-            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                 x, y = sorted((root(a), root(b)))
                 parent[y] = x
     return {i: (len(sets[i]), root(i)) for i in sets}
@@ -69,6 +68,50 @@ def test_near_duplicates_of_odd_tables(table, prose):
     assert got == sorted([(1, 1, True), (1, 1, True), (2, 1, False), (None, None, True)], key=str)
 
 
+def test_rows_with_one_id_and_different_texts(table, prose):
+    one, two, three = prose(60, 21), prose(60, 22), prose(60, 23)
+    pairs = [(5, one), (5, two), (7, f"{two} tail"), (9, f"{one} tail"), (3, three), (11, f"{three} tail"), (2, prose(9, 1))]
+    got = rows(minhash_dedup.near_duplicates(table(pairs)), "doc_id", "component_id")
+    assert got == sorted([(5, 5), (5, 5), (7, 5), (9, 5), (3, 3), (11, 3), (2, 2)], key=str)
+
+
+def test_leftovers_of_a_large_bucket_grow_with_its_outliers(spark, monkeypatch):
+    n = 5000
+    placed = [(1, i, 0 if i != 4321 else 4321) for i in range(n)] + [(2, i, 0) for i in range(n)] + [(3, i, i % 3) for i in range(30)]
+    blocks = minhash_dedup.leftover_blocks(spark.createDataFrame(placed, "bucket long, id long, component long"))
+    per = dict(rows(blocks.groupBy("bucket").count()))
+    assert set(per) == {1, 3} and per[1] == n + -(-n // minhash_dedup.OTHERS)
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 4)
+    monkeypatch.setattr(minhash_dedup, "OTHERS", 7)
+    met = set()
+    got = minhash_dedup.leftover_blocks(spark.createDataFrame(placed[-30:], "bucket long, id long, component long")).collect()
+    for x in got:
+        for y in got:
+            if x["first"] and not y["first"] and (x["i"], x["j"]) == (y["i"], y["j"]) and x["component"] != y["component"]:
+                met.add((min(x["id"], y["id"]), max(x["id"], y["id"])))
+    assert met == {(a, b) for a in range(30) for b in range(a + 1, 30) if a % 3 != b % 3}
+
+
+def test_an_outlier_in_a_bucket_of_many_copies(table, prose):
+    """Texts that differ from a common one by more and more words: links exist between leftovers alone."""
+    words = prose(120, 31).split()
+    pairs = [(k, " ".join(words[: 120 - k % 3] + [f"own{k}"])) for k in range(300)]
+    for k in range(30):
+        pairs.append((1000 + k, " ".join(words[: 114 - k] + [f"far{k}x{j}" for j in range(k // 2)])))
+    expected = near_by_force(pairs)
+    assert len({c for _, c in expected.values()}) > 1
+    assert rows(minhash_dedup.near_duplicates(table(pairs)), "doc_id", "component_id") == sorted(((i, c) for i, (_, c) in expected.items()), key=str)
+
+
+def test_near_duplicate_query_on_its_whole_table(spark):
+    from itemloom.llm.registry import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    expected = near_by_force(duckdb.sql(f"select doc_id, text from '{sf}/documents.parquet'").fetchall())
+    got = rows(QUERIES["op1_minhash_dedup"](spark, sf), "doc_id", "n_shingles", "component_id", "kept")
+    assert got == sorted(((i, n, c, c == i) for i, (n, c) in expected.items()), key=str)
+
+
 def test_lower_threshold_finds_its_pairs(table, prose):
     pairs, dropped = [], set()
     for k in range(40):
@@ -119,8 +162,31 @@ def test_line_dedup_keeps_first(table):
     assert dropped[0] == 1 and dropped[1] == 2 and dropped[50] == 0
     empty = table([])
     assert line_dedup.drop_lines(empty, line_dedup.keep_bitmaps(empty)).count() == 0
-    with pytest.raises(ValueError):
-        line_dedup.drop_lines(docs.withColumnRenamed("score", "n_lines"), line_dedup.keep_bitmaps(docs))
+    clash = docs.withColumnRenamed("score", "n_lines").withColumnRenamed("source", "text_hash").withColumnRenamed("lang", "Dropped")
+    out = line_dedup.drop_lines(clash, line_dedup.keep_bitmaps(clash))
+    assert out.columns == ["doc_id", "text", "Dropped", "text_hash", "n_chars", "kept_lines", "n_lines", "n_dropped"]
+    assert {(r["Dropped"], r["text_hash"]) for r in out.collect()} == {("en", "src0")} and dict(rows(out, "doc_id", "n_lines"))[0] == 4
+
+
+def test_line_dedup_counts_documents_not_rows(table):
+    pairs = [(1, "copied\nlines")] * 10 + [(i, f"nine {i}\nshared by nine\nlate") for i in range(20, 29)] + [(28, "shared by nine"), (29, "late"), (30, "copied")]
+    docs = table(pairs)
+    got = rows(line_dedup.drop_lines(docs, line_dedup.keep_bitmaps(docs)), "doc_id", "n_lines", "n_dropped")
+    documents = table(list(dict.fromkeys(pairs))).where("text <> 'shared by nine'").toPandas()  # noqa: F841  read by name in the SQL
+    expected = {r[0]: r[1:3] for r in duckdb.sql(line_dedup.OP8_SQL).fetchall()}
+    assert [r for r in got if r[0] == 1] == [(1, 2, 0)] * 10 and (28, 1, 0) in got
+    assert [r for r in got if r[1] == 3 or r[0] in (29, 30)] == sorted(((i, *n) for i, n in expected.items() if i != 1), key=str)
+    assert (29, 1, 1) in got and (30, 1, 0) in got
+
+
+def test_line_dedup_of_a_document_of_many_lines(table):
+    import time
+
+    docs = table([(1, "\n".join(f"line {i}" for i in range(100_000)))] + [(i, "line 7\nline 99999") for i in range(2, 11)])
+    began = time.perf_counter()
+    got = rows(line_dedup.drop_lines(docs, line_dedup.keep_bitmaps(docs)), "doc_id", "n_lines", "n_dropped")
+    assert got[0] == (1, 100_000, 2) and got[1:] == sorted([(i, 2, 2) for i in range(2, 11)], key=str)
+    assert time.perf_counter() - began < 60
 
 
 def test_long_document_drops_lines_past_the_first_word_of_bits(table):
@@ -155,6 +221,38 @@ def test_substring_dedup(table, prose):
     assert got == cut_by_force(pairs)
 
 
+def test_substring_dedup_in_small_blocks(table, prose, monkeypatch):
+    """Passages over many blocks, tiles and a crowded memory; a long document, repeated rows, a passage in most documents."""
+    for name, value in (("PACK_BYTES", 3000), ("REMEMBERED", 150), ("TILE_BITS", 3)):
+        monkeypatch.setattr(substring_dedup, name, value)
+    shared, long = prose(60, 1), prose(1500, 2)
+    pairs = [((i * 37) % 101, f"{prose(i % 9, 100 + i)} {shared if i % 3 else prose(40, 5)} {prose(15, 200 + i)}") for i in range(101)]
+    pairs += [(200, long), (150, f"x {long} y"), (151, long[: len(long) // 2] + " odd " + long[len(long) // 2 :]), (210, long), (210, long), (201, f"{shared} {shared}")]
+    docs = table(pairs).repartition(3)
+    out = substring_dedup.remove_repeats(docs, substring_dedup.repeated_spans(docs))
+    assert rows(out.selectExpr("doc_id", "n_words", "n_removed", "sha2(cast(kept_text as binary), 256)")) == cut_by_force(pairs)
+    spans = rows(substring_dedup.repeated_spans(docs).where("doc_id IN (151, 200)"), "doc_id", "start", "n", "source_id", "source_start")
+    assert (200, 0, 1500, 150, 1) in spans and len(spans) == 3
+
+
+def test_paths_are_compacted_over_many_tiles(spark):
+    from pyspark.sql import functions as F
+
+    size, step = 1 << substring_dedup.TILE_BITS, "doc_id long, start long, end long, back long, lag long"
+    pieces = [(1, t * size, (t + 1) * size, 1, 7) for t in range(37)] + [(1, 40 * size, 41 * size - 5, 1, 7), (1, 41 * size, 41 * size + 3, 1, 7), (2, 5, size, 1, 0), (2, size, size + 9, 2, 0), (2, 2 * size, 2 * size + 9, 2, 0)]
+    got = rows(substring_dedup.compact(spark.createDataFrame(pieces, step).withColumn("doc_id", F.col("doc_id"))))
+    assert got == sorted([(1, 0, 37 * size, 1, 7), *pieces[37:]], key=str)
+    assert substring_dedup.compact(spark.createDataFrame([], step)).count() == 0
+
+
+def test_substring_query_on_its_whole_table(spark):
+    from itemloom.llm.registry import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    got = rows(QUERIES["op7_substring_dedup"](spark, sf), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == cut_by_force(duckdb.sql(f"select doc_id, text from '{sf}/documents.parquet'").fetchall())
+
+
 def test_substring_spans_point_at_their_source(table, prose):
     shared = prose(40, 1)
     docs = table([(1, f"x y {shared}"), (2, f"z {shared} q"), (None, shared)])
@@ -199,6 +297,90 @@ def test_items_without_an_id_are_evidence(spark, table, prose):
     assert rows(decontaminate.leaks(docs, bench), "doc_id", "item_id") == sorted([(1, None), (3, 4), (3, None)], key=str)
 
 
+def leaks_by_force(pairs, items, rate=0.1):
+    """(row, item) -> fewest edits, by a plain edit distance to every part of the text."""
+    flat = lambda t: re.sub("[ \t\n\x0b\x0c\r]+", " ", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+    out = {}
+    for i, item in items:
+        item = flat(item).strip(" ")
+        for d, text in pairs:
+            text, row = flat(text), list(range(len(item) + 1))
+            best = len(item) + 1
+            for c in text:
+                new = [0]
+                for j, x in enumerate(item):
+                    new.append(min(row[j] + (c != x), row[j + 1] + 1, new[-1] + 1))
+                row = new
+                best = min(best, row[-1])
+            if item and best <= len(item) * 10 // 100:
+                out[d, i] = best
+    return out
+
+
+def odd_leaks():
+    import random
+
+    rng = random.Random(8)
+    word = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    items = [(n, word("abc dé" if n % 3 else "ab", n)) for n in range(1, 61)] + [(100, " \n"), (101, None), (102, "日本語テキスト"), (103, "A" * 40), (104, "ab" * 20)]
+    pairs = [(0, None), (1, ""), (2, "a" * 300), (3, "ab" * 150), (4, "日本語 テキスト日本語テキスト"), (5, " ".join(t or "" for _, t in items))]
+    for d in range(10, 50):
+        text = word("xyz é", 20)
+        for _, item in rng.sample(items[:60], 4):
+            copy = list(item)
+            for _ in range(rng.randrange(0, len(copy) // 8 + 2)):
+                at = rng.randrange(len(copy))
+                copy[at : at + rng.randrange(2)] = [rng.choice("abcéZ")] * rng.randrange(2)
+                copy = copy or ["a"]
+            text += "".join(copy).upper().replace(" ", rng.choice([" ", "\n\t"])) + word("xyz é", 6)
+        pairs.append((d, text))
+    return pairs, items
+
+
+def test_leaks_against_a_plain_edit_distance(spark, table, monkeypatch):
+    pairs, items = odd_leaks()
+    expected = leaks_by_force(pairs, items)
+    assert {i for _, i in expected} >= set(range(1, 61)) and len(set(expected.values())) > 4
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.leaks(table(pairs), bench).collect()
+    assert {(r["doc_id"], r["item_id"]): r["distance"] for r in got} == expected and len(got) == len(expected)
+    raw = [(t or "").encode() for _, t in pairs]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    index = decontaminate.Index(*zip(*items))
+    whole = decontaminate._leaks(data, offsets, index)
+    monkeypatch.setattr(decontaminate, "PIECE", 200)
+    assert decontaminate._leaks(data, offsets, index) == whole and len(whole) == len(expected)
+    monkeypatch.setattr(decontaminate, "PART", 13)  # items from 27 characters on are looked for by their parts
+    parts = decontaminate._leaks(data, offsets, decontaminate.Index(*zip(*items)))
+    assert {k: v[:1] for k, v in parts.items()} == {k: v[:1] for k, v in whole.items()}
+
+
+def test_leaks_of_long_and_repeated_rows(spark, table, prose):
+    item = prose(30, 1)
+    text = f"{prose(60_000, 2)} {item} {prose(60_000, 3)} {item}"
+    bench = spark.createDataFrame([(1, item), (1, item), (2, prose(20_000, 4))], "item_id long, text string")
+    edited = " ".join(w if i % 97 else "changed" for i, w in enumerate(prose(20_000, 4).split()[:4000]))
+    bench = bench.unionByName(spark.createDataFrame([(3, prose(20_000, 4)[: len(edited)])], bench.schema))
+    docs = table([(1, text), (1, text), (None, item), (2, prose(20_000, 4).upper()), (4, f"{prose(30, 6)} {edited} {prose(30, 7)}")])
+    got = rows(decontaminate.leaks(docs, bench), "doc_id", "item_id", "distance")
+    assert [r for r in got if r[0] != 4] == sorted([(1, 1, 0)] * 4 + [(None, 1, 0)] * 2 + [(2, 2, 0), (2, 3, 0)], key=str)
+    assert [r[:2] for r in got if r[0] == 4] == [(4, 3)] and 0 < [r for r in got if r[0] == 4][0][2] < 500
+
+
+def test_decontamination_query_on_its_whole_tables(spark):
+    from itemloom.llm.registry import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    pairs = duckdb.sql(f"select doc_id, text from '{sf}/documents.parquet'").fetchall()
+    items = duckdb.sql(f"select item_id, text from '{sf}/benchmark.parquet'").fetchall()
+    flat = lambda t: " ".join((t or "").lower().split())
+    exact = {(d, i) for i, item in items for d, t in pairs if flat(item) and flat(item) in flat(t)}
+    got = {(r["doc_id"], r["item_id"]): r["distance"] for r in QUERIES["op6_decontaminate"](spark, sf).collect()}
+    assert {k for k, d in got.items() if d == 0} == exact and exact
+    near = sorted(k for k, d in got.items() if d)[:5]
+    assert {k: v for k, v in leaks_by_force([p for p in pairs if p[0] in {d for d, _ in near}], [x for x in items if x[0] in {i for _, i in near}]).items() if k in near} == {k: got[k] for k in near}
+
+
 def test_alignment_is_the_edit_distance():
     import random
 

@@ -35,8 +35,60 @@ def test_language_id_of_odd_texts(spark, table):
     empty = language_id.train(learn.limit(0))
     assert {r["lang_pred"] for r in language_id.predict(table(odd), empty).collect()} == {"und"}
     assert language_id.predict(table([]), model).count() == 0
-    with pytest.raises(ValueError):
-        language_id.predict(table(odd).withColumnRenamed("score", "lang_pred"), model)
+    clash = language_id.predict(table(odd).withColumnRenamed("score", "lang_pred"), model)
+    assert clash.columns.count("lang_pred") == 1 and ("4", "en") in {(str(r["doc_id"]), r["lang_pred"]) for r in clash.collect()}
+
+
+def plain_bayes(learn, texts):
+    """Language and posterior share of each text, from counts in dictionaries and a prior by documents."""
+    mask = (1 << 64) - 1
+
+    def bucket(gram):  # the operator's hash of an n-gram
+        x = (sum(ord(c) << 21 * (len(gram) - 1 - j) for j, c in enumerate(gram)) + (len(gram) << 60)) & mask
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & mask
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & mask
+        return ((x ^ (x >> 31)) >> 40) % language_id.N_BUCKETS
+
+    def grams(text):
+        flat = "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in text)
+        return [bucket(flat[i : i + n]) for n in (1, 2, 3) for i in range(len(flat) - n + 1)]
+
+    counts, docs = {}, Counter()
+    for text, lang in learn:
+        if text is not None and lang is not None:
+            counts.setdefault(lang, Counter()).update(grams(text))
+            docs[lang] += 1
+    total, out = {lang: sum(c.values()) for lang, c in counts.items()}, []
+    for text in texts:
+        if not text or not any(c.isalpha() for c in text):
+            out.append(("und", 0.0))
+            continue
+        log = {lang: math.log(docs[lang] / sum(docs.values())) for lang in sorted(counts)}
+        for g in grams(text):
+            for lang in log:
+                log[lang] += math.log((counts[lang][g] + 0.5) / (total[lang] + 0.5 * language_id.N_BUCKETS))
+        best = max(log, key=log.get)
+        out.append((best, 1 / sum(math.exp(x - log[best]) for x in log.values())))
+    return out
+
+
+def test_language_id_against_plain_bayes(spark):
+    from itemloom.llm.registry import QUERIES
+
+    docs = [(r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    expected = plain_bayes([(t, lang) for i, t, lang in docs if zlib.crc32(str(i).encode()) % 4 != 2], [t for _, t, _ in docs])
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in QUERIES["op10_language_id"](spark, SF).collect()}
+    for (i, _, _), (lang, score) in zip(docs, expected):
+        assert got[i][0] == lang and got[i][1] == pytest.approx(score, abs=1e-3), i
+
+
+def test_languages_with_more_documents_are_likelier(spark, table):
+    learn = [("same words", "b")] * 5 + [("same words", "a")] * 2 + [("andere", "c")]
+    model = language_id.train(spark.createDataFrame([(i, *x) for i, x in enumerate(learn)], "doc_id long, text string, lang string"))
+    assert np.allclose(np.exp(model.prior), [2 / 8, 5 / 8, 1 / 8])
+    for text, (lang, score) in zip(["words", "s"], plain_bayes(learn, ["words", "s"])):
+        r = language_id.predict(table([(1, text)]).drop("lang"), model).first()
+        assert r["lang_pred"] == lang == "b" and r["lang_score"] == pytest.approx(score, abs=1e-5)
 
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
