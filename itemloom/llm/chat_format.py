@@ -125,10 +125,12 @@ def pack_conversations(rows: DataFrame) -> DataFrame:
     """Packs (see PACK) of all conversations in rows (conv_id, turn, role, text; other columns are not read).
 
     Null texts and roles are empty. Turns go by number, nulls first, then by role and text; a repeated row is a turn of
-    its own. Rows with a null conv_id make up one conversation. An empty table gives no pack. A conversation is never cut:
-    it is one row of output, so its turns are gathered; a pack exceeds PACK_CHARS by one conversation at most."""
+    its own. A row with a null conv_id is a conversation by itself. An empty table gives no pack. Texts of any length are
+    formatted whole. A conversation is never cut: it is one row of output, so its turns are gathered; a pack exceeds
+    PACK_CHARS by one conversation at most."""
     turn = F.struct("turn", "role", "text")
-    convs = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    convs = rows.where("conv_id IS NOT NULL").groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    convs = convs.unionByName(rows.where("conv_id IS NULL").select("conv_id", F.array(turn).alias("turns")))
     path = F.transform("turns", lambda t: F.xxhash64(F.coalesce(t["role"], F.lit("")), F.lit("\n"), F.coalesce(t["text"], F.lit(""))))
     ranged = convs.withColumn("path", path).repartitionByRange("path", "conv_id").sortWithinPartitions("path", "conv_id")
     return ranged.select("conv_id", "turns").mapInArrow(_packs, PACK)

@@ -122,3 +122,72 @@ def test_packs_share_prefixes():
         assert sum(a["stop"] - a["start"] for a in n["ancestors"]) == n["position"]
     deep = row["nodes"][3]  # its ancestors are apart, since another branch lies between
     assert len(deep["ancestors"]) == 2 and deep["ancestors"][0]["start"] == 0
+
+
+def test_chat_of_repeated_rows_long_texts_and_rows_without_an_id(spark):
+    long = "word </s> " * 50_000
+    turns = [("user", long), ("assistant", long + "\\")]
+    rows = [(1, n, r, t) for n, (r, t) in enumerate(turns)] * 2 + [(None, 0, "user", "a"), (None, 1, "assistant", "b"), (None, 1, "assistant", "b")]
+    got = sorted((tuple(r)[:5] for r in chat_format.read_back(chat_format.pack_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()), key=str)
+    own = lambda i, turns: digests({i: turns})[0]
+    assert got == sorted([own(1, [t for t in turns for _ in range(2)]), own(None, [("user", "a")]), *[own(None, [("assistant", "b")])] * 2], key=str)
+
+
+def test_codec_of_no_rows_and_repeated_long_ones(spark, table, prose):
+    import sentencepiece
+
+    path, long = public_tokenizers.path("piece_bpe_32k.model"), prose(40_000, 3) + "é" * 5000
+    assert sentencepiece_codec.round_trip(table([]), path).count() == 0
+    got = sentencepiece_codec.round_trip(table([(1, long), (1, long)]), path).collect()
+    ids = sentencepiece.SentencePieceProcessor(model_file=path).encode(long)
+    assert [(r["n_tokens"], r["ids_sha256"]) for r in got] == [(len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())] * 2
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def documents(spark):
+    return [(r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()]
+
+
+def test_sentencepiece_query_on_its_whole_table(spark):
+    import sentencepiece
+
+    from itemloom.llm.registry import QUERIES
+
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    got = sorted((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in QUERIES["op2_sentencepiece"](spark, SF).collect())
+    assert got == [(i, len(ids := library.encode(t)), sha(",".join(map(str, ids))), sha(library.decode(ids))) for i, t in documents(spark)]
+
+
+def test_chat_query_on_its_whole_table(spark):
+    from itemloom.llm.registry import QUERIES
+
+    conversations = {-7: [(r, "</s>[INST] ok [/INST]") for r in ("user", "assistant")]}
+    for r in spark.read.parquet(f"{SF}/conversations.parquet").orderBy("conv_id", "turn").collect():
+        conversations.setdefault(r["conv_id"], []).append((r["role"], r["text"]))
+    got = QUERIES["op3_chat_format"](spark, SF).collect()
+    assert sorted((tuple(r)[:5] for r in got), key=str) == digests(conversations)
+    assert all(r["formatted_chars"] >= r["loss_chars"] for r in got)
+
+
+def test_token_query_on_its_whole_table(spark):
+    from tokenizers import Tokenizer
+
+    from itemloom.llm.registry import QUERIES
+
+    library, start, expected = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), 0, []
+    for i, t in documents(spark):
+        ids = [*library.encode(t, add_special_tokens=False).ids, 0]
+        expected.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    got = QUERIES["op4_token_files"](spark, SF).select("doc_id", "start", "n_tokens", "ids_crc32").collect()
+    assert sorted(map(tuple, got)) == expected
+
+
+def test_token_files_hold_repeated_rows_each(spark, table, tmp_path):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    token_files.write_tokens(table([(2, "some words"), (1, "x"), (2, "some words"), (None, None)]), str(tmp_path / "t"), path)
+    got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["start"], r["n_tokens"]) for r in token_files.read_documents(spark, str(tmp_path / "t")).collect())
+    assert [g[0] for g in got] == [-1, 1, 2, 2] and got[0][1:] == (0, 1) and got[3][1] == got[2][1] + got[2][2]

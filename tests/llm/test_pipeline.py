@@ -53,10 +53,9 @@ def test_leaking_documents_go_with_or_without_an_id(spark, table):
 
 def test_other_columns_stay_behind(spark, table):
     docs = table([(1, "some letters"), (2, "more of them")])
-    for name in ("lang_pred", "_text", "kept_lines", "component_id", "key"):
-        for _, stage in corpus_pipeline.STAGES[:-1]:
-            out = stage(spark, docs.withColumnRenamed("score", name), SF)
-            assert out.columns == corpus_pipeline.COLUMNS and out.count() == 2
+    for name, (_, stage) in zip(("lang_pred", "kept_lines", "component_id", "key"), corpus_pipeline.STAGES[:-1], strict=True):
+        out = stage(spark, docs.withColumnRenamed("score", name).withColumn("_text", docs.doc_id), SF)
+        assert out.columns == corpus_pipeline.COLUMNS and out.count() == 2
 
 
 def test_stages_keep_columns_and_take_odd_rows(spark, table):
