@@ -65,13 +65,19 @@ def split_row(line: Cols) -> Column:
     return F.filter(F.transform(cells, lambda x: F.trim(x)), lambda x: x != "")
 
 
+#: How file names carry a time, in order of precedence.
+_SPACED_TIME = r"; (\d{4}-\d{2}-\d{2}) (\d{2})_(\d{2})_(\d{2})\]"
+_DENSE_TIME = r"_(\d{8})_(\d{6})_"
+
+
 def file_time(name: Cols) -> Column:
-    """When a file was taken, from `_YYYYMMDD_HHMMSS_` or `; YYYY-MM-DD HH_MM_SS]` in its name; null if neither is a valid time."""
-    dense, spaced = r"(?:^|_)(\d{8})_(\d{6})(?:_|\.|$)", r"; (\d{4}-\d{2}-\d{2}) (\d{2})_(\d{2})_(\d{2})\]"
+    """When a file was taken, from `; YYYY-MM-DD HH_MM_SS]` in its name or else from `_YYYYMMDD_HHMMSS_`.
+
+    A name of the first form whose digits are no time has none, even if it is of the second form too."""
     piece = lambda p, i: F.regexp_extract(col(name), p, i)
-    first = F.concat(piece(dense, 1), piece(dense, 2))
-    second = F.concat(piece(spaced, 1), F.lit(" "), F.concat_ws(":", *(piece(spaced, i) for i in (2, 3, 4))))
-    return F.coalesce(F.try_to_timestamp(first, F.lit("yyyyMMddHHmmss")), F.try_to_timestamp(second, F.lit("yyyy-MM-dd HH:mm:ss")))
+    spaced = F.concat(piece(_SPACED_TIME, 1), F.lit(" "), F.concat_ws(":", *(piece(_SPACED_TIME, i) for i in (2, 3, 4))))
+    dense = F.concat(piece(_DENSE_TIME, 1), piece(_DENSE_TIME, 2))
+    return F.when(F.rlike(col(name), F.lit(_SPACED_TIME)), F.try_to_timestamp(spaced, F.lit("yyyy-MM-dd HH:mm:ss"))).otherwise(F.try_to_timestamp(dense, F.lit("yyyyMMddHHmmss")))
 
 
 def rgb(color: Cols) -> Column:

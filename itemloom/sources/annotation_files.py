@@ -13,23 +13,36 @@ _HEX = r"^#?[0-9A-Fa-f]{6}$"
 def parse_tags(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(catalog: path, name, color, priority, position; assignments: path, key, tag; errors: path, line_no, message).
 
-    Sections are headed [catalog] and [assignments]; blank lines and # comments are passed over."""
+    Sections are headed [catalog] and [assignments]; blank lines and # comments are passed over. Errors are rows with
+    other fields than their section asks for, rows outside of any section, and headings of unknown sections, whose rows are
+    outside of any. Good rows of a file with errors are returned all the same: `require_parsed` refuses the file."""
     text = F.trim("line")
-    head = F.regexp_extract(text, r"^\[(\w+)\]$", 1)
+    heading = F.startswith(text, F.lit("[")) & F.endswith(text, F.lit("]")) & ~F.startswith(text, F.lit("#"))
+    name = F.trim(F.substring(text, F.lit(2), F.length(text) - 2))
     order = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    marked = lines.withColumn("section", F.last(F.nullif(head, F.lit("")), ignorenulls=True).over(order))
-    rows = marked.where((text != "") & ~F.startswith(text, F.lit("#")) & (head == "")).withColumn("f", split_row("line"))
+    marked = lines.withColumn("heading", F.when(heading, name)).withColumn("section", F.last("heading", ignorenulls=True).over(order))
+    rows = marked.where((text != "") & ~F.startswith(text, F.lit("#"))).withColumn("f", split_row("line"))
+    known = F.col("section").isin("catalog", "assignments")
     good = F.when(F.col("section") == "catalog", (F.size("f") == 3) & F.rlike(F.try_element_at("f", F.lit(2)), F.lit(_HEX)) & F.try_element_at("f", F.lit(3)).try_cast("bigint").isNotNull()).when(
         F.col("section") == "assignments", F.size("f") == 2
     )
-    rows = rows.withColumn("good", F.coalesce(good, F.lit(False)))
+    rows = rows.withColumn("good", F.when(F.col("heading").isNotNull(), known).otherwise(F.coalesce(good, F.lit(False))))
     field = lambda n: F.col("f")[n - 1]
-    catalog = rows.where("good AND section = 'catalog'").select("path", field(1).alias("name"), F.concat(F.lit("#"), F.lower(F.ltrim(field(2), F.lit("#")))).alias("color"), field(3).cast("bigint").alias("priority"), F.col("line_no").alias("position"))
-    assigned = rows.where("good AND section = 'assignments'").select("path", field(1).alias("key"), field(2).alias("tag")).distinct()
-    errors = rows.where("NOT good").select("path", "line_no", F.concat(F.lit("malformed row: "), text).alias("message"))
+    cells = rows.where("good AND heading IS NULL")
+    catalog = cells.where("section = 'catalog'").select("path", field(1).alias("name"), F.concat(F.lit("#"), F.lower(F.ltrim(field(2), F.lit("#")))).alias("color"), field(3).cast("bigint").alias("priority"), F.col("line_no").alias("position"))
+    assigned = cells.where("section = 'assignments'").select("path", field(1).alias("key"), field(2).alias("tag")).distinct()
+    message = F.when(F.col("heading").isNotNull(), F.lit("unknown section: ")).when(F.coalesce(known, F.lit(False)), F.lit("malformed row: ")).otherwise(F.lit("row outside of any section: "))
+    errors = rows.where("NOT good").select("path", "line_no", F.concat(message, text).alias("message"))
     return catalog, assigned, errors
 
 
+def require_parsed(errors: DataFrame) -> None:
+    """Raises for the first errors (path, line_no, message) of the files, if there are any."""
+    found = [f"{r['path']}, line {r['line_no']}: {r['message']}" for r in errors.orderBy("path", "line_no").limit(10).collect()]
+    if found:
+        raise ValueError("; ".join(found))
+
+
 def format_tags(catalog: DataFrame, assignments: DataFrame) -> DataFrame:
     """path, value: the text of each file, which parses back to the same rows."""
     line = lambda *c: F.concat_ws("\t", *(F.col(x).cast("string") for x in c))
@@ -39,24 +52,48 @@ def format_tags(catalog: DataFrame, assignments: DataFrame) -> DataFrame:
     return one.join(two, "path", "full").select("path", F.concat(text, F.lit("\n")).alias("value"))
 
 
+def _sections(lines: DataFrame) -> DataFrame:
+    """lines with `text` (trimmed), `fences` (up to and with this line), `body` (between fences), and `mark`, which tells
+    headings, fences and stray text apart outside of bodies."""
+    text = F.trim("line")
+    order = Window.partitionBy("path").orderBy("line_no")
+    marked = lines.withColumn("text", text).withColumn("fences", F.sum((text == "```").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    marked = marked.withColumn("body", (F.col("fences") % 2 == 1) & (text != "```"))
+    heading = F.rlike(text, F.lit(r"^\[.*\S.*\]$"))
+    mark = F.when(text == "```", F.when(F.col("fences") % 2 == 1, F.lit("open")).otherwise(F.lit("close"))).when(heading, F.lit("heading")).when(text != "", F.lit("stray"))
+    return marked.withColumn("mark", F.when(~F.col("body"), mark))
+
+
 def parse_notes(lines: DataFrame) -> DataFrame:
     """path, key, body: each [key] line followed by a fenced block; lines inside a fence are body whatever they look like.
 
-    A fence is a line of ``` alone. Of a key's sections the last counts."""
-    fence = (F.trim("line") == "```").cast("int")
-    order = Window.partitionBy("path").orderBy("line_no")
-    up_to = order.rowsBetween(Window.unboundedPreceding, 0)
-    marked = lines.withColumn("fences", F.sum(fence).over(up_to)).withColumn("is_fence", fence == 1)
-    inside = F.col("fences") % 2 == 1
-    key = F.when(~inside & ~F.col("is_fence"), F.nullif(F.regexp_extract(F.trim("line"), r"^\[(.+)\]$", 1), F.lit("")))
-    keyed = marked.withColumn("key", F.last(key, ignorenulls=True).over(up_to))
-    opened = keyed.where(inside & F.col("key").isNotNull()).groupBy("path", "key", "fences").agg(
-        F.array_sort(F.collect_list(F.when(~F.col("is_fence"), F.struct("line_no", "line")))).alias("body")
+    A fence is a line of ``` alone. Of a key's sections the last counts. note_errors has what does not fit."""
+    marked = _sections(lines)
+    order = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    key = F.when(F.col("mark") == "heading", F.trim(F.substring("text", F.lit(2), F.length("text") - 2)))
+    keyed = marked.withColumn("key", F.last(key, ignorenulls=True).over(order))
+    opened = keyed.where("(body OR mark = 'open') AND key IS NOT NULL").groupBy("path", "key", "fences").agg(
+        F.array_sort(F.collect_list(F.when(F.col("body"), F.struct("line_no", "line")))).alias("lines")
     )
-    text = opened.select("path", "key", "fences", F.array_join(F.transform("body", lambda x: x["line"]), "\n").alias("body"))
+    text = opened.select("path", "key", "fences", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("body"))
     return text.groupBy("path", "key").agg(F.max_by("body", "fences").alias("body"))
 
 
+def note_errors(lines: DataFrame) -> DataFrame:
+    """path, line_no, message: text outside of any section, a heading without a fence after it, a fence without a heading
+    before it, and a fence that is never closed."""
+    marked = _sections(lines).where("mark IS NOT NULL")
+    order = Window.partitionBy("path").orderBy("line_no")
+    beside = marked.withColumns({"before": F.lag("mark").over(order), "after": F.lead("mark").over(order)})
+    message = (
+        F.when(F.col("mark") == "stray", F.lit("text outside of any section"))
+        .when((F.col("mark") == "heading") & ~F.col("after").eqNullSafe(F.lit("open")), F.lit("no fence after the heading"))
+        .when((F.col("mark") == "open") & ~F.col("before").eqNullSafe(F.lit("heading")), F.lit("no heading before the fence"))
+        .when((F.col("mark") == "open") & ~F.col("after").eqNullSafe(F.lit("close")), F.lit("the fence is never closed"))
+    )
+    return beside.select("path", "line_no", message.alias("message")).where("message IS NOT NULL")
+
+
 def format_notes(notes: DataFrame) -> DataFrame:
     """path, value from notes (path, key, body); empty bodies are left out."""
     part = F.concat(F.lit("["), F.col("key"), F.lit("]\n```\n"), F.col("body"), F.lit("\n```\n"))

@@ -32,45 +32,63 @@ def fields(line: Column, delimiter: str) -> Column:
     return F.when((text == "") | F.startswith(text, F.lit("#")), F.array().cast("array<string>")).otherwise(F.transform(cut, lambda x: F.trim(x)))
 
 
-def by_delimiter(line: Column, delimiter: Column) -> Column:
-    """fields, where the delimiter is a column of one of the candidates."""
+def by_delimiter(line: Column, delimiter: Column, cut=fields) -> Column:
+    """cut(line, d), where the delimiter d is a column of one of the candidates."""
     out = F.array().cast("array<string>")
     for d in DELIMITERS:
-        out = F.when(delimiter == d, fields(line, d)).otherwise(out)
+        out = F.when(delimiter == d, cut(line, d)).otherwise(out)
     return out
 
 
+def cells(line: Column, delimiter: str) -> Column:
+    """Fields of a data line, where one in double quotes may hold the delimiter, and two quotes in it stand for one."""
+    text, d = F.trim(line), f"[{delimiter}]"
+    # each field comes with the delimiter before it, the first one with one of its own
+    parts = F.regexp_extract_all(F.concat(F.lit(delimiter), text), F.lit(f'{d}( *"(?:[^"]|"")*" *(?={d}|$)|[^{delimiter}]*)'), F.lit(1))
+    plain = lambda x: F.regexp_replace(F.substring(x, F.lit(2), F.length(x) - 2), '""', '"')
+    quoted = F.transform(F.transform(parts, lambda x: F.trim(x)), lambda x: F.when(F.rlike(x, F.lit('^"(?s:.*)"$')) & (F.length(x) > 1), plain(x)).otherwise(x))
+    return F.when(F.contains(text, F.lit('"')) & ~F.startswith(text, F.lit("#")), quoted).otherwise(fields(line, delimiter))
+
+
 def sniff(lines: DataFrame) -> DataFrame:
     """path, delimiter, header_row, data_start, has_header, data_rows, width for each file.
 
     The delimiter with most further fields over the first lines wins, of equals the earlier candidate; files where none
-    has any get null. The first line with two fields or more is the header, unless all of them are numbers."""
-    votes = F.array(*(F.struct(F.greatest(F.size(fields(F.col("line"), d)) - 1, F.lit(0)).alias("score"), F.lit(-i).alias("order"), F.lit(d).alias("delimiter")) for i, d in enumerate(DELIMITERS)))
-    scored = lines.where(F.col("line_no") <= VOTING_LINES).select("path", F.explode(votes).alias("v")).groupBy("path", "v.delimiter", "v.order").agg(F.sum("v.score").alias("score"))
-    best = scored.groupBy("path").agg(F.max(F.struct("score", "order", "delimiter")).alias("b")).select("path", F.when(F.col("b.score") > 0, F.col("b.delimiter")).alias("delimiter"))
-    cut = lines.join(best, "path").withColumn("f", by_delimiter(F.col("line"), F.col("delimiter")))
-    first = cut.where(F.size("f") >= 2).groupBy("path").agg(F.min(F.struct("line_no", "f")).alias("h"))
-    numeric = F.forall("h.f", lambda x: F.rlike(x, F.lit(_NUMBER)))
-    layout = first.select("path", F.col("h.line_no").alias("header_row"), (~numeric).alias("has_header"), F.size("h.f").alias("width")).withColumn("data_start", F.col("header_row") + F.col("has_header").cast("int"))
-    rows = lines.join(layout.select("path", "data_start"), "path").groupBy("path").agg(F.count_if((F.col("line_no") >= F.col("data_start")) & (F.trim("line") != "")).alias("data_rows"))
-    return best.join(layout, "path", "left").join(rows, "path", "left").select("path", "delimiter", "header_row", "data_start", "has_header", "data_rows", "width")
+    has any get null. The first line with two fields or more is the header, unless all of them are numbers: then the file
+    has no header, header_row is null, and that line is the first of data. Fields are counted at delimiters, in quotes or
+    not. Each file's lines are cut once."""
+    shape = lambda d: F.transform(fields(F.col("line"), d), lambda x: ~F.rlike(x, F.lit(_NUMBER)))  # noqa: E731  which fields are no numbers
+    cut = lines.select("path", "line_no", (F.trim("line") != "").alias("filled"), *(shape(d).alias(f"f{i}") for i, d in enumerate(DELIMITERS)))
+    first = lambda i: F.min(F.when(F.size(f"f{i}") >= 2, F.struct("line_no", F.size(f"f{i}").alias("width"), F.exists(f"f{i}", lambda x: x).alias("header"))))
+    vote = lambda i: F.sum(F.when(F.col("line_no") <= VOTING_LINES, F.greatest(F.size(f"f{i}") - 1, F.lit(0))).otherwise(0))
+    seen = cut.groupBy("path").agg(*(F.struct(vote(i).alias("score"), F.lit(-i).alias("order"), F.lit(d).alias("delimiter"), first(i).alias("first")).alias(f"c{i}") for i, d in enumerate(DELIMITERS)))
+    best = seen.select("path", F.greatest(*(f"c{i}" for i in range(len(DELIMITERS)))).alias("b"))
+    start = F.col("b.first.line_no") + F.col("b.first.header").cast("int")
+    known = F.col("b.score") > 0
+    layout = best.select(
+        "path", F.when(known, F.col("b.delimiter")).alias("delimiter"), F.when(known & F.col("b.first.header"), F.col("b.first.line_no")).alias("header_row"),
+        F.when(known, start).alias("data_start"), F.when(known, F.col("b.first.header")).alias("has_header"), F.when(known, F.col("b.first.width")).alias("width"),
+    )
+    rows = lines.join(layout.select("path", "data_start"), "path").groupBy("path").agg(F.count_if((F.col("line_no") >= F.col("data_start")) & (F.trim("line") != "")).alias("n"))
+    counted = layout.join(rows, "path", "left").withColumn("data_rows", F.when(F.col("data_start").isNotNull(), F.col("n")))
+    return counted.select("path", "delimiter", "header_row", "data_start", "has_header", "data_rows", "width")
 
 
 def read_table(lines: DataFrame, layouts: DataFrame, limit: int | None = None) -> DataFrame:
-    """path, row, name, value: cells of all files in long form, names verbatim from the header or column1, column2, …;
-    with limit, of the first rows of each file."""
-    known = layouts.where("delimiter IS NOT NULL AND header_row IS NOT NULL")
-    cut = lines.join(known, "path").withColumn("f", by_delimiter(F.col("line"), F.col("delimiter")))
-    heads = cut.where(F.col("has_header") & (F.col("line_no") == F.col("header_row"))).select("path", F.col("f").alias("names"))
+    """path, row, column, name, value: cells of all files in long form, names verbatim from the header or column1, column2,
+    …; quoted cells without their quotes (a quoted cell ends on its line); with limit, of the first rows of each file."""
+    known = layouts.where("delimiter IS NOT NULL AND data_start IS NOT NULL")
+    cut = lines.join(known, "path").withColumn("f", by_delimiter(F.col("line"), F.col("delimiter"), cells))
+    heads = cut.where(F.col("line_no") == F.col("header_row")).select("path", F.col("f").alias("names"))
     rows = cut.where((F.col("line_no") >= F.col("data_start")) & (F.size("f") > 0))
     rows = rows.withColumn("row", F.row_number().over(Window.partitionBy("path").orderBy("line_no")))
     if limit is not None:
         rows = rows.where(F.col("row") <= limit)
-    cells = rows.join(heads, "path", "left").select("path", "row", "names", F.posexplode("f").alias("at", "value"))
+    cells_ = rows.join(heads, "path", "left").select("path", "row", "names", F.posexplode("f").alias("at", "value"))
     name = F.coalesce(F.try_element_at("names", F.col("at") + 1), F.concat(F.lit("column"), (F.col("at") + 1).cast("string")))
-    return cells.select("path", "row", (F.col("at") + 1).alias("column"), name.alias("name"), "value")
+    return cells_.select("path", "row", (F.col("at") + 1).alias("column"), name.alias("name"), "value")
 
 
 def layout_errors(layouts: DataFrame) -> DataFrame:
     """path, message of files in which no table was found."""
-    return layouts.where("delimiter IS NULL OR header_row IS NULL").select("path", F.lit("no delimiter found").alias("message"))
+    return layouts.where("delimiter IS NULL OR data_start IS NULL").select("path", F.lit("no delimiter found").alias("message"))

@@ -13,6 +13,18 @@ SIDECARS = ["metadata.txt", "tags.txt", "notes.txt", "layout.txt"]
 SOURCE_ITEMS = "source_item_id string, label string, path string, ts timestamp, fingerprint struct<path: string, length: bigint, modified: timestamp>"
 
 
+def as_source(rows: DataFrame) -> DataFrame:
+    """rows as a source of items: an error names the columns of SOURCE_ITEMS that they lack or have with another type; further
+    columns may follow."""
+    from pyspark.sql.types import StructType
+
+    have = {f.name: f.dataType for f in rows.schema.fields}
+    wrong = [f"{f.name} {f.dataType.simpleString()}" for f in StructType.fromDDL(SOURCE_ITEMS).fields if f.name not in have or have[f.name].simpleString() != f.dataType.simpleString()]
+    if wrong:
+        raise TypeError(f"a source of items needs {', '.join(wrong)}")
+    return rows
+
+
 def is_source(name: Cols, *also: str) -> Column:
     """Whether a file name is an item's: no dotfile, no sidecar, none of `also` (a project's own settings and metadata files).
     Directories are not tested."""
@@ -29,6 +41,6 @@ def source_items(files: DataFrame, *also: str) -> DataFrame:
 
 def discover(spark: SparkSession, root: str, recursive: bool = True, also: tuple[str, ...] = ()) -> DataFrame:
     """Source items below root. Contents are not read. Files whose names begin with _ or . are invisible to Spark's own
-    sources; streaming.watch lists them too."""
+    sources; streaming.watch.listing, for a folder that all executors see, has them too."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(root).select("path", "length", "modificationTime")
     return source_items(files, *also)

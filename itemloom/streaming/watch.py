@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 SCHEMA = "scan bigint, path string, length bigint, mtime_ns bigint"
 
@@ -58,8 +58,22 @@ class _ListingStream(DataSourceStreamReader):
         pass
 
 
+class _Listing(DataSourceReader):
+    """One scan, for spark.read."""
+
+    def __init__(self, options: dict):
+        self.stream = _ListingStream(options)
+
+    def partitions(self) -> list[InputPartition]:
+        return self.stream.partitions({}, self.stream.latestOffset())
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        return self.stream.read(partition)
+
+
 class ListingSource(DataSource):
-    """spark.dataSource.register(ListingSource); spark.readStream.format("listing").option("path", …). The path must be visible to all executors."""
+    """spark.dataSource.register(ListingSource); spark.readStream (or spark.read) .format("listing").option("path", …). The
+    path must be visible to all executors."""
 
     @classmethod
     def name(cls) -> str:
@@ -68,10 +82,19 @@ class ListingSource(DataSource):
     def schema(self) -> str:
         return SCHEMA
 
+    def reader(self, schema) -> DataSourceReader:
+        return _Listing(self.options)
+
     def streamReader(self, schema) -> DataSourceStreamReader:  # noqa: N802
         return _ListingStream(self.options)
 
 
+def listing(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
+    """The files below root as they are now, those whose names begin with _ or . among them, for sources.directory.source_items."""
+    spark.dataSource.register(ListingSource)
+    return to_files(spark.read.format("listing").option("path", root).option("recursive", str(recursive).lower()).load())
+
+
 def listing_stream(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
     spark.dataSource.register(ListingSource)
     return spark.readStream.format("listing").option("path", root).option("recursive", str(recursive).lower()).load()

@@ -21,17 +21,18 @@ def test_roman(spark):
 
 
 def test_file_time(spark):
-    rows = spark.createDataFrame([("a_20251128_175954_x.csv",), ("b [w ; 2025-10-01 16_27_53].csv",), ("c_20251399_175954_x.csv",), ("d.csv",), (None,)], "n string")
+    rows = spark.createDataFrame([("a_20251128_175954_x.csv",), ("b [w ; 2025-10-01 16_27_53].csv",), ("c_20251399_175954_x.csv",), ("d.csv",), (None,), ("20250101_000000.csv",), ("a_20250101_000000.csv",), ("a_20250101_000000_[w ; 2024-05-06 07_08_09]",), ("a_20250101_000000_[w ; 2024-13-06 07_08_09]",)], "n string")
     at = [r[0] for r in rows.select(F.date_format(names.file_time("n"), "yyyy-MM-dd HH:mm:ss")).collect()]
-    assert at == ["2025-11-28 17:59:54", "2025-10-01 16:27:53", None, None, None]
+    assert at == ["2025-11-28 17:59:54", "2025-10-01 16:27:53", None, None, None, None, None, "2024-05-06 07:08:09", None]
 
 
 def test_typed_cells(spark):
-    texts = ["", " Yes ", "f", "12", "-1.5e3", "2024-02-29", "2024/02/30", "2024-02-29T10:00:00", "0x1F", "1.5d", None]
+    texts = ["", " Yes ", "f", "12", "-1.5e3", "2024-02-29", "2024/02/30", "2024-02-29T10:00:00", "0x1F", "1.5d", None, "NaN", "-inf", "+Infinity", "info"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(cells.typed_cell("t").alias("v")).select("v.vtype", cells.show_typed("v").alias("s")).collect()
     assert [tuple(r) for r in rows] == [
         (None, None), ("Bool", "true"), ("Bool", "false"), ("Int64", "12"), ("Float64", "-1500.0000"), ("Date", "2024-02-29"), ("String", "2024/02/30"),
         ("DateTime", "2024-02-29 10:00:00"), ("String", "0x1F"), ("String", "1.5d"), (None, None),
+        ("Float64", "NaN"), ("Float64", "-Infinity"), ("Float64", "Infinity"), ("String", "info"),
     ]
 
 

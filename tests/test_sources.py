@@ -13,7 +13,7 @@ def test_sniff(spark):
     text = lines(spark, a="# note\nfree text\ntime_s,current_A,voltage_V\n1,2,3\n4,5,6\n", b="1\t2\t3\n4\t5\t6\n", c="no table\n", d="", e="x;y\n1;\n")
     got = {r["path"]: r for r in delimited.sniff(text).collect()}
     assert (got["a"]["delimiter"], got["a"]["header_row"], got["a"]["has_header"], got["a"]["data_rows"]) == (",", 3, True, 2)
-    assert (got["b"]["delimiter"], got["b"]["has_header"], got["b"]["data_rows"]) == ("\t", False, 2)
+    assert (got["b"]["delimiter"], got["b"]["header_row"], got["b"]["data_start"], got["b"]["has_header"], got["b"]["data_rows"]) == ("\t", None, 1, False, 2)
     assert got["c"]["delimiter"] is None and got["d"]["delimiter"] is None
     assert rows(delimited.layout_errors(delimited.sniff(text)), "path") == [("c",), ("d",)]
     cells = rows(delimited.read_table(text, delimited.sniff(text), limit=1), "path", "row", "name", "value")
@@ -56,3 +56,35 @@ def test_discover(spark, tmp_path):
         (tmp_path / name).write_text("x")
     assert rows(directory.discover(spark, str(tmp_path)), "label") == [("a.dbitem",), ("b_20250101_000000_x.csv",)]
     assert rows(directory.discover(spark, str(tmp_path), recursive=False), "label") == [("a.dbitem",)]
+
+
+def test_quoted_cells(spark):
+    text = lines(spark, q='name,size,note\n"a, b",1,"say ""x"""\n,"",\n"open,2,3\nc,"4"5,6\n', t='x\ty\n"p\tq"\t\n')
+    cells = rows(delimited.read_table(text, delimited.sniff(text)), "path", "row", "name", "value")
+    values = lambda p, r: [c[3] for c in sorted((c for c in cells if c[:2] == (p, r)), key=lambda c: ["name", "size", "note", "x", "y"].index(c[2]))]
+    assert values("q", 1) == ["a, b", "1", 'say "x"'] and values("q", 2) == ["", "", ""] and values("q", 3) == ['"open', "2", "3"] and values("q", 4) == ["c", '"4"5', "6"]
+    assert values("t", 1) == ["p\tq", ""]
+
+
+def test_errors_of_tags_and_notes(spark):
+    import pytest
+
+    text = "early row\n[catalog]\nred #ff0000 1\n[colours]\nblue #0000ff 2\n[ assignments ]\na red\n"
+    catalog, assigned, errors = annotation_files.parse_tags(lines(spark, t=text))
+    assert rows(catalog, "name") == [("red",)] and rows(assigned, "key") == [("a",)]
+    assert rows(errors, "line_no", "message") == [(1, "row outside of any section: early row"), (4, "unknown section: [colours]"), (5, "row outside of any section: blue #0000ff 2")]
+    with pytest.raises(ValueError, match="t, line 1: row outside"):
+        annotation_files.require_parsed(errors)
+    annotation_files.require_parsed(errors.limit(0))
+    files = dict(good="[a]\n\n```\nx\n[b]\n```\n", stray="[a]\n```\n```\nwords\n", headless="```\nx\n```\n", bare="[a]\n[b]\n```\n```\n", open="[a]\n```\nx\n")
+    found = rows(annotation_files.note_errors(lines(spark, **files)), "path", "line_no", "message")
+    assert found == [("bare", 1, "no fence after the heading"), ("headless", 1, "no heading before the fence"), ("open", 2, "the fence is never closed"), ("stray", 4, "text outside of any section")]
+
+
+def test_a_source_of_items_is_checked(spark, tmp_path):
+    import pytest
+
+    (tmp_path / "a.txt").write_text("x")
+    assert directory.as_source(directory.discover(spark, str(tmp_path))).count() == 1
+    with pytest.raises(TypeError, match="label string"):
+        directory.as_source(spark.createDataFrame([("a", 1)], "source_item_id string, label int"))

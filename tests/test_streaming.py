@@ -1,7 +1,7 @@
 import os
 
 from itemloom.sources.directory import source_items
-from itemloom.streaming.watch import listing_stream, refresher, to_files
+from itemloom.streaming.watch import listing, listing_stream, refresher, to_files
 
 
 def test_listing_stream_sees_edits_and_removals(spark, tmp_path):
@@ -38,3 +38,11 @@ def test_listing_stream_sees_edits_and_removals(spark, tmp_path):
         wait_for(lambda: not errors)
     finally:
         query.stop()
+
+
+def test_listing_sees_every_file(spark, tmp_path):
+    (tmp_path / "sub" / "deep").mkdir(parents=True)
+    for name in ("_a.txt", "b.txt", "sub/_c.txt", "sub/deep/d.txt", ".hidden", "tags.txt"):
+        (tmp_path / name).write_text("x")
+    assert sorted(r["label"] for r in source_items(listing(spark, str(tmp_path))).collect()) == ["_a.txt", "_c.txt", "b.txt", "d.txt"]
+    assert sorted(r["label"] for r in source_items(listing(spark, str(tmp_path), recursive=False)).collect()) == ["_a.txt", "b.txt"]
