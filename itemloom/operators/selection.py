@@ -92,14 +92,44 @@ def plot_data(payloads: dict[str, DataFrame], items: DataFrame, x: str, y: str)
     return plot_pairs(chosen, x, y)
 
 
-def delivered(processed: DataFrame, collected: DataFrame, key: str = "item_id") -> DataFrame:
-    """Rows of the collection stage where an item has any, else those of its own stage."""
-    return collected.unionByName(processed.join(collected.select(key).distinct(), key, "left_anti"))
-
-
-def single_kind(items: DataFrame) -> DataFrame:
-    """kinds, single: whether a selection is of one kind."""
-    return items.agg(F.count_distinct("kind").alias("kinds")).withColumn("single", F.col("kinds") == 1)
+def delivered(processed: DataFrame, collected: DataFrame, key: str = "item_id", allow_missing: bool = False) -> DataFrame:
+    """Rows of the collection stage where an item has any, else those of its own stage, with nulls in columns that only the
+    collection stage has if that is allowed."""
+    return collected.unionByName(processed.join(collected.select(key).distinct(), key, "left_anti"), allowMissingColumns=allow_missing)
+
+
+def single_kind(items: DataFrame, *selections: str) -> DataFrame:
+    """kinds, single: whether a selection, or each of several, is of one kind."""
+    return items.groupBy(*selections).agg(F.count_distinct("kind").alias("kinds")).withColumn("single", F.col("kinds") == 1)
+
+
+def with_source(items: DataFrame, sources: DataFrame, columns: dict[str, Column], key: str = "source_item_id") -> DataFrame:
+    """Items with columns of their source item (names to Columns over sources), null where there is no such source item."""
+    known = sources.select(F.col(key), *(c.alias(n) for n, c in columns.items()))
+    return items.join(known, key, "left")
+
+
+def visible_selection(items: DataFrame, tree: DataFrame, assignments: DataFrame, collection_ids: DataFrame, item_ids: DataFrame, tag: str = "bad") -> tuple[DataFrame, DataFrame]:
+    """(collections, items) of a stored selection that are shown: ids that do not exist are passed over, and what bears the
+    tag, or lies below a node that does, is left out. An item counts only if its collection is selected and shown; items at
+    the root count if the null collection_id is selected.
+
+    items: item_id, collection_id; tree: collection_id, parent_id, path, id_path; assignments: key, tag, where a node's key
+    is its slash path and an item's its item_id. A selected collection that is no leaf is an error."""
+    wanted = collection_ids.select("collection_id").distinct()
+    chosen = tree.join(wanted, "collection_id", "left_semi")
+    inner = chosen.join(tree.select(F.col("parent_id").alias("collection_id")).distinct(), "collection_id", "left_semi").limit(3).collect()
+    if inner:
+        raise ValueError(f"selected collections that are no leaves: {', '.join('/'.join(r['path']) for r in inner)}")
+    own = F.concat_ws("/", "path")
+    up = F.when(F.size("path") > 1, F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda n: F.concat_ws("/", F.slice("path", F.lit(1), n)))).otherwise(F.array().cast("array<string>"))
+    shown = without_tag(chosen.withColumns({"key": own, "ancestors": up}), assignments, tag).drop("key", "ancestors")
+    asked = items.join(item_ids.select("item_id").distinct(), "item_id", "left_semi")
+    root = wanted.where("collection_id IS NULL").select(F.lit(None).cast("string").alias("_c"))
+    open_ = shown.select(F.col("collection_id").alias("_c")).unionByName(root)
+    inside = asked.join(open_, asked.collection_id.eqNullSafe(F.col("_c")), "left_semi")
+    marked = assignments.where(F.col("tag") == tag).select(F.col("key").alias("item_id"))
+    return shown, inside.join(marked, "item_id", "left_anti")
 
 
 def source_kind(items: DataFrame) -> DataFrame:
