@@ -15,9 +15,15 @@ from ..functions.order import is_roman, natural_key, roman_value
 
 
 def canonical(value: Cols) -> Column:
-    """Length and text: joined canonical texts can be told apart whatever they hold."""
-    text = col(value).cast("string")
-    return F.concat(F.length(text).cast("string"), F.lit(":"), text)
+    """Type, length and text of a value: values of different types or texts never have the same, nor do joined ones. Structs,
+    arrays and maps go by their JSON, maps sorted by key; a null has its type alone."""
+    v = col(value)
+    return F.coalesce(F.concat(F.typeof(v), F.lit("="), F.length(v.cast("string")).cast("string"), F.lit(":"), v.cast("string")), F.concat(F.typeof(v), F.lit("~")))
+
+
+def canonical_path(*levels: Cols) -> Column:
+    """A path for id_path and nodes whose labels are canonical level values, so that 1, 1.0 and "1" are different nodes."""
+    return F.array(*(canonical(v) for v in levels))
 
 
 def id_path(path: Cols) -> Column:
@@ -47,6 +53,15 @@ def ancestor_keys(path: Cols) -> Column:
     return F.when(F.size(p) > 1, F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda n: F.concat_ws("/", F.slice(p, F.lit(1), n)))).otherwise(F.array().cast("array<string>"))
 
 
+def annotation_keys(tree: DataFrame, registered: DataFrame) -> DataFrame:
+    """tree with `key`: the slash path of nodes that are registered with all their ancestors (registered: collection_id),
+    else the id behind a fixed prefix."""
+    known = registered.select(F.col("collection_id").alias("_up")).distinct()
+    found = tree.select("collection_id", F.explode("id_path").alias("_up")).join(known, "_up").groupBy("collection_id").agg(F.count(F.lit(1)).alias("_n"))
+    whole = F.coalesce(F.col("_n") == F.size("id_path"), F.lit(False))
+    return tree.join(found, "collection_id", "left").withColumn("key", annotation_key("path", "collection_id", whole)).drop("_n")
+
+
 def annotation_key(path: Cols, collection_id: Cols, registered: Cols) -> Column:
     """The slash path if every node on it is registered, else the id behind a fixed prefix."""
     return F.when(col(registered), F.concat_ws("/", col(path))).otherwise(F.concat(F.lit("@collection/"), col(collection_id)))
@@ -97,6 +112,26 @@ def broken_links(tree: DataFrame, items: DataFrame) -> DataFrame:
     return lost.unionByName(orphans.select(F.lit("collection").alias("kind"), F.col("collection_id").alias("id")))
 
 
+def cycles(tree: DataFrame) -> DataFrame:
+    """collection_id of nodes that no walk from a root reaches: those on a cycle of parents, and those below one. A node
+    whose parent is missing counts as a root here; broken_links tells of it.
+
+    tree: collection_id, parent_id. Rounds are as many as the tree is deep, each a join with the nodes not reached yet."""
+    spark = tree.sparkSession
+    nodes = tree.select("collection_id", "parent_id")
+    known = nodes.select(F.col("collection_id").alias("parent_id"))
+    roots = nodes.where("parent_id IS NULL").select("collection_id").union(nodes.where("parent_id IS NOT NULL").join(known, "parent_id", "left_anti").select("collection_id"))
+    # a recursion in SQL, since its rounds are planned and run one by one, without a lineage that grows
+    settings = {"spark.sql.cteRecursionRowLimit": "-1", "spark.sql.cteRecursionLevelLimit": "-1"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    walk = """WITH RECURSIVE reached(collection_id) AS (
+        SELECT collection_id FROM {roots} UNION ALL SELECT t.collection_id FROM reached r JOIN {nodes} t ON t.parent_id = r.collection_id)
+        SELECT DISTINCT collection_id FROM reached"""
+    reached = spark.sql(walk, roots=roots, nodes=nodes)
+    return nodes.select("collection_id").join(reached, "collection_id", "left_anti")
+
+
 def conflicts(projected: DataFrame) -> DataFrame:
     """collection_id, versions: ids that come with more than one parent, label or metadata."""
     seen = F.struct("parent_id", "label", "metadata")

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import ranked
+
 
-def span_summary(spans: DataFrame, *groups: str, value: str = "ms") -> DataFrame:
-    """Count, total, median, p90, p99 and largest duration of each group; percentiles interpolate."""
+def span_summary(spans: DataFrame, *groups: str, value: str = "ms", wait: str | None = None, service: str | None = None) -> DataFrame:
+    """Count, total, median, p90, p99 and largest duration of each group; percentiles interpolate. Where the columns are
+    named, also `wait` and `service`, the sums of the time that spans waited and were served."""
     q = F.percentile(value, F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)))
-    out = spans.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(value), F.lit(0.0)).alias("total"), q.alias("q"), F.max(value).alias("largest"))
+    more = {n: c for n, c in (("wait", wait), ("service", service)) if c}
+    sums = [F.coalesce(F.sum(F.col(c).cast("double")), F.lit(0.0)).alias(n) for n, c in more.items()]
+    out = spans.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(value), F.lit(0.0)).alias("total"), q.alias("q"), F.max(value).alias("largest"), *sums)
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return out.select(*groups, "n", "total", zero(F.col("q")[0]).alias("median"), zero(F.col("q")[1]).alias("p90"), zero(F.col("q")[2]).alias("p99"), zero(F.col("largest")).alias("largest"))
+    return out.select(*groups, "n", "total", zero(F.col("q")[0]).alias("median"), zero(F.col("q")[1]).alias("p90"), zero(F.col("q")[2]).alias("p99"), zero(F.col("largest")).alias("largest"), *more)
 
 
 def batch_summary(spans: DataFrame, *groups: str, rows: str = "rows") -> DataFrame:
@@ -70,12 +78,31 @@ def throughput(samples: DataFrame, value: str, seconds: Column, order: list, *se
     return timed.withColumn("rate", rate).drop("_s")
 
 
+def slowest_first(profile: DataFrame, by: str = "total", *ties: str) -> DataFrame:
+    """profile with `rank`, 1 for the largest value, in that order."""
+    return ranked(profile, F.desc(by), *ties, name="rank")
+
+
 def thin(samples: DataFrame, millis: str, gap: int, *series: str) -> DataFrame:
-    """series, kept: the times kept when a sample must be `gap` after the last one kept. Greedy, so a series is folded in order in one row."""
-    times = samples.groupBy(*series).agg(F.sort_array(F.collect_list(millis)).alias("_t"))
-    empty = F.expr("cast(array() as array<bigint>)")
-    keep = F.aggregate("_t", empty, lambda a, t: F.when((F.size(a) == 0) | (t - F.try_element_at(a, F.lit(-1)) >= gap), F.concat(a, F.array(t.cast("bigint")))).otherwise(a))
-    return times.select(*series, F.explode(keep).alias("kept"))
+    """series, kept: the times kept when a sample must be `gap` after the last one kept. Null times are passed over.
+
+    Greedy, so a series is read in the order of time, as a stream of sorted rows of which only the last kept time is held:
+    memory does not grow with a series. Equal series stand side by side in one task."""
+    times = samples.where(F.col(millis).isNotNull()).select(*series, F.col(millis).cast("long").alias("kept"))
+    sorted_ = times.repartition(*series).sortWithinPartitions(*series, "kept") if series else times.coalesce(1).sortWithinPartitions("kept")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, last = None, None
+        for batch in batches:
+            names, at = list(zip(*(batch.column(c).to_pylist() for c in series), strict=True)) if series else [()] * batch.num_rows, batch.column("kept").to_pylist()
+            rows = []
+            for i, (name, t) in enumerate(zip(names, at, strict=True)):
+                if name != own or last is None or t - last >= gap:
+                    own, last = name, t
+                    rows.append(i)
+            yield batch.take(pa.array(rows, pa.int64()))
+
+    return sorted_.mapInArrow(keep, sorted_.schema)
 
 
 def power_law(points: DataFrame, x: str, y: str, *groups: str) -> DataFrame:
@@ -86,26 +113,61 @@ def power_law(points: DataFrame, x: str, y: str, *groups: str) -> DataFrame:
     return fine.groupBy(*groups).agg(*cells) if groups else fine.agg(*cells)
 
 
-def scorecard(spans: DataFrame, files: str, items: str, millis: str) -> DataFrame:
-    """One row: files, items, ms and rates for a file and an item."""
-    sums = spans.agg(F.count_distinct(files).alias("files"), F.count_distinct(items).alias("items"), F.sum(millis).alias("ms"))
-    return sums.select("files", "items", "ms", F.try_divide("ms", "files").alias("ms_per_file"), F.try_divide("ms", "items").alias("ms_per_item"), F.try_divide(F.col("items") * 1000.0, F.col("ms")).alias("items_per_s"))
+def scorecard(spans: DataFrame, files: str, items: str, millis: str, reads: dict[str, Column] | None = None, read_millis: str | None = None) -> DataFrame:
+    """One row: files, items, ms and rates for a file and an item.
+
+    reads: names of phases (during, after) to predicates; adds median, p90, p99 and the largest of read_millis in each,
+    NaN where there are none."""
+    picks = [F.count_distinct(files).alias("files"), F.count_distinct(items).alias("items"), F.sum(millis).alias("ms")]
+    shown = []
+    for phase, holds in (reads or {}).items():
+        value = F.when(holds, F.col(read_millis or millis))
+        picks += [F.percentile(value, F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99))).alias(f"_{phase}"), F.max(value).cast("double").alias(f"_{phase}_largest")]
+        cells = [F.col(f"_{phase}")[i] for i in range(3)] + [F.col(f"_{phase}_largest")]
+        shown += [F.coalesce(c, F.lit(float("nan"))).alias(f"{phase}_{n}") for c, n in zip(cells, ("median", "p90", "p99", "largest"), strict=True)]
+    rates = [F.try_divide("ms", "files").alias("ms_per_file"), F.try_divide("ms", "items").alias("ms_per_item"), F.try_divide(F.col("items") * 1000.0, F.col("ms")).alias("items_per_s")]
+    return spans.agg(*picks).select("files", "items", "ms", *rates, *shown)
 
 
 def status_verdict(counts: DataFrame) -> DataFrame:
-    """counts (total, pending, failed, running, scan_error) with level, label and progress; the first case that holds decides."""
+    """counts (total, pending, failed, running, scan_error) with level, label, detail and progress; the first case that
+    holds decides."""
+    done = F.col("total") - F.col("pending") - F.col("running")
+    said = lambda form, *c: F.format_string(form, *c)
     cases = [
-        (F.col("scan_error").isNotNull(), "error", "source error"),
-        (F.col("total") == 0, "idle", "empty"),
-        (F.col("running") > 0, "busy", "working"),
-        (F.col("pending") > 0, "busy", "waiting"),
-        (F.col("failed") > 0, "warning", "done with failures"),
+        (F.col("scan_error").isNotNull(), "error", "source error", F.col("scan_error")),
+        (F.col("total") == 0, "idle", "empty", F.lit("there is nothing to work on")),
+        (F.col("running") > 0, "busy", "working", said("%d of %d done, %d at work", done, F.col("total"), F.col("running"))),
+        (F.col("pending") > 0, "busy", "waiting", said("%d of %d done, %d to come", done, F.col("total"), F.col("pending"))),
+        (F.col("failed") > 0, "warning", "done with failures", said("%d of %d failed", F.col("failed"), F.col("total"))),
     ]
-    level, label = F.lit("ok"), F.lit("up to date")
-    for when, a, b in reversed(cases):
-        level, label = F.when(when, F.lit(a)).otherwise(level), F.when(when, F.lit(b)).otherwise(label)
-    done = F.coalesce(F.try_divide(F.col("total") - F.col("pending") - F.col("running"), F.col("total")), F.lit(1.0))
-    return counts.select("*", level.alias("level"), label.alias("label"), done.cast("double").alias("progress"))
+    level, label, detail = F.lit("ok"), F.lit("up to date"), said("all %d done", F.col("total"))
+    for when, a, b, c in reversed(cases):
+        level, label, detail = F.when(when, F.lit(a)).otherwise(level), F.when(when, F.lit(b)).otherwise(label), F.when(when, c).otherwise(detail)
+    progress = F.coalesce(F.try_divide(done, F.col("total")), F.lit(1.0))
+    return counts.select("*", level.alias("level"), label.alias("label"), detail.alias("detail"), progress.cast("double").alias("progress"))
+
+
+def status_row(totals: DataFrame) -> DataFrame:
+    """position, cell, details: what a status row shows of each row of totals (found, pending, interpreted, processed,
+    analyzed, failed_interpret, failed_process, failed_analyze, failed_collection, and errors, all that were reported).
+
+    Errors beyond those of the stages are counted as issues of analysis; other columns of totals stay beside each cell."""
+    cells = ["found", "pending", "interpreted", "processed", "analyzed", "failed_interpret", "failed_process", "failed_analyze", "failed_collection", "errors"]
+    n = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    staged = n("failed_interpret") + n("failed_process") + n("failed_analyze") + n("failed_collection")
+    analyze = n("failed_analyze") + F.greatest(n("errors") - staged, F.lit(0).cast("long"))
+    issues = n("failed_interpret") + n("failed_process") + analyze + n("failed_collection")
+    text = lambda c, word: F.concat(c.cast("string"), F.lit(f" {word}"))
+    row = [
+        (text(n("found"), "sources"), [text(n("found"), "found"), text(n("pending"), "pending")]),
+        (text(n("interpreted"), "items"), [text(n("interpreted"), "interpreted")]),
+        (text(n("analyzed"), "analyzed"), [text(n("processed"), "processed"), text(n("analyzed"), "analyzed")]),
+        (F.concat(issues.cast("string"), F.when(issues == 1, F.lit(" issue")).otherwise(F.lit(" issues"))), [text(c, w) for c, w in ((n("failed_interpret"), "interpret"), (n("failed_process"), "process"), (analyze, "analyze"), (n("failed_collection"), "collection"))]),
+    ]
+    shown = F.array(*(F.struct(F.lit(i + 1).alias("position"), cell.alias("cell"), F.array(*details).alias("details")) for i, (cell, details) in enumerate(row)))
+    rest = [c for c in totals.columns if c not in cells]
+    return totals.select(*rest, F.explode(shown).alias("_r")).select(*rest, "_r.position", "_r.cell", "_r.details")
 
 
 def skipped_sources(sources: DataFrame, items: DataFrame) -> DataFrame:

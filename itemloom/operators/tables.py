@@ -54,7 +54,7 @@ def first_rows(rows: DataFrame, keys: list[str], order: list, limit: int) -> Dat
     """The first rows of each table, with `total_rows` and, where some are left out, `warning`."""
     group = Window.partitionBy(*keys)
     counted = rows.withColumn("total_rows", F.count(F.lit(1)).over(group)).withColumn("_n", F.row_number().over(group.orderBy(*order)))
-    told = F.when(F.col("total_rows") > limit, F.format_string("Showing first %d of approximately %d", F.lit(limit), F.col("total_rows")))
+    told = F.when(F.col("total_rows") > limit, F.format_string("%d of %d rows, the first ones", F.lit(limit), F.col("total_rows")))
     return counted.where(F.col("_n") <= limit).withColumn("warning", told).drop("_n")
 
 

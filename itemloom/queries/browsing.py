@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import mean, normalized, scaled
-from ..functions.names import base_name, cell_text, file_time, hex_color, name_fields, parts, rgb, split_row
+from ..functions.names import base_name, cell_text, collection_of, file_time, hex_color, mint_id, name_fields, parts, rgb, split_row
 from ..operators import annotations, hierarchy, selection, tables
+from ..sources.directory import as_source, source_items
 from ._tables import NODES, PATHS, UPS, customer_paths, order_items, table, tree
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -25,10 +26,10 @@ def query(sql: str | None = None):
 
 @query("""
 SELECT event_id, (row_number() OVER (PARTITION BY user_id ORDER BY t ASC NULLS LAST, event_id))::INTEGER AS rank
-FROM (SELECT event_id, user_id, CASE WHEN event_id % 7 > 0 THEN ts END AS t FROM events) WHERE user_id % 2 = 0""")
+FROM (SELECT event_id, user_id, CASE WHEN event_id % 7 > 0 THEN ts END AS t FROM events) WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase')""")
 def items_by_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select(F.col("event_id").alias("item_id"), F.col("user_id").alias("collection_id"), F.when(F.col("event_id") % 7 > 0, F.col("ts")).alias("ts"))
-    chosen = events.where("collection_id % 2 = 0").select("collection_id").distinct()
+    chosen = table(spark, sf_dir, "events").where("event_type = 'purchase'").select(F.col("user_id").alias("collection_id"))
     ordered = selection.items_of(events, chosen)
     rank = F.row_number().over(Window.partitionBy("collection_id").orderBy(F.col("ts").asc_nulls_last(), "item_id"))
     return ordered.select(F.col("item_id").alias("event_id"), rank.alias("rank"))
@@ -181,10 +182,10 @@ def plot_pairs(spark, sf_dir):
     return selection.plot_pairs(lines.select(x.alias("x"), y.alias("y")), "x", "y")
 
 
-@query("SELECT l_quantity AS x, l_discount AS y FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey % 2 = 0")
+@query("SELECT l_quantity AS x, l_discount AS y FROM lineitem WHERE l_returnflag = 'R'")
 def plot_data(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").withColumn("item_id", F.concat(F.col("l_orderkey").cast("string"), F.lit("#lines:"), "l_returnflag"))
-    items = lines.where("l_returnflag = 'R' AND l_orderkey % 2 = 0").select("item_id", F.lit("lines").alias("kind"))
+    items = lines.where("l_returnflag = 'R'").select("item_id", F.lit("lines").alias("kind"))
     return selection.plot_data({"lines": lines}, items, "l_quantity", "l_discount")
 
 
@@ -238,11 +239,11 @@ def stage_choice(spark, sf_dir):
 @query("SELECT lang, count(DISTINCT source)::BIGINT AS kinds, count(DISTINCT source) = 1 AS single FROM documents GROUP BY lang")
 def single_kind(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("lang", F.col("source").alias("kind"))
-    return docs.groupBy("lang").agg(F.count_distinct("kind").alias("kinds")).withColumn("single", F.col("kinds") == 1)
+    return selection.single_kind(docs, "lang")
 
 
 @query("""
-SELECT l_orderkey, l_linenumber, total_rows, CASE WHEN total_rows > 3 THEN 'Showing first 3 of approximately ' || total_rows END AS warning FROM (
+SELECT l_orderkey, l_linenumber, total_rows, CASE WHEN total_rows > 3 THEN '3 of ' || total_rows || ' rows, the first ones' END AS warning FROM (
   SELECT l_orderkey, l_linenumber, count(*) OVER (PARTITION BY l_orderkey) AS total_rows, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS n FROM lineitem) WHERE n <= 3""")
 def first_n(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
@@ -293,11 +294,63 @@ def array_mean(spark, sf_dir):
 
 
 @query("""
-SELECT event_id, CASE WHEN event_id % 3 < 2 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS taken FROM events""")
+SELECT event_id, CASE WHEN event_id % 6 IN (0, 1, 4) THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS taken FROM events""")
 def filename_timestamp(spark, sf_dir):
+    """Names with a dense time, a spaced one, digits that are no time, a dense time that ends the name (no time), both forms
+    (the spaced one counts), and both with a spaced one that is no time (none)."""
     ts, name = F.col("ts"), F.col("event_type")
-    dense = F.concat(name, F.date_format(ts, "_yyyyMMdd_HHmmss_"), F.lit("x.csv"))
-    spaced = F.concat(name, F.lit(" [w ; "), F.date_format(ts, "yyyy-MM-dd HH_mm_ss"), F.lit("].csv"))
-    broken = F.concat(name, F.lit("_20251399_999999_"), F.lit("x.csv"))
-    file = F.when(F.col("event_id") % 3 == 0, dense).when(F.col("event_id") % 3 == 1, spaced).otherwise(broken)
+    other = F.lit("_19990101_010101_")
+    spaced = F.concat(F.lit(" [w ; "), F.date_format(ts, "yyyy-MM-dd HH_mm_ss"), F.lit("].csv"))
+    names = [
+        F.concat(name, F.date_format(ts, "_yyyyMMdd_HHmmss_"), F.lit("x.csv")), F.concat(name, spaced), F.concat(name, F.lit("_20251399_999999_x.csv")),
+        F.concat(name, F.date_format(ts, "_yyyyMMdd_HHmmss"), F.lit(".csv")), F.concat(name, other, spaced), F.concat(name, other, F.lit(" [w ; 2025-13-99 99_99_99].csv")),
+    ]
+    file = F.element_at(F.array(*names), (F.col("event_id") % 6 + 1).cast("int"))
     return table(spark, sf_dir, "events").select("event_id", F.date_format(file_time(file), "yyyy-MM-dd HH:mm:ss").alias("taken"))
+
+
+CHOSEN = f"SELECT collection_id, key, u1, u2, u3 FROM ({NODES}) WHERE depth = 3 AND length(key) % 4 < 3"
+BAD = f"SELECT key FROM ({ASSIGN}) WHERE tag = 'bad'"
+
+
+@query(f"""
+WITH s AS (SELECT collection_id, key FROM ({CHOSEN}) c WHERE NOT EXISTS (SELECT 1 FROM ({KEYS}) k JOIN ({BAD}) b ON k.k = b.key WHERE k.key = c.key)),
+i AS (SELECT c_custkey::VARCHAR AS id, CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE a || '/' || b || '/' || c END AS key FROM ({PATHS}))
+SELECT 'collection' AS what, collection_id AS id FROM s
+UNION ALL SELECT 'item', id FROM i WHERE (key IS NULL OR key IN (SELECT key FROM s)) AND id::BIGINT % 3 > 0 AND id::BIGINT % 7 > 0""")
+def visible_selection(spark, sf_dir):
+    """Leaves and items as stored, with ids that are gone: customers are items, every tenth at the root, some of them marked."""
+    nodes = tree(spark, sf_dir)
+    keyed = _keyed(spark, sf_dir)
+    paths = customer_paths(spark, sf_dir)
+    place = F.when(F.col("c_custkey") % 10 > 0, F.element_at(hierarchy.id_path("path"), -1))
+    items = paths.select(F.col("c_custkey").cast("string").alias("item_id"), place.alias("collection_id"))
+    marks = _assignments(keyed).unionByName(items.where("item_id % 7 = 0").select(F.col("item_id").alias("key"), F.lit("bad").alias("tag")))
+    gone = spark.range(1).select(F.lit("gone").alias("collection_id")).union(spark.range(1).select(F.lit(None).cast("string")))
+    leaves = nodes.where((F.col("depth") == 3) & (F.length(F.concat_ws("/", "path")) % 4 < 3)).select("collection_id").union(gone)
+    wanted = items.where("item_id % 3 > 0").select("item_id").union(spark.range(1).select(F.lit("gone").alias("item_id")))
+    shown, inside = selection.visible_selection(items, nodes, marks, leaves, wanted)
+    one = shown.select(F.lit("collection").alias("what"), F.col("collection_id").alias("id"))
+    return one.unionByName(inside.select(F.lit("item").alias("what"), F.col("item_id").alias("id")))
+
+
+@query("SELECT doc_id, lang || '>' || source AS collection, '/data/' || lang || '/' || source || '/doc' || doc_id || '#text:1' AS item_id FROM documents")
+def default_collection(spark, sf_dir):
+    """Documents as files of a folder for each language and source."""
+    path = F.concat_ws("/", F.lit("/data"), "lang", "source", F.concat(F.lit("doc"), F.col("doc_id").cast("string")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", path.alias("path"))
+    placed = F.concat_ws(">", collection_of("path", F.lit("/data")))
+    return docs.select("doc_id", placed.alias("collection"), mint_id("path", F.lit("text"), F.lit(1), F.lit(None).cast("string")).alias("item_id"))
+
+
+@query("""
+WITH f AS (SELECT o_orderkey AS k, floor(o_totalprice)::BIGINT AS n, CASE o_orderkey % 6 WHEN 0 THEN '.hidden' WHEN 1 THEN 'Metadata.txt' WHEN 2 THEN '_part' WHEN 3 THEN 'tags.txt' WHEN 4 THEN 'run_20240102_030405_x.csv' ELSE 'settings.toml' END AS name FROM orders)
+SELECT '/data/' || k || '/' || name AS source_item_id, name AS label, n AS length, CASE WHEN k % 6 = 4 THEN '2024-01-02 03:04:05' END AS taken FROM f WHERE k % 6 IN (2, 4)""")
+def listed_sources(spark, sf_dir):
+    """A listing of files, some of which are hidden, describe others, or are the project's own."""
+    names = F.array(*(F.lit(n) for n in (".hidden", "Metadata.txt", "_part", "tags.txt", "run_20240102_030405_x.csv", "settings.toml")))
+    name = F.element_at(names, (F.col("o_orderkey") % 6 + 1).cast("int"))
+    orders = table(spark, sf_dir, "orders")
+    files = orders.select(F.concat_ws("/", F.lit("/data"), F.col("o_orderkey").cast("string"), name).alias("path"), F.floor("o_totalprice").cast("bigint").alias("length"), F.lit("2024-05-05").cast("timestamp").alias("modificationTime"))
+    found = as_source(source_items(files, "Settings.toml"))
+    return found.select("source_item_id", "label", "fingerprint.length", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("taken"))

@@ -9,7 +9,7 @@ from ..functions.arrays import ratio_or_zero
 from ..functions.cells import show_typed, typed_cell
 from ..functions.names import label_or, mint_id
 from ..functions.order import natural_key, roman_value
-from ..operators import analysis, hierarchy, metadata, selection
+from ..operators import analysis, hierarchy, metadata, selection, tables
 from ._tables import IDS, NODES, PATHS, UPS, customer_paths, order_items, order_paths, table, tree
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -102,11 +102,9 @@ SELECT o_orderkey, (count(*) OVER w)::BIGINT AS members, round(CASE WHEN max(o_t
 FROM (SELECT o_orderkey, o_totalprice, i3, {KIND_SQL} AS kind FROM orders JOIN ({IDS}) ON o_custkey = c_custkey)
 WINDOW w AS (PARTITION BY i3, kind)""")
 def collection_process(spark, sf_dir):
-    columns = {
-        "members": lambda g: F.count(F.lit(1)).over(g),
-        "share": lambda g: F.round(ratio_or_zero("o_totalprice", F.max("o_totalprice").over(g)), 6),
-    }
-    return analysis.process_members(_members(spark, sf_dir), columns).select("o_orderkey", "members", "share")
+    folds = {"n": F.count(F.lit(1)), "largest": F.max("o_totalprice")}
+    columns = {"members": F.col("n"), "share": F.round(ratio_or_zero("o_totalprice", F.col("largest")), 6)}
+    return analysis.process_members(_members(spark, sf_dir), columns, folds=folds).select("o_orderkey", "members", "share")
 
 
 @query(f"SELECT collection_id, parent_id, depth, label, key FROM ({NODES})")
@@ -176,9 +174,28 @@ def collection_display(spark, sf_dir):
     return metadata.display(nodes, own, found.withColumnRenamed("entity_id", "collection_id"))
 
 
-@query(f"SELECT collection_id, CASE WHEN length(label) % 2 = 0 THEN key ELSE '@collection/' || collection_id END AS key FROM ({NODES})")
+@query(f"""
+WITH known AS (SELECT collection_id FROM ({NODES}) WHERE length(label) % 5 > 0)
+SELECT n.collection_id, CASE WHEN n.collection_id IN (SELECT collection_id FROM ({UPS}) GROUP BY 1 HAVING count(*) FILTER (up NOT IN (SELECT * FROM known)) = 0) THEN n.key ELSE '@collection/' || n.collection_id END AS key FROM ({NODES}) n""")
 def annotation_keys(spark, sf_dir):
-    return tree(spark, sf_dir).select("collection_id", hierarchy.annotation_key("path", "collection_id", F.length("label") % 2 == 0).alias("key"))
+    nodes = tree(spark, sf_dir)
+    return hierarchy.annotation_keys(nodes, nodes.where("length(label) % 5 > 0")).select("collection_id", "key")
+
+
+CANONICAL = "SELECT n_nationkey, t, t || '=' || length(v) || ':' || v AS x FROM (SELECT n_nationkey, unnest(['int', 'string', 'double']) AS t, unnest([n_regionkey::VARCHAR, n_regionkey::VARCHAR, n_regionkey || '.0']) AS v FROM nation)"
+
+
+@query(f"""
+WITH c AS (SELECT *, 'string=' || length(n_name) || ':' || n_name AS y FROM ({CANONICAL}) JOIN nation USING (n_nationkey)), d AS (SELECT *, sha256('/' || length(x) || ':' || x) AS i1 FROM c)
+SELECT n_nationkey, t AS vtype, i1 AS parent_id, sha256(i1 || '/' || length(y) || ':' || y) AS collection_id FROM d
+UNION ALL SELECT n_nationkey, 'none', sha256('/7:string~'), sha256(sha256('/7:string~') || '/' || (length(n_name) + 7 + length(length(n_name)::VARCHAR) + 1) || ':string=' || length(n_name) || ':' || n_name) FROM nation""")
+def canonical_ids(spark, sf_dir):
+    """Levels whose values are the same text but of different types, or null, are different nodes."""
+    nation, level = table(spark, sf_dir, "nation"), F.col("n_regionkey")
+    levels = {"int": level.cast("int"), "string": level.cast("string"), "double": level.cast("double"), "none": F.lit(None).cast("string")}
+    paths = F.explode(F.array(*(F.struct(F.lit(t).alias("vtype"), hierarchy.canonical_path(v, "n_name").alias("path")) for t, v in levels.items()))).alias("p")
+    ids = nation.select("n_nationkey", paths).select("n_nationkey", "p.vtype", hierarchy.id_path("p.path").alias("ids"))
+    return ids.select("n_nationkey", "vtype", F.col("ids")[0].alias("parent_id"), F.col("ids")[1].alias("collection_id"))
 
 
 @query(f"""
@@ -299,7 +316,7 @@ def param_fragment_match(spark, sf_dir):
 
 
 CELLS = """
-  SELECT event_id, CASE event_id % 8 WHEN 0 THEN ' ' WHEN 1 THEN CASE WHEN user_id % 2 = 0 THEN 'Yes' ELSE 'f' END WHEN 2 THEN ' ' || user_id || ' ' WHEN 3 THEN '-' || user_id || '.25'
+  SELECT event_id, CASE event_id % 9 WHEN 8 THEN ['NaN', 'Inf', '-inf', 'infinit'][user_id % 4 + 1] WHEN 0 THEN ' ' WHEN 1 THEN CASE WHEN user_id % 2 = 0 THEN 'Yes' ELSE 'f' END WHEN 2 THEN ' ' || user_id || ' ' WHEN 3 THEN '-' || user_id || '.25'
     WHEN 4 THEN strftime(ts, '%Y-%m-%d') WHEN 5 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') WHEN 6 THEN event_type || ' x' ELSE user_id || 'd' END AS cell FROM events
 """
 
@@ -307,14 +324,14 @@ CELLS = """
 @query(f"""
 WITH c AS (SELECT event_id, trim(cell) AS x FROM ({CELLS}))
 SELECT event_id, CASE WHEN x = '' THEN NULL WHEN lower(x) IN ('true', 't', 'yes', 'y', 'false', 'f', 'no', 'n') THEN 'Bool' WHEN regexp_full_match(x, '[+-]?\\d+') THEN 'Int64'
-    WHEN regexp_full_match(x, '[+-]?\\d+\\.\\d+') THEN 'Float64' WHEN regexp_full_match(x, '\\d{{4}}-\\d{{2}}-\\d{{2}}') THEN 'Date'
+    WHEN regexp_full_match(x, '[+-]?\\d+\\.\\d+') OR lower(x) IN ('nan', 'inf', '-inf') THEN 'Float64' WHEN regexp_full_match(x, '\\d{{4}}-\\d{{2}}-\\d{{2}}') THEN 'Date'
     WHEN regexp_full_match(x, '\\d{{4}}-\\d{{2}}-\\d{{2}}T.*') THEN 'DateTime' ELSE 'String' END AS vtype,
   CASE WHEN x = '' THEN NULL WHEN lower(x) IN ('true', 't', 'yes', 'y') THEN 'true' WHEN lower(x) IN ('false', 'f', 'no', 'n') THEN 'false'
-    WHEN regexp_full_match(x, '[+-]?\\d+\\.\\d+') THEN x || '00' WHEN regexp_full_match(x, '\\d{{4}}-\\d{{2}}-\\d{{2}}T.*') THEN replace(x, 'T', ' ') ELSE x END AS shown FROM c""")
+    WHEN regexp_full_match(x, '[+-]?\\d+\\.\\d+') THEN x || '00' WHEN x = 'Inf' THEN 'Infinity' WHEN x = '-inf' THEN '-Infinity' WHEN regexp_full_match(x, '\\d{{4}}-\\d{{2}}-\\d{{2}}T.*') THEN replace(x, 'T', ' ') ELSE x END AS shown FROM c""")
 def typed_cells(spark, sf_dir):
     user, ts = F.col("user_id").cast("string"), F.col("ts")
-    cells = [F.lit(" "), F.when(F.col("user_id") % 2 == 0, "Yes").otherwise("f"), F.concat(F.lit(" "), user, F.lit(" ")), F.concat(F.lit("-"), user, F.lit(".25")), F.date_format(ts, "yyyy-MM-dd"), F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.concat("event_type", F.lit(" x")), F.concat(user, F.lit("d"))]
-    cell = F.element_at(F.array(*cells), ((F.col("event_id") % 8) + 1).cast("int"))
+    cells = [F.lit(" "), F.when(F.col("user_id") % 2 == 0, "Yes").otherwise("f"), F.concat(F.lit(" "), user, F.lit(" ")), F.concat(F.lit("-"), user, F.lit(".25")), F.date_format(ts, "yyyy-MM-dd"), F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.concat("event_type", F.lit(" x")), F.concat(user, F.lit("d")), F.element_at(F.array(*map(F.lit, ("NaN", "Inf", "-inf", "infinit"))), (F.col("user_id") % 4 + 1).cast("int"))]
+    cell = F.element_at(F.array(*cells), ((F.col("event_id") % 9) + 1).cast("int"))
     typed = table(spark, sf_dir, "events").select("event_id", typed_cell(cell).alias("v"))
     return typed.select("event_id", F.col("v.vtype").alias("vtype"), show_typed("v").alias("shown"))
 
@@ -334,8 +351,8 @@ k AS (SELECT label, list_transform(regexp_extract_all(label, '(\\d+|\\D+)'), lam
 SELECT label, row_number() OVER (ORDER BY key, label)::INTEGER AS rank FROM k""")
 def natural_sort(spark, sf_dir):
     labels = table(spark, sf_dir, "part").select(F.col("p_brand").alias("label")).union(table(spark, sf_dir, "documents").select("source")).union(table(spark, sf_dir, "nation").select("n_name")).distinct()
-    roots = labels.select(F.lit("root").alias("parent_id"), "label").withColumn("key", natural_key("label"))
-    return roots.select("label", F.row_number().over(Window.partitionBy("parent_id").orderBy("key", "label")).alias("rank"))
+    ranks = tables.ranked(labels.withColumn("key", natural_key("label")), "key", "label", name="rank")
+    return ranks.select("label", F.col("rank").cast("int").alias("rank"))
 
 
 ROMAN_LABEL = "CASE WHEN n_regionkey = 4 THEN 'run-' || n_nationkey ELSE repeat('X', n_nationkey // 10) || ['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'][n_nationkey % 10 + 1] || CASE WHEN n_nationkey % 10 = 0 THEN 'X' ELSE '' END END"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import changes, hierarchy, metadata, profile
+from ..operators import changes, hierarchy, metadata, profile, selection, tables
 from ..sources import annotation_files, delimited, parameters
 from ._tables import IDS, NODES, UPS, customer_paths, order_items, order_paths, table, tree
 
@@ -140,7 +140,8 @@ def stage_counts(spark, sf_dir):
 @query("""
 WITH c AS (SELECT o_orderpriority, count(*)::BIGINT AS total, count(*) FILTER (o_orderstatus = 'P')::BIGINT AS pending, count(*) FILTER (o_orderkey % 4 = 0)::BIGINT AS failed, 0::BIGINT AS running FROM orders WHERE o_orderpriority < '3' OR o_orderstatus <> 'P' GROUP BY 1)
 SELECT *, CASE WHEN running > 0 THEN 'busy' WHEN pending > 0 THEN 'busy' WHEN failed > 0 THEN 'warning' ELSE 'ok' END AS level,
-  CASE WHEN running > 0 THEN 'working' WHEN pending > 0 THEN 'waiting' WHEN failed > 0 THEN 'done with failures' ELSE 'up to date' END AS label, round((total - pending) / total, 6) AS progress FROM c""")
+  CASE WHEN running > 0 THEN 'working' WHEN pending > 0 THEN 'waiting' WHEN failed > 0 THEN 'done with failures' ELSE 'up to date' END AS label,
+  CASE WHEN pending > 0 THEN (total - pending) || ' of ' || total || ' done, ' || pending || ' to come' WHEN failed > 0 THEN failed || ' of ' || total || ' failed' ELSE 'all ' || total || ' done' END AS detail, round((total - pending) / total, 6) AS progress FROM c""")
 def status_verdict(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").where("o_orderpriority < '3' OR o_orderstatus <> 'P'")
     counts = orders.groupBy("o_orderpriority").agg(
@@ -211,8 +212,37 @@ FROM (SELECT DISTINCT l_orderkey AS s, l_orderkey || '#lines:' || l_returnflag A
 def source_context(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
     items = order_items(spark, sf_dir)
-    both = items.join(orders, items.source_item_id == orders.o_orderkey, "left")
-    return both.select("item_id", F.col("o_orderpriority").alias("label"), F.when(F.col("o_orderkey") % 9 > 0, F.col("o_totalprice")).alias("price"))
+    sources = orders.withColumn("source_item_id", F.col("o_orderkey"))
+    columns = {"label": F.col("o_orderpriority"), "price": F.when(F.col("o_orderkey") % 9 > 0, F.col("o_totalprice"))}
+    return selection.with_source(items, sources, columns).select("item_id", "label", "price")
+
+
+@query("""
+WITH RECURSIVE n AS (SELECT event_id AS id, CASE WHEN event_id % 100 = 7 THEN event_id * 4 + 1 WHEN event_id > 0 THEN event_id // 4 END AS parent FROM events),
+r AS (SELECT id FROM n WHERE parent IS NULL OR parent NOT IN (SELECT id FROM n) UNION ALL SELECT n.id FROM r JOIN n ON n.parent = r.id)
+SELECT id::VARCHAR AS collection_id FROM n WHERE id NOT IN (SELECT id FROM r)""")
+def cycles(spark, sf_dir):
+    """A tree of four branches a node, in which some nodes have one of their children as a parent."""
+    k = F.col("event_id")
+    parent = F.when(k % 100 == 7, k * 4 + 1).when(k > 0, F.expr("event_id div 4"))
+    nodes = table(spark, sf_dir, "events").select(k.cast("string").alias("collection_id"), parent.cast("string").alias("parent_id"))
+    return hierarchy.cycles(nodes)
+
+
+@query("""
+WITH t AS (SELECT o_orderpriority AS p, count(*) AS found, count(*) FILTER (o_orderstatus = 'P') AS pending, count(*) FILTER (o_orderstatus <> 'P') AS items, count(*) FILTER (o_orderstatus = 'F') AS analyzed,
+  count(*) FILTER (o_orderkey % 40 = 1) AS fi, count(*) FILTER (o_orderkey % 40 = 2) AS fp, count(*) FILTER (o_orderkey % 40 IN (1, 2, 3)) AS errors FROM orders GROUP BY 1), u AS (SELECT *, errors - fi - fp AS fa FROM t)
+SELECT p AS o_orderpriority, unnest([1, 2, 3, 4])::INTEGER AS position, unnest([found || ' sources', items || ' items', analyzed || ' analyzed', (fi + fp + fa) || CASE WHEN fi + fp + fa = 1 THEN ' issue' ELSE ' issues' END]) AS cell,
+  unnest([found || ' found, ' || pending || ' pending', items || ' interpreted', items || ' processed, ' || analyzed || ' analyzed', fi || ' interpret, ' || fp || ' process, ' || fa || ' analyze, 0 collection']) AS details FROM u""")
+def status_row(spark, sf_dir):
+    k, status = F.col("o_orderkey"), F.col("o_orderstatus")
+    items = F.count_if(status != "P")
+    totals = table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(
+        F.count(F.lit(1)).alias("found"), F.count_if(status == "P").alias("pending"), items.alias("interpreted"), items.alias("processed"), F.count_if(status == "F").alias("analyzed"),
+        F.count_if(k % 40 == 1).alias("failed_interpret"), F.count_if(k % 40 == 2).alias("failed_process"), F.lit(0).alias("failed_analyze"), F.lit(None).cast("int").alias("failed_collection"),
+        F.count_if((k % 40).isin(1, 2, 3)).alias("errors"),
+    )
+    return profile.status_row(totals).withColumn("details", F.array_join("details", ", "))
 
 
 @query("SELECT p_partkey AS source_item_id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 40)")
@@ -223,10 +253,11 @@ def skipped_sources(spark, sf_dir):
 
 @query("""
 SELECT event_type, count(*)::BIGINT AS n, round(sum(value), 2) AS total, round(quantile_cont(value, 0.5), 4) AS median, round(quantile_cont(value, 0.9), 4) AS p90,
-  round(quantile_cont(value, 0.99), 4) AS p99, max(value) AS largest FROM events GROUP BY event_type""")
+  round(quantile_cont(value, 0.99), 4) AS p99, max(value) AS largest, sum(user_id)::DOUBLE AS wait, coalesce(sum(event_id) FILTER (event_id % 3 = 0), 0)::DOUBLE AS service FROM events GROUP BY event_type""")
 def span_summary(spark, sf_dir):
-    out = profile.span_summary(table(spark, sf_dir, "events"), "event_type", value="value")
-    return out.select("event_type", "n", F.round("total", 2).alias("total"), *(F.round(c, 4).alias(c) for c in ("median", "p90", "p99")), "largest")
+    spans = table(spark, sf_dir, "events").withColumn("served", F.when(F.col("event_id") % 3 == 0, F.col("event_id")))
+    out = profile.span_summary(spans, "event_type", value="value", wait="user_id", service="served")
+    return out.select("event_type", "n", F.round("total", 2).alias("total"), *(F.round(c, 4).alias(c) for c in ("median", "p90", "p99")), "largest", "wait", "service")
 
 
 @query("""
@@ -256,10 +287,10 @@ def _phased(spark, sf_dir):
 
 @query(f"""
 SELECT event_type AS kind, count(*)::BIGINT AS events, round(coalesce(sum(value) FILTER ({PHASE_SQL} = 'read'), 0), 2) AS read, round(coalesce(sum(value) FILTER ({PHASE_SQL} = 'process'), 0), 2) AS process,
-  round(coalesce(sum(value) FILTER ({PHASE_SQL} = 'other'), 0), 2) AS other, round(sum(value), 2) AS total FROM events GROUP BY event_type""")
+  round(coalesce(sum(value) FILTER ({PHASE_SQL} = 'other'), 0), 2) AS other, round(sum(value), 2) AS total, (row_number() OVER (ORDER BY sum(value) DESC, event_type))::INTEGER AS rank FROM events GROUP BY event_type""")
 def kind_profile(spark, sf_dir):
-    out = profile.kind_profile(_phased(spark, sf_dir), PHASES)
-    return out.select("kind", "events", *(F.round(c, 2).alias(c) for c in (*PHASES, "total"))).orderBy(F.desc("total"))
+    out = profile.slowest_first(profile.kind_profile(_phased(spark, sf_dir), PHASES), "total", "kind")
+    return out.select("kind", "events", *(F.round(c, 2).alias(c) for c in (*PHASES, "total")), F.col("rank").cast("int").alias("rank"))
 
 
 @query(f"""
@@ -271,10 +302,10 @@ def source_profile(spark, sf_dir):
 
 
 @query("""
-WITH d AS (SELECT list_filter(string_split(text, ' '), lambda x: x <> '')[1:8] AS f FROM documents), e AS (SELECT f[1] AS leaf, unnest(list_distinct(f)) AS frame FROM d)
+WITH d AS (SELECT list_filter(string_split(text, ' '), lambda x: x <> '') AS f FROM documents), e AS (SELECT f[1] AS leaf, unnest(list_distinct(f)) AS frame FROM d)
 SELECT frame, count(*)::BIGINT AS total, count(*) FILTER (frame = leaf)::BIGINT AS own FROM e GROUP BY frame""")
 def hotspots(spark, sf_dir):
-    frames = F.slice(F.filter(F.split("text", " ", -1), lambda x: x != ""), 1, 8)  # a stack is the first eight words, as a sample's depth
+    frames = F.filter(F.split("text", " ", -1), lambda x: x != "")  # a stack is a text's words
     return profile.hotspots(table(spark, sf_dir, "documents").select(frames.alias("frames")))
 
 
@@ -292,7 +323,11 @@ def throughput(spark, sf_dir):
     return out.select("event_id", F.round("rate", 6).alias("rate"))
 
 
-@query()
+@query("""
+WITH RECURSIVE s AS (SELECT DISTINCT user_id, epoch_us(ts) // 1000 AS ms FROM events), k AS (
+  SELECT user_id, min(ms) AS kept FROM s GROUP BY user_id
+  UNION ALL SELECT k.user_id, min(s.ms) FROM k JOIN s ON s.user_id = k.user_id AND s.ms >= k.kept + 3600000 GROUP BY k.user_id)
+SELECT user_id, kept FROM k""")
 def thin_samples(spark, sf_dir):
     samples = table(spark, sf_dir, "events").select("user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
     return profile.thin(samples, "ms", 3_600_000, "user_id")
@@ -309,10 +344,15 @@ def scaling_fit(spark, sf_dir):
 
 @query("""
 SELECT count(DISTINCT user_id)::BIGINT AS files, count(DISTINCT event_id)::BIGINT AS items, round(sum(value), 2) AS ms, round(sum(value) / count(DISTINCT user_id), 4) AS ms_per_file,
-  round(sum(value) / count(DISTINCT event_id), 4) AS ms_per_item, round(count(DISTINCT event_id) * 1000 / sum(value), 4) AS items_per_s FROM events""")
+  round(sum(value) / count(DISTINCT event_id), 4) AS ms_per_item, round(count(DISTINCT event_id) * 1000 / sum(value), 4) AS items_per_s,
+  round(quantile_cont(value, 0.5) FILTER (event_type = 'view'), 4) AS during_median, round(quantile_cont(value, 0.9) FILTER (event_type = 'view'), 4) AS during_p90,
+  round(quantile_cont(value, 0.99) FILTER (event_type = 'view'), 4) AS during_p99, round(max(value) FILTER (event_type = 'view'), 4) AS during_largest,
+  round(quantile_cont(value, 0.5) FILTER (event_type = 'click'), 4) AS after_median, round(quantile_cont(value, 0.9) FILTER (event_type = 'click'), 4) AS after_p90,
+  round(quantile_cont(value, 0.99) FILTER (event_type = 'click'), 4) AS after_p99, round(max(value) FILTER (event_type = 'click'), 4) AS after_largest FROM events""")
 def scorecard(spark, sf_dir):
-    out = profile.scorecard(table(spark, sf_dir, "events"), "user_id", "event_id", "value")
-    return out.select("files", "items", F.round("ms", 2).alias("ms"), *(F.round(c, 4).alias(c) for c in ("ms_per_file", "ms_per_item", "items_per_s")))
+    reads = {"during": F.col("event_type") == "view", "after": F.col("event_type") == "click"}
+    out = profile.scorecard(table(spark, sf_dir, "events"), "user_id", "event_id", "value", reads)
+    return out.select("files", "items", F.round("ms", 2).alias("ms"), *(F.round(c, 4).alias(c) for c in out.columns[3:]))
 
 
 @query("SELECT event_type, sum(event_id)::BIGINT AS ns, count(*)::BIGINT AS calls, round(sum(event_id) / 1e6 / count(*), 8) AS mean_ms FROM events GROUP BY 1")
@@ -322,18 +362,18 @@ def write_costs(spark, sf_dir):
 
 
 @query("""
-SELECT item_id, (row_number() OVER (PARTITION BY s % 100 ORDER BY s, item_id))::INTEGER AS rank FROM (SELECT DISTINCT l_orderkey AS s, l_orderkey || '#lines:' || l_returnflag AS item_id FROM lineitem)""")
+SELECT item_id, row_number() OVER (ORDER BY s, item_id) AS rank FROM (SELECT DISTINCT l_orderkey AS s, l_orderkey || '#lines:' || l_returnflag AS item_id FROM lineitem)""")
 def ordered_index(spark, sf_dir):
-    items = order_items(spark, sf_dir)
-    rank = F.row_number().over(Window.partitionBy(F.col("source_item_id") % 100).orderBy("source_item_id", "item_id"))
-    return items.select("item_id", rank.alias("rank")).orderBy("item_id")
+    return tables.ranked(order_items(spark, sf_dir), "source_item_id", "item_id", name="rank").select("item_id", "rank")
 
 
 def _files(spark, sf_dir):
     """A text file for each order: comma, tab or semicolon, some with a comment and a preamble, some without a header."""
     k = F.col("l_orderkey")
     mark = F.element_at(F.array(F.lit(","), F.lit("\t"), F.lit(";")), (k % 3 + 1).cast("int"))
-    row = F.concat_ws("|", F.col("l_linenumber").cast("string"), F.col("l_quantity").cast("int").cast("string"), F.col("l_suppkey").cast("string"))
+    # some files have quoted cells that hold the delimiter
+    supplier = F.when(k % 6 == 0, F.concat(F.lit('"'), F.col("l_suppkey").cast("string"), F.lit('|""x"""'))).otherwise(F.col("l_suppkey").cast("string"))
+    row = F.concat_ws("|", F.col("l_linenumber").cast("string"), F.col("l_quantity").cast("int").cast("string"), supplier)
     body = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", row.alias("r")))).alias("rows"))
     rows = F.array_join(F.transform("rows", lambda x: x["r"]), "\n")
     head = F.when(k % 2 == 0, F.lit("line|qty|supplier\n")).otherwise(F.lit(""))
@@ -343,7 +383,7 @@ def _files(spark, sf_dir):
 
 
 @query(r"""
-SELECT l_orderkey::VARCHAR AS path, [',', chr(9), ';'][l_orderkey % 3 + 1] AS delimiter, (1 + CASE WHEN l_orderkey % 5 = 0 THEN 2 ELSE 0 END)::INTEGER AS header_row,
+SELECT l_orderkey::VARCHAR AS path, [',', chr(9), ';'][l_orderkey % 3 + 1] AS delimiter, CASE WHEN l_orderkey % 2 = 0 THEN (1 + CASE WHEN l_orderkey % 5 = 0 THEN 2 ELSE 0 END)::INTEGER END AS header_row,
   (1 + CASE WHEN l_orderkey % 5 = 0 THEN 2 ELSE 0 END + (l_orderkey % 2 = 0)::INTEGER)::INTEGER AS data_start, l_orderkey % 2 = 0 AS has_header, count(*)::BIGINT AS data_rows, 3 AS width
 FROM lineitem GROUP BY l_orderkey""")
 def layout_sniff(spark, sf_dir):
@@ -351,12 +391,13 @@ def layout_sniff(spark, sf_dir):
 
 
 @query("""
-WITH r AS (SELECT l_orderkey, l_quantity, l_linenumber, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity::INTEGER || '|' || l_suppkey) AS n FROM lineitem)
+WITH r AS (SELECT l_orderkey, l_quantity, l_linenumber, CASE WHEN l_orderkey % 6 = 0 THEN l_suppkey || [',', chr(9), ';'][l_orderkey % 3 + 1] || '"x"' ELSE l_suppkey::VARCHAR END AS l_suppkey,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity::INTEGER || '|' || CASE WHEN l_orderkey % 6 = 0 THEN '"' ELSE '' END || l_suppkey) AS n FROM lineitem)
 SELECT l_orderkey::VARCHAR AS path, n::INTEGER AS row, unnest([1, 2, 3]) AS "column", unnest(CASE WHEN l_orderkey % 2 = 0 THEN ['line', 'qty', 'supplier'] ELSE ['column1', 'column2', 'column3'] END) AS name,
-  unnest([l_linenumber::VARCHAR, l_quantity::INTEGER::VARCHAR, l_suppkey::VARCHAR]) AS value FROM r WHERE n <= 4""")
+  unnest([l_linenumber::VARCHAR, l_quantity::INTEGER::VARCHAR, l_suppkey]) AS value FROM r""")
 def delimited_read(spark, sf_dir):
     lines = _files(spark, sf_dir)
-    return delimited.read_table(lines, delimited.sniff(lines), limit=4)
+    return delimited.read_table(lines, delimited.sniff(lines))
 
 
 @query("""
@@ -376,7 +417,9 @@ def parameter_files(spark, sf_dir):
 @query("""
 SELECT source AS path, 'tag_' || lang AS tag, 'catalog' AS part, count(*)::BIGINT AS n FROM (SELECT DISTINCT source, lang FROM documents) GROUP BY ALL
 UNION ALL SELECT source, 'tag_' || lang, 'assignments', count(*) FROM documents WHERE doc_id % 10 > 0 GROUP BY ALL
-UNION ALL SELECT source, 'malformed', 'errors', count(*) FROM documents WHERE doc_id % 10 = 0 GROUP BY ALL""")
+UNION ALL SELECT source, 'malformed row', 'errors', count(*) FROM documents WHERE doc_id % 10 = 0 GROUP BY ALL
+UNION ALL SELECT DISTINCT source, 'unknown section', 'errors', 1 FROM documents
+UNION ALL SELECT DISTINCT source, 'row outside of any section', 'errors', 2 FROM documents""")
 def parse_tags(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("source").alias("path"), "doc_id", F.concat(F.lit("tag_"), "lang").alias("tag"))
     line = lambda df, n, text: df.select("path", n.cast("long").alias("line_no"), text.alias("line"))
@@ -385,23 +428,44 @@ def parse_tags(spark, sf_dir):
     order = F.row_number().over(Window.partitionBy("path").orderBy("tag"))
     rows = F.when(F.col("doc_id") % 10 == 0, F.lit("only-a-key")).otherwise(F.concat_ws("\t", F.col("doc_id").cast("string"), "tag"))
     lines = (
-        line(sources, F.lit(-1000), F.lit("[catalog]"))
+        line(sources, F.lit(-2000), F.lit("stray row"))
+        .unionByName(line(sources, F.lit(-1999), F.lit("[others]")))
+        .unionByName(line(sources, F.lit(-1998), F.lit("in no section")))
+        .unionByName(line(sources, F.lit(-1000), F.lit("[ catalog ]")))
         .unionByName(line(langs, -500 + order, F.concat_ws("\t", "tag", F.lit("#A0b0C0"), F.lit("3"))))
         .unionByName(line(sources, F.lit(-1), F.lit("[assignments]")))
         .unionByName(line(docs, F.col("doc_id"), rows))
     )
     catalog, assigned, errors = annotation_files.parse_tags(lines)
     count = lambda df, tag, part: df.groupBy("path", tag.alias("tag")).agg(F.count(F.lit(1)).alias("n")).select("path", "tag", F.lit(part).alias("part"), "n")
-    return count(catalog, F.col("name"), "catalog").unionByName(count(assigned, F.col("tag"), "assignments")).unionByName(count(errors, F.lit("malformed"), "errors"))
+    return count(catalog, F.col("name"), "catalog").unionByName(count(assigned, F.col("tag"), "assignments")).unionByName(count(errors, F.substring_index("message", ":", 1), "errors"))
 
 
 @query("""
 SELECT source AS path, 'doc ' || doc_id AS key, '[' || lang || ']' || chr(10) || n_chars AS body FROM documents""")
 def parse_notes(spark, sf_dir):
+    return annotation_files.parse_notes(_notes(spark, sf_dir))
+
+
+@query("""
+SELECT lang AS path, 6 * doc_id + CASE doc_id % 4 WHEN 2 THEN 2 ELSE 1 END AS line_no,
+  ['text outside of any section', 'no fence after the heading', 'no heading before the fence'][doc_id % 4 + 1] AS message FROM documents WHERE doc_id % 4 < 3
+UNION ALL SELECT lang, 6 * max(doc_id) + 7, 'the fence is never closed' FROM documents GROUP BY lang""")
+def note_errors(spark, sf_dir):
+    """Sections with stray text before them, headings without a fence, and fences without a heading, in files whose last fence is open."""
+    docs = table(spark, sf_dir, "documents")
+    at = lambda **lines: F.array(*(F.struct(F.lit(int(n[1:])).alias("n"), F.lit(t).alias("line")) for n, t in lines.items()))
+    kinds = F.array(at(_1="stray", _2="[a]", _3="```", _4="x", _5="```"), at(_1="[a]", _3="[b]", _4="```", _5="```"), at(_1="", _2="```", _3="y", _4="```"), at(_1="[a]", _2="", _3="```", _4="[b]", _5="```"))
+    lines = docs.select(F.col("lang").alias("path"), "doc_id", F.explode(F.element_at(kinds, (F.col("doc_id") % 4 + 1).cast("int"))).alias("l")).select("path", (F.col("doc_id") * 6 + F.col("l.n")).alias("line_no"), "l.line")
+    last = docs.groupBy(F.col("lang").alias("path")).agg(F.max("doc_id").alias("d")).select("path", F.explode(F.array(F.struct((F.col("d") * 6 + 6).alias("line_no"), F.lit("[end]").alias("line")), F.struct((F.col("d") * 6 + 7).alias("line_no"), F.lit("```").alias("line")))).alias("l")).select("path", "l.*")
+    return annotation_files.note_errors(lines.unionByName(last))
+
+
+def _notes(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     text = F.array(F.concat(F.lit("[doc "), F.col("doc_id").cast("string"), F.lit("]")), F.lit("```"), F.concat(F.lit("["), "lang", F.lit("]")), F.col("n_chars").cast("string"), F.lit("```"), F.lit(""))
     lines = docs.select(F.col("source").alias("path"), "doc_id", F.posexplode(text).alias("n", "line")).select("path", (F.col("doc_id") * 6 + F.col("n")).alias("line_no"), "line")
-    return annotation_files.parse_notes(lines)
+    return lines
 
 
 @query("""
