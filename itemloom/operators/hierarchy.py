@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import Cols, col
 from ..functions.order import is_roman, natural_key, roman_value
+from ..session import prepare
 
 
 def canonical(value: Cols) -> Column:
@@ -117,14 +118,11 @@ def cycles(tree: DataFrame) -> DataFrame:
     whose parent is missing counts as a root here; broken_links tells of it.
 
     tree: collection_id, parent_id. Rounds are as many as the tree is deep, each a join with the nodes not reached yet."""
-    spark = tree.sparkSession
+    spark = prepare(tree.sparkSession)
     nodes = tree.select("collection_id", "parent_id")
     known = nodes.select(F.col("collection_id").alias("parent_id"))
     roots = nodes.where("parent_id IS NULL").select("collection_id").union(nodes.where("parent_id IS NOT NULL").join(known, "parent_id", "left_anti").select("collection_id"))
     # a recursion in SQL, since its rounds are planned and run one by one, without a lineage that grows
-    settings = {"spark.sql.cteRecursionRowLimit": "-1", "spark.sql.cteRecursionLevelLimit": "-1"}
-    for key, value in settings.items():
-        spark.conf.set(key, value)
     walk = """WITH RECURSIVE reached(collection_id) AS (
         SELECT collection_id FROM {roots} UNION ALL SELECT t.collection_id FROM reached r JOIN {nodes} t ON t.parent_id = r.collection_id)
         SELECT DISTINCT collection_id FROM reached"""

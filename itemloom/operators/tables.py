@@ -59,9 +59,12 @@ def first_rows(rows: DataFrame, keys: list[str], order: list, limit: int) -> Dat
 
 
 def ranked(rows: DataFrame, *order, name: str = "position") -> DataFrame:
-    """rows with their rank in the whole table, from 1: ranges are sorted apart, and only their sizes meet in one place."""
+    """rows with their rank in the whole table, from 1: ranges are sorted apart, and only their sizes meet in one place.
+
+    Sizes and rows must come from one and the same division into ranges, whose borders Spark samples anew for each plan, so
+    the sorted rows are persisted (in memory and on disk, until the session or the caller clears them)."""
     sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
-    local = sorted_.withColumn("_p", F.shiftright("_m", 33)).withColumn("_i", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
+    local = sorted_.persist().withColumn("_p", F.shiftright("_m", 33)).withColumn("_i", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
     sizes = local.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return local.join(sizes.select("_p", before.alias("_b")), "_p").withColumn(name, F.col("_b") + F.col("_i") + 1).drop("_m", "_p", "_i", "_b")
