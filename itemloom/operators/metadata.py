@@ -1,23 +1,58 @@
-"""Layered metadata in long form: rows (entity, name, value) of a layer, where later layers win.
+"""Layered metadata in long form: rows (entity, name, value, vtype) of a layer, where later layers win.
 
-The layers are 0 inherited from collections, 1 source, 2 read, 3 entry, 4 analysis.
+The layers are 0 inherited from collections, 1 source, 2 read, 3 entry, 4 analysis. A value is text, and vtype the SQL type
+that it is text of; integers are bigint and floats double, whatever their width.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions import cells
 from ..functions.names import Cols, col
 
 INHERITED, SOURCE, READ, ENTRY, ANALYSIS = range(5)
 
 
+def vtype(kind: T.DataType) -> str:
+    """The type under which values of a column type are registered."""
+    if isinstance(kind, T.ArrayType):
+        return f"array<{vtype(kind.elementType)}>"
+    if isinstance(kind, T.IntegralType):
+        return "bigint"
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return "double"
+    return kind.simpleString() if isinstance(kind, (T.BooleanType, T.DateType, T.TimestampType, T.DecimalType)) else "string"
+
+
+def to_text(value: Column, kind: T.DataType) -> Column:
+    return F.to_json(value) if isinstance(kind, T.ArrayType) else value.cast("string")
+
+
+def from_text(text: Column, kind: str) -> Column:
+    """A value of a registered type from its text, null if it is not one."""
+    return F.from_json(text, kind) if kind.startswith("array<") else text.try_cast(kind)
+
+
 def layer(df: DataFrame, entity: Cols, rank: int, values: dict[str, Cols]) -> DataFrame:
-    """Long rows (entity_id, layer, name, value) from columns; nulls are never stored."""
-    pairs = F.array(*(F.struct(F.lit(n).alias("name"), col(v).cast("string").alias("value")) for n, v in values.items()))
+    """Long rows (entity_id, layer, name, value, vtype) from columns; nulls are never stored."""
+    kinds = df.select(*(col(v).alias(n) for n, v in values.items())).schema
+    pairs = F.array(*(F.struct(F.lit(n).alias("name"), to_text(col(v), k.dataType).alias("value"), F.lit(vtype(k.dataType)).alias("vtype")) for (n, v), k in zip(values.items(), kinds, strict=True)))
     rows = df.select(col(entity).alias("entity_id"), F.lit(rank).alias("layer"), F.explode(pairs).alias("p"))
-    return rows.select("entity_id", "layer", "p.name", "p.value").where("value IS NOT NULL")
+    return rows.select("entity_id", "layer", "p.name", "p.value", "p.vtype").where("value IS NOT NULL")
+
+
+def sniffed(rows: DataFrame) -> DataFrame:
+    """rows with a text `value` as rows with value and vtype, by the type that a cell of this text has."""
+    kinds = {"Bool": "boolean", "Int64": "bigint", "Float64": "double", "Date": "date", "DateTime": "timestamp"}
+    typed = rows.withColumn("_t", cells.typed_cell("value"))
+    known = F.lit("string")
+    for name, kind in kinds.items():
+        known = F.when(F.col("_t.vtype") == name, F.lit(kind)).otherwise(known)
+    text = F.when(F.col("_t.vtype").isin("Date", "DateTime"), cells.show_typed("_t")).otherwise(F.col("value"))
+    return typed.withColumns({"vtype": known, "value": text}).drop("_t")
 
 
 def fold(layers: DataFrame, *more: str) -> DataFrame:
@@ -26,6 +61,12 @@ def fold(layers: DataFrame, *more: str) -> DataFrame:
     return layers.groupBy("entity_id", "name").agg(F.max_by("value", rank).alias("value"))
 
 
+def fold_typed(layers: DataFrame) -> DataFrame:
+    """entity_id, name, value, vtype: as fold, with the type of the value that wins."""
+    held = layers.groupBy("entity_id", "name").agg(F.max_by(F.struct("value", "vtype"), "layer").alias("v"))
+    return held.select("entity_id", "name", "v.value", "v.vtype")
+
+
 def fold_maps(maps: Cols) -> Column:
     """An array of maps merged in order, later keys winning (needs the session's LAST_WIN policy)."""
     empty = F.expr("cast(map() as map<string, string>)")
@@ -94,6 +135,13 @@ def wide(effective: DataFrame, columns: dict[str, str]) -> DataFrame:
     return effective.groupBy("entity_id").agg(*picks)
 
 
+def wide_typed(typed: DataFrame, registry: list[tuple[str, str]]) -> DataFrame:
+    """One row for each entity with a column of the registered type for each name; values of another type are left out (see
+    type_conflicts). registry: (name, vtype), which becomes the schema."""
+    picks = [from_text(F.max(F.when((F.col("name") == n) & (F.col("vtype") == t), F.col("value"))), t).alias(n) for n, t in registry]
+    return typed.groupBy("entity_id").agg(F.count(F.lit(1)).alias("_n"), *picks).drop("_n")
+
+
 def query_view(items: DataFrame, metadata: DataFrame) -> DataFrame:
     """Items with their wide metadata; a metadata column named as an item's becomes <name>_1."""
     taken = {c.lower() for c in items.columns}

@@ -19,9 +19,20 @@ def first_match(rules: list[tuple[str, Column]]) -> Column:
     return out
 
 
-def query_items(view: DataFrame, predicate: str | None = None) -> DataFrame:
-    """item_id of the rows for which a Spark SQL predicate over item and metadata columns holds, sorted."""
-    return (view.where(F.expr(predicate)) if predicate else view).select("item_id").orderBy("item_id")
+def where(view: DataFrame, predicate: str | None = None, **relations: DataFrame) -> DataFrame:
+    """Rows of view for which a Spark SQL predicate over its columns holds. Subqueries may name view as `items` and the
+    relations by their names."""
+    if not predicate:
+        return view
+    named = {"items": view, **relations}
+    given = ", ".join(f"{n} AS (SELECT * FROM {{_{n}}})" for n in named)
+    text = predicate.replace("{", "{{").replace("}", "}}")
+    return view.sparkSession.sql(f"WITH {given} SELECT * FROM items WHERE ({text})", **{f"_{n}": df for n, df in named.items()})
+
+
+def query_items(view: DataFrame, predicate: str | None = None, **relations: DataFrame) -> DataFrame:
+    """item_id of the rows for which a predicate over item and metadata columns holds (see where), sorted."""
+    return where(view, predicate, **relations).select("item_id").orderBy("item_id")
 
 
 def text_filter(pattern: str, *texts: Cols) -> Column:

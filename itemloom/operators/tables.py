@@ -29,6 +29,22 @@ def shape_id(schema: T.StructType) -> str:
     return hashlib.sha256(json.dumps([[f.name, f.dataType.simpleString()] for f in schema.fields]).encode()).hexdigest()[:16]
 
 
+def stacked(tables: list[DataFrame]) -> DataFrame:
+    """All rows of tables of several shapes by column name, absent columns null. Columns of one name that differ in type are
+    widened if all of them are numbers, else they become text."""
+    kinds: dict[str, list[T.DataType]] = {}
+    for t in tables:
+        for f in t.schema.fields:
+            if f.dataType not in kinds.setdefault(f.name, []):
+                kinds[f.name].append(f.dataType)
+    text = {n for n, ts in kinds.items() if len(ts) > 1 and not all(isinstance(t, T.NumericType) for t in ts)}
+    out = None
+    for t in tables:
+        t = t.withColumns({c: (F.to_json(c) if isinstance(t.schema[c].dataType, T.ArrayType) else F.col(c).cast("string")) for c in t.columns if c in text})
+        out = t if out is None else out.unionByName(t, allowMissingColumns=True)
+    return out
+
+
 def merge(tables: list[tuple[str, DataFrame]], provenance: bool | None = None) -> DataFrame:
     """All rows with the union of columns in the order first seen, absent ones null; `_item_` tells whose row it is, by
     default only if there is more than one table. Columns with one name must have one type or widen to one."""
