@@ -229,17 +229,17 @@ def test_trie_edges(spark):
     assert got == {(0, d, 0 if d else None, 100, int(d < 3), 1, 99 * 1000 * min(3, 4 - max(d, 1)), hashlib.sha256(every).hexdigest() if d == 3 else empty) for d in range(4)}
 
 
-@pytest.mark.parametrize("shape", ["random", "path", "star", "caterpillar", "forest"])
-def test_subtree_sums(spark, shape):
-    rng, n = random.Random(4), 300
-    parent = {
-        "random": lambda i: rng.randrange(i), "path": lambda i: i - 1, "star": lambda i: 0, "caterpillar": lambda i: i - 1 if i % 2 else max(i - 2, 0), "forest": lambda i: None if i % 60 == 0 else i - rng.choice([1, 2, 3]) if i % 60 > 3 else i - 1
-    }[shape]
-    tree = [(i, parent(i) if i else None, i * i, 1) for i in range(n)]
+def test_subtree_sums(spark):
+    """Random trees, a path, a star, a caterpillar and many small trees, side by side."""
+    rng, tree = random.Random(4), []
+    shapes = [lambda i: rng.randrange(i), lambda i: i - 1, lambda i: 0, lambda i: i - 1 if i % 2 else max(i - 2, 0), lambda i: None if i % 60 == 0 else i - 1 if i % 60 < 4 else i - rng.choice([1, 2, 3])]
+    for k, parent in enumerate(shapes):
+        above = [None, *(parent(i) for i in range(1, 300))]
+        tree += [(1000 * k + i, None if p is None else 1000 * k + p, i * i, 1) for i, p in enumerate(above)]
     total = {i: [v, w] for i, _, v, w in tree}
     for i, p, _, _ in reversed(tree):
         if p is not None:
             total[p] = [a + b for a, b in zip(total[p], total[i], strict=True)]
     df = stored(spark.createDataFrame(tree, "id long, parent long, v long, w long").repartition(3), "tree")
     got = prefix_trie.subtree_sums(df, ["v", "w"]).collect()
-    assert len(got) == n and {r["id"]: [r["v"], r["w"]] for r in got} == total
+    assert len(got) == len(tree) and {r["id"]: [r["v"], r["w"]] for r in got} == total
