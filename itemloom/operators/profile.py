@@ -8,16 +8,66 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import Cols, col
 from .tables import ranked
 
 
+#: A sketch of this accuracy gives a rank to within one in so many values; brackets are MARGIN times as wide to each side.
+ACCURACY, MARGIN = 10_000, 4
+#: Groups whose brackets may be broadcast: rows of a few numbers for each fraction.
+BROADCAST_GROUPS = 100_000
+
+
+def _with(left: DataFrame, right: DataFrame, groups: list[str], how: str = "left") -> DataFrame:
+    """left with the columns of right, which has one row for each group at most, nulls being a group."""
+    named = right.withColumnsRenamed({g: f"_g_{g}" for g in groups})
+    on = F.lit(True)
+    for g in groups:
+        on = on & left[g].eqNullSafe(named[f"_g_{g}"])
+    return left.join(named, on, how).drop(*(f"_g_{g}" for g in groups))
+
+
+def quantiles(rows: DataFrame, groups: list[str], value: Cols, fractions: list[float], broadcast: bool | None = None) -> DataFrame:
+    """groups and q, the exact quantiles of each group's values that are not null, interpolated between neighbours; groups
+    without values are left out.
+
+    A bounded sketch of each group brackets the value of each rank. Counts of what lies below the brackets and of the distinct
+    values in them, both combined before they are shuffled, then tell the value, and only what is in a bracket, some
+    MARGIN * 2 / ACCURACY of a group, is sorted. No task holds a group's values or their counts. Should a bracket miss its
+    rank, the job fails. broadcast: of the brackets; by default, if the groups are counted to be few."""
+    rows = rows.select(*groups, col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
+    edge = [min(max(p + d * MARGIN / ACCURACY, 0.0), 1.0) for p in fractions for d in (-1, 1)]
+    sketched = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", F.array(*(F.lit(e) for e in edge)), F.lit(ACCURACY)).alias("_s"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+    # at its ends, and where a margin is less than a few ranks, a bracket takes in all that is left
+    few = F.col("_n") < ACCURACY
+    low = lambda i: F.when(few | F.lit(edge[2 * i] == 0.0), F.col("_min")).otherwise(F.col("_s")[2 * i])
+    high = lambda i: F.when(few | F.lit(edge[2 * i + 1] == 1.0), F.col("_max")).otherwise(F.col("_s")[2 * i + 1])
+    brackets = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"), low(i).alias("a"), high(i).alias("b")) for i, p in enumerate(fractions)))
+    held = sketched.select(*groups, "_n", brackets.alias("_brackets"))
+    if broadcast is None:
+        broadcast = not groups or rows.select(*groups).distinct().limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+    known = _with(rows, held.hint("broadcast") if broadcast else held, groups, "inner")
+    below = known.groupBy(*groups, "_n").agg(F.array(*(F.count_if(F.col("_v") < F.col("_brackets")[i]["a"]) for i in range(len(fractions)))).alias("_below"))
+    within = known.select(*groups, "_v", F.explode(F.filter("_brackets", lambda x: F.col("_v").between(x["a"], x["b"]))).alias("_x"))
+    counted = within.groupBy(*groups, F.col("_x.i").alias("_i"), F.col("_x.p").alias("_p"), "_v").agg(F.count(F.lit(1)).alias("_c"))
+    running = counted.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*groups, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
+    ranked_ = _with(running, below.hint("broadcast") if broadcast else below, groups, "inner").withColumn("_upto", F.col("_upto") + F.col("_below")[F.col("_i")])
+    rank = F.col("_p") * (F.col("_n") - 1)
+    first = lambda r: F.min(F.when(F.col("_upto") > r, F.col("_v")))
+    found = ranked_.groupBy(*groups, "_i", "_p", "_n").agg(first(F.floor(rank)).alias("_lo"), first(F.ceil(rank)).alias("_hi"), F.min(F.col("_upto") - F.col("_c")).alias("_before"))
+    q = F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise((F.ceil(rank) - rank) * F.col("_lo") + (rank - F.floor(rank)) * F.col("_hi"))
+    sure = F.when((F.col("_before") <= F.floor(rank)) & F.col("_hi").isNotNull(), q).otherwise(F.raise_error(F.lit("a bracket missed its rank")).cast("double"))
+    each = found.select(*groups, F.struct("_i", sure.alias("q")).alias("_q"))
+    return each.groupBy(*groups).agg(F.transform(F.sort_array(F.collect_list("_q")), lambda x: x["q"]).alias("q")).where(F.size("q") > 0)
+
+
 def span_summary(spans: DataFrame, *groups: str, value: str = "ms", wait: str | None = None, service: str | None = None) -> DataFrame:
     """Count, total, median, p90, p99 and largest duration of each group; percentiles interpolate. Where the columns are
     named, also `wait` and `service`, the sums of the time that spans waited and were served."""
-    q = F.percentile(value, F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)))
     more = {n: c for n, c in (("wait", wait), ("service", service)) if c}
     sums = [F.coalesce(F.sum(F.col(c).cast("double")), F.lit(0.0)).alias(n) for n, c in more.items()]
-    out = spans.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(value), F.lit(0.0)).alias("total"), q.alias("q"), F.max(value).alias("largest"), *sums)
+    out = spans.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(value), F.lit(0.0)).alias("total"), F.max(value).alias("largest"), *sums)
+    out = _with(out, quantiles(spans, list(groups), value, [0.5, 0.9, 0.99]), list(groups))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return out.select(*groups, "n", "total", zero(F.col("q")[0]).alias("median"), zero(F.col("q")[1]).alias("p90"), zero(F.col("q")[2]).alias("p99"), zero(F.col("largest")).alias("largest"), *more)
 
@@ -25,8 +75,8 @@ def span_summary(spans: DataFrame, *groups: str, value: str = "ms", wait: str |
 def batch_summary(spans: DataFrame, *groups: str, rows: str = "rows") -> DataFrame:
     """Mean, median, p90 and largest of the positive batch sizes of each group, 0 where there are none."""
     positive = F.when(F.col(rows) > 0, F.col(rows))
-    q = F.percentile(positive, F.array(F.lit(0.5), F.lit(0.9)))
-    out = spans.groupBy(*groups).agg(F.avg(positive).alias("mean"), q.alias("q"), F.max(positive).alias("largest"))
+    out = spans.groupBy(*groups).agg(F.avg(positive).alias("mean"), F.max(positive).alias("largest"))
+    out = _with(out, quantiles(spans, list(groups), positive, [0.5, 0.9]), list(groups))
     zero = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
     return out.select(*groups, zero(F.col("mean")).alias("mean"), zero(F.col("q")[0]).alias("median"), zero(F.col("q")[1]).alias("p90"), zero(F.col("largest")).alias("largest"))
 
@@ -118,15 +168,19 @@ def scorecard(spans: DataFrame, files: str, items: str, millis: str, reads: dict
 
     reads: names of phases (during, after) to predicates; adds median, p90, p99 and the largest of read_millis in each,
     NaN where there are none."""
+    reads, value = reads or {}, F.col(read_millis or millis)
     picks = [F.count_distinct(files).alias("files"), F.count_distinct(items).alias("items"), F.sum(millis).alias("ms")]
-    shown = []
-    for phase, holds in (reads or {}).items():
-        value = F.when(holds, F.col(read_millis or millis))
-        picks += [F.percentile(value, F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99))).alias(f"_{phase}"), F.max(value).cast("double").alias(f"_{phase}_largest")]
+    picks += [F.max(F.when(holds, value)).cast("double").alias(f"_{phase}_largest") for phase, holds in reads.items()]
+    out, shown = spans.agg(*picks), []
+    if reads:
+        each = spans.select(F.explode(F.array(*(F.struct(F.lit(phase).alias("phase"), F.when(holds, value).cast("double").alias("ms")) for phase, holds in reads.items()))).alias("r")).select("r.*")
+        found = quantiles(each, ["phase"], "ms", [0.5, 0.9, 0.99], broadcast=True)
+        out = out.join(found.agg(*(F.max(F.when(F.col("phase") == phase, F.col("q"))).alias(f"_{phase}") for phase in reads)).hint("broadcast"))  # one row each
+    for phase in reads:
         cells = [F.col(f"_{phase}")[i] for i in range(3)] + [F.col(f"_{phase}_largest")]
         shown += [F.coalesce(c, F.lit(float("nan"))).alias(f"{phase}_{n}") for c, n in zip(cells, ("median", "p90", "p99", "largest"), strict=True)]
     rates = [F.try_divide("ms", "files").alias("ms_per_file"), F.try_divide("ms", "items").alias("ms_per_item"), F.try_divide(F.col("items") * 1000.0, F.col("ms")).alias("items_per_s")]
-    return spans.agg(*picks).select("files", "items", "ms", *rates, *shown)
+    return out.select("files", "items", "ms", *rates, *shown)
 
 
 def status_verdict(counts: DataFrame) -> DataFrame:

@@ -147,3 +147,22 @@ def test_failures_stay_in_their_group(spark):
     assert rows(bad) == [("b", "ValueError: no")]
     _, wrong = analysis.apply_to_groups(df, ["g"], lambda g: g.head(1), "g string, v int", one_for_one=True)
     assert [r[0] for r in rows(wrong)] == ["a"]
+
+
+def test_quantiles_are_exact(spark):
+    """Hot groups, ties, few values, infinities, nulls: what the exact aggregate says, which holds a group's values in a task."""
+    tail = F.pow(F.rand(3), F.lit(-3.0))
+    value = F.when(F.col("id") % 7 == 0, F.lit(5.0)).when(F.col("id") % 11 == 0, F.round(tail)).when(F.col("id") % 1013 == 0, F.lit(float("inf"))).when(F.col("id") % 13 == 0, None).otherwise(tail)
+    group = F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 5 == 0, None).otherwise((F.col("id") % 50).cast("string"))
+    some = spark.range(0, 200_000, 1, 4).select(group.alias("g"), value.alias("v")).persist()
+    some = some.unionByName(spark.createDataFrame([("one", 2.0), ("two", 1.0), ("two", 4.0), ("none", None)], "g string, v double"))
+    fractions = [0.0, 0.25, 0.5, 0.9, 0.99, 1.0]
+    expected = {r["g"]: r["q"] for r in some.groupBy("g").agg(F.percentile("v", F.array(*(F.lit(p) for p in fractions))).alias("q")).collect() if r["q"]}
+    for broadcast in (None, False):
+        got = {r["g"]: r["q"] for r in profile.quantiles(some, ["g"], "v", fractions, broadcast).collect()}
+        assert got.keys() == expected.keys() and all(got[g] == pytest.approx(expected[g], rel=1e-12) for g in got)
+    assert profile.quantiles(some, [], "v", [0.5]).first()["q"] == pytest.approx(some.agg(F.percentile("v", F.array(F.lit(0.5)))).first()[0])
+    assert profile.quantiles(some.limit(0), ["g"], "v", [0.5]).count() == 0
+    plan = profile.quantiles(some, ["g"], "v", [0.5])._jdf.queryExecution().toString()
+    assert " percentile(" not in plan
+    assert rows(profile.span_summary(some.limit(0), value="v"), "n", "median") == [(0, 0.0)]
