@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._store import sized, stored
@@ -208,6 +208,23 @@ def leftover_blocks(placed: DataFrame) -> DataFrame:
     return first.unionByName(rest.select("bucket", every(i_parts).alias("i"), j.alias("j"), "id", "component", F.lit(False).alias("first"), "main"))
 
 
+def _short(*more) -> Column:
+    return F.xxhash64(*more, "f1", "f2", "n_shingles")
+
+
+def with_classes(signed: DataFrame) -> DataFrame:
+    """signed with id, which equal sets share and others do not: a short hash of the set's name (f1, f2, n_shingles), where
+    several names have the same one, it stays with the smallest, and the others are hashed anew. Null without a set or a doc_id."""
+    name = F.struct("f1", "f2", "n_shingles")
+    named = signed.withColumn("id", F.when(F.expr("n_shingles > 0 AND doc_id IS NOT NULL"), _short()))
+    several = named.where("id IS NOT NULL").groupBy("id").agg(F.min(name).alias("low"), F.max(name).alias("high")).where("low <> high")
+    several = stored(several.select("id", "low"), "shared-ids")
+    if several.isEmpty():
+        return named
+    other = F.col("low").isNotNull() & (F.col("low") != name)
+    return named.join(sized(several), "id", "left").withColumn("id", F.when(other, F.xxhash64(F.lit("again"), "f1", "f2", "n_shingles")).otherwise(F.col("id"))).drop("low")
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (columns doc_id, text; others are not read).
 
@@ -218,7 +235,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     arise. An empty table gives an empty table.
     """
     least = percent / 100 - MARGIN
-    signed = stored(signatures(docs, bands_for(percent)), "signatures").withColumn("id", F.when(F.expr("n_shingles > 0 AND doc_id IS NOT NULL"), F.xxhash64("f1", "f2", "n_shingles")))
+    signed = with_classes(stored(signatures(docs, bands_for(percent)), "signatures"))
     full = signed.where("id IS NOT NULL")
     # id stands for a class of equal sets; its text is read from the smallest document
     classes = stored(full.groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.min("f1").alias("f1"), F.min("f2").alias("f2")), "classes")

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+from pyspark.sql import functions as F
 
 from itemloom.llm import decontaminate, line_dedup, minhash_dedup, substring_dedup
 
@@ -75,6 +76,16 @@ def test_rows_with_one_id_and_different_texts(table, prose):
     assert got == sorted([(5, 5), (5, 5), (7, 5), (9, 5), (3, 3), (11, 3), (2, 2)], key=str)
 
 
+def test_sets_that_share_a_short_hash_are_told_apart(table, prose, monkeypatch):
+    texts = [prose(60, i) for i in range(12)]
+    df = table([(i, t) for i, t in enumerate([*texts, *texts[:6], texts[0] + " end", "", None, "a b"])])
+    before = sorted(map(tuple, minhash_dedup.near_duplicates(df).collect()))
+    full = minhash_dedup._short
+    monkeypatch.setattr(minhash_dedup, "_short", lambda *more: F.pmod(full(*more), F.lit(3)))
+    assert sorted(map(tuple, minhash_dedup.near_duplicates(df).collect())) == before
+    assert sum(i == c for i, _, c, _ in before) == 15
+
+
 def test_leftovers_of_a_large_bucket_grow_with_its_outliers(spark, monkeypatch):
     n = 5000
     placed = [(1, i, 0 if i != 4321 else 4321) for i in range(n)] + [(2, i, 0) for i in range(n)] + [(3, i, i % 3) for i in range(30)]
