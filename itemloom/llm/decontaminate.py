@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._store import scratch
 from ._text import _LOWER, _SPACE, mix, text_blocks
 
 Q = 8
@@ -277,19 +278,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE) -> Dat
     empty texts. An item without an item_id is an item like any other and gives rows with a null item_id; so does a
     document without a doc_id. Repeated rows are reported as often as they stand in docs; repeated items each. Ties between
     occurrences go to the first end. Texts are searched whole, however long. An empty table on either side gives no row.
-    Only doc_id, item_id and text are read. The benchmark is read in blocks of bounded size, each broadcast and held against
-    all documents; a longer item is a block of its own.
+    Only doc_id, item_id and text are read. A benchmark of up to BLOCK_CHARS characters is one broadcast. A larger one is dealt into
+    blocks of about that size (a longer item is never cut over blocks), one after another broadcast, held against all
+    documents, written to a stored table and released: one index at a time is alive, on the driver and in the workers.
     """
-    sized = benchmark.select("item_id", "text").where("text IS NOT NULL")
-    chars = sized.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = -(-chars // BLOCK_CHARS)
-    out = None
-    for b in range(max(blocks, 1)):
-        rows = sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(max(blocks, 1))) == b).orderBy("item_id", "text").collect()
-        shared = docs.sparkSession.sparkContext.broadcast(Index([r[0] for r in rows], [r[1] for r in rows], rate))
-        part = docs.select("doc_id", "text").mapInArrow(lambda it, s=shared: _scan(it, s), "doc_id long, item_id long, distance long, item_chars long, end long, regions long")
-        out = part if out is None else out.unionByName(part)
-    return out
+    spark, columns = docs.sparkSession, "doc_id long, item_id long, distance long, item_chars long, end long, regions long"
+    items, texts = benchmark.select(F.col("item_id").cast("long"), "text").where("text IS NOT NULL"), docs.select("doc_id", "text")
+    blocks = -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS)
+
+    def index(rows: DataFrame):
+        own = rows.orderBy("item_id", "text").collect()
+        return spark.sparkContext.broadcast(Index([r[0] for r in own], [r[1] for r in own], rate))
+
+    if blocks <= 1:
+        shared = index(items)
+        return texts.mapInArrow(lambda it: _scan(it, shared), columns)
+    dealt, found = scratch(spark, "benchmark"), scratch(spark, "leaks")
+    items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).cast("int")).repartition("block").write.partitionBy("block").parquet(dealt)
+    kept = spark.read.schema("item_id long, text string, block int").parquet(dealt)
+    for b in range(blocks):
+        shared = index(kept.where(F.col("block") == b).select("item_id", "text"))
+        texts.mapInArrow(lambda it, s=shared: _scan(it, s), columns).write.mode("append").parquet(found)
+        shared.destroy()
+    return spark.read.schema(columns).parquet(found)
 
 
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -271,6 +271,46 @@ def test_substring_spans_point_at_their_source(table, prose):
     assert substring_dedup.repeated_spans(table([])).count() == 0
 
 
+def test_substring_dedup_of_ids_with_several_texts(table, prose, monkeypatch):
+    """Each text of a doc_id loses its own repeated words and no others; crowded sources are asked by several rows."""
+    monkeypatch.setattr(substring_dedup, "SPANS_A_ROW", 3)
+    a, b, c = prose(30, 1), prose(30, 2), prose(400, 3)
+    pairs = [(1, f"x {a}"), (2, a), (2, b), (2, b), (3, f"y {b} z"), (3, None), (3, f"{a} {b}"), (4, c), (4, f"{c} {a}"), (None, a), (None, b)]
+    parts = c.split()
+    pairs += [(10 + k, f"own{k} {' '.join(parts[7 * k : 7 * k + 20 + k])} end{k}") for k in range(20)]
+    docs = table(pairs).repartition(3)
+    spans = substring_dedup.repeated_spans(docs, variants=True)
+    got = rows(substring_dedup.remove_repeats(docs.where("doc_id IS NOT NULL"), spans).selectExpr("doc_id", "n_words", "n_removed", "sha2(cast(kept_text as binary), 256)"))
+    assert got == cut_by_force([(i, t) for i, t in pairs if i is not None])
+    assert rows(spans.where("doc_id = 2").select("start", "n", "source_id")) == [(0, 30, 1)]
+    assert {r.n_removed for r in substring_dedup.remove_repeats(docs, spans).where("doc_id IS NULL").collect()} == {0}
+
+
+def test_a_benchmark_of_many_blocks_keeps_one_index_alive(spark, table, prose, monkeypatch):
+    items = [(i, prose(12, 500 + i)) for i in range(60)] + [(None, prose(15, 700)), (61, prose(200, 701)), (62, None), (63, " ")]
+    bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id int, text string, doc_id string")
+    pairs = [(i, f"{prose(20, i)} {items[i % 64][1] or ''} {prose(9, 90 + i)}") for i in range(80)] + [(None, items[5][1]), (7, None), (8, "")]
+    docs = table(pairs).repartition(3)
+    whole = rows(decontaminate.leaks(docs, bench))
+    assert {r[1] for r in whole} == {*range(60), 61, None}
+    alive, most, broadcast = [], [], type(spark.sparkContext).broadcast
+
+    def counted(context, value):
+        made = broadcast(context, value)
+        alive.append(made)
+        most.append(len(alive))
+        destroy = made.destroy
+        made.destroy = lambda *a: (alive.remove(made), destroy(*a))
+        return made
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", counted)
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 100)
+    out = decontaminate.leaks(docs, bench)
+    assert rows(out) == whole
+    assert len(most) > 50 and max(most) == 1 and not alive
+    assert "MapInArrow" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_decontamination(spark, table, prose):
     items = [(i, prose(25, 500 + i)) for i in range(6)] + [(90, None), (91, ""), (92, "short"), (93, prose(25, 500))]
     bench = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, extra int")
