@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.names import Cols, col
 from .tables import ranked
@@ -133,26 +135,81 @@ def slowest_first(profile: DataFrame, by: str = "total", *ties: str) -> DataFram
     return ranked(profile, F.desc(by), *ties, name="rank")
 
 
+#: Times, about, that a block of a thinned series holds at most; a block is never shorter than the gap.
+BLOCK_TIMES = 1 << 18
+
+
+def _leaps(times: np.ndarray, gap: int) -> np.ndarray:
+    """For each of the sorted times, the place of the first one that may be kept after it."""
+    return np.searchsorted(times, times + gap)
+
+
+def _transition(block: pa.Table, series: list[str], gap: int) -> pa.Table:
+    """One row: what a block does to the time that is kept last before it. The first time kept in the block is the first one
+    from the entering bound on; where that is at most froms[i] and over froms[i - 1], the last time kept is exits[i]."""
+    times = np.sort(block.column("kept").to_numpy())
+    leaps, own = _leaps(times, gap), np.arange(len(times))
+    to = np.where(leaps < len(times), leaps, own)
+    while not np.array_equal(further := to[to], to):
+        to = further
+    # what is kept before the block lies before its start, so the bound is less than a gap past that
+    entries = times[: np.searchsorted(times, block.column("_block")[0].as_py() + gap) + 1]
+    exits = times[to[: len(entries)]]
+    last = np.append(exits[1:] != exits[:-1], True)
+    lists = [pa.array([x[last]], pa.list_(pa.int64())) for x in (entries, exits)]
+    return pa.table([*(block.column(c).slice(0, 1) for c in (*series, "_block")), *lists], [*series, "_block", "froms", "exits"])
+
+
+def _entering(batches: Iterator[pa.RecordBatch], series: list[str], gap: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of each series, in order, with the bound that the blocks before leave behind: from where on times may be kept."""
+    own, bound = None, None
+    for batch in batches:
+        bounds, columns = [], [batch.column(c).to_pylist() for c in (*series, "_block")]
+        for i, name in enumerate(zip(*columns, strict=True)):
+            if repr(name[:-1]) != own:
+                own, bound = repr(name[:-1]), None
+            bounds.append(bound)
+            froms, exits = (batch.column(c)[i].values.to_numpy() for c in ("froms", "exits"))
+            at = 0 if bound is None else int(np.searchsorted(froms, bound))
+            if at < len(froms):
+                bound = int(exits[at]) + gap
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*series, "_block")), pa.array(bounds, pa.int64())], [*series, "_block", "_bound"])
+
+
+def _kept(block: pa.Table, bounds: pa.Table, series: list[str], gap: int) -> pa.Table:
+    block, bound = block.select([*series, "kept"]).sort_by("kept"), bounds.column("_bound")[0].as_py()
+    times, chosen = block.column("kept").to_numpy(), []
+    leaps, i = _leaps(times, gap), 0 if bound is None else int(np.searchsorted(times, bound))
+    while i < len(times):
+        chosen.append(i)
+        i = int(leaps[i])
+    return block.take(pa.array(chosen, pa.int64()))
+
+
 def thin(samples: DataFrame, millis: str, gap: int, *series: str) -> DataFrame:
-    """series, kept: the times kept when a sample must be `gap` after the last one kept. Null times are passed over.
-
-    Greedy, so a series is read in the order of time, as a stream of sorted rows of which only the last kept time is held:
-    memory does not grow with a series. Equal series stand side by side in one task."""
-    times = samples.where(F.col(millis).isNotNull()).select(*series, F.col(millis).cast("long").alias("kept"))
-    sorted_ = times.repartition(*series).sortWithinPartitions(*series, "kept") if series else times.coalesce(1).sortWithinPartitions("kept")
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, last = None, None
-        for batch in batches:
-            names, at = list(zip(*(batch.column(c).to_pylist() for c in series), strict=True)) if series else [()] * batch.num_rows, batch.column("kept").to_pylist()
-            rows = []
-            for i, (name, t) in enumerate(zip(names, at, strict=True)):
-                if name != own or last is None or t - last >= gap:
-                    own, last = name, t
-                    rows.append(i)
-            yield batch.take(pa.array(rows, pa.int64()))
-
-    return sorted_.mapInArrow(keep, sorted_.schema)
+    """series, kept: the times kept when a sample must be `gap` after the last one kept. Null times are passed over, equal
+    times are one, unless no gap is asked for: then every time is kept.
+
+    Greedy, but no task holds a series. Its time is cut into blocks of at least a gap and about BLOCK_TIMES distinct times.
+    A block becomes a transition, from the bound that enters it to the time kept last in it, with one entry at most for
+    each time in its first gap; transitions of a series are applied in order, a stream that holds one batch; then each block
+    keeps its times from its own bound on. How many gaps a block has follows from the most distinct times in one gap, which
+    are counted first (one job)."""
+    keys = list(series)
+    times = samples.where(F.col(millis).isNotNull()).select(*keys, F.col(millis).cast("long").alias("kept"))
+    if gap <= 0:
+        return times
+    floor = lambda width: F.col("kept") - F.pmod("kept", F.lit(width).cast("long"))
+    times = times.distinct()
+    crowd = times.groupBy(*keys, floor(gap).alias("_slot")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    blocks = times.withColumn("_block", floor(gap * max(1, BLOCK_TIMES // crowd)))
+    grouped, named = blocks.groupBy(*keys, "_block"), blocks.select(*keys, "_block").schema
+    long = T.LongType()
+    shape = T.StructType([*named, T.StructField("froms", T.ArrayType(long)), T.StructField("exits", T.ArrayType(long))])
+    moves = grouped.applyInArrow(lambda table: _transition(table, keys, gap), shape)
+    dealt = moves.repartition(*keys) if keys else moves.repartition(1)
+    bounds = dealt.sortWithinPartitions(*keys, "_block").mapInArrow(lambda it: _entering(it, keys, gap), T.StructType([*named, T.StructField("_bound", long)]))
+    return grouped.cogroup(bounds.groupBy(*keys, "_block")).applyInArrow(lambda own, bound: _kept(own, bound, keys, gap), times.schema)
 
 
 def power_law(points: DataFrame, x: str, y: str, *groups: str) -> DataFrame:

@@ -166,3 +166,28 @@ def test_quantiles_are_exact(spark):
     plan = profile.quantiles(some, ["g"], "v", [0.5])._jdf.queryExecution().toString()
     assert " percentile(" not in plan
     assert rows(profile.span_summary(some.limit(0), value="v"), "n", "median") == [(0, 0.0)]
+
+
+def test_thinning_of_a_hot_series(spark, monkeypatch):
+    """Blocks of one gap and of many, bursts, pauses, repeated and negative times, null names: as one greedy pass gives."""
+    import random
+
+    rng, gap = random.Random(5), 100
+    hot = [t for base in range(-3000, 9000, 700) for t in (base + rng.randrange(650) for _ in range(rng.choice([1, 3, 90])))]
+    series = {"hot": hot * 2, None: [5 * i for i in range(400)], "gaps": [i * 250 for i in range(20)], "one": [7, 7], "edge": [0, 99, 100, 199, 200, 299, 301, 400]}
+    samples = spark.createDataFrame([(g, t, 1) for g, ts in series.items() for t in (*ts, None)], "g string, t long, kept int").repartition(5)
+
+    def greedy(times, out=()):
+        for t in sorted(times):
+            out = (*out, t) if not out or t - out[-1] >= gap else out
+        return out
+
+    expected = sorted((str(g), t) for g, ts in series.items() for t in greedy(ts))
+    for size in (1, 60, 500, 1 << 18):
+        monkeypatch.setattr(profile, "BLOCK_TIMES", size)
+        got = profile.thin(samples, "t", gap, "g")
+        assert sorted((str(r.g), r.kept) for r in got.collect()) == expected
+    monkeypatch.setattr(profile, "BLOCK_TIMES", 60)
+    assert tuple(sorted(r.kept for r in profile.thin(samples, "t", gap).collect())) == greedy([t for ts in series.values() for t in ts])
+    assert profile.thin(samples.where("t IS NULL"), "t", gap, "g").count() == 0
+    assert profile.thin(samples, "t", 0, "g").count() == sum(len(ts) for ts in series.values())
