@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import changes, hierarchy, metadata, profile, selection, tables
+from ..session import shared_folder
 from ..sources import annotation_files, delimited, parameters
 from ._tables import IDS, NODES, UPS, customer_paths, order_items, order_paths, table, tree
 
@@ -397,7 +398,20 @@ SELECT l_orderkey::VARCHAR AS path, n::INTEGER AS row, unnest([1, 2, 3]) AS "col
   unnest([l_linenumber::VARCHAR, l_quantity::INTEGER::VARCHAR, l_suppkey]) AS value FROM r""")
 def delimited_read(spark, sf_dir):
     lines = _files(spark, sf_dir)
-    return delimited.read_table(lines, delimited.sniff(lines))
+    return delimited.read_table(lines, delimited.sniff(lines)).withColumn("row", F.col("row").cast("int"))
+
+
+@query(r"""
+SELECT doc_id, source, length(t)::BIGINT AS n_chars, md5(t) AS text_md5 FROM (SELECT doc_id, coalesce(source, '') AS source, replace(coalesce(text, ''), chr(13) || chr(10), chr(10)) AS t FROM documents)""")
+def delimited_documents(spark, sf_dir):
+    """Whole texts, of several lines, as cells of files that are cut into splits: written, sniffed and read back."""
+    folder = shared_folder(spark, "csv")
+    table(spark, sf_dir, "documents").select("doc_id", "source", "text").write.options(header=True, quoteAll=True, escape='"', emptyValue='""', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(folder)
+    lines = delimited.read_lines(spark, folder)
+    read = delimited.read_table(lines, delimited.sniff(lines))
+    cell = lambda n: F.max(F.when(F.col("name") == n, F.col("value")))
+    rows = read.groupBy("path", "row").agg(cell("doc_id").cast("bigint").alias("doc_id"), cell("source").alias("source"), cell("text").alias("t"))
+    return rows.select("doc_id", "source", F.length("t").cast("bigint").alias("n_chars"), F.md5("t").alias("text_md5"))
 
 
 @query("""

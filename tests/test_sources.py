@@ -1,3 +1,7 @@
+import csv
+import io
+import random
+
 from itemloom.sources import annotation_files, delimited, directory, parameters
 
 
@@ -88,3 +92,68 @@ def test_a_source_of_items_is_checked(spark, tmp_path):
     assert directory.as_source(directory.discover(spark, str(tmp_path))).count() == 1
     with pytest.raises(TypeError, match="label string"):
         directory.as_source(spark.createDataFrame([("a", 1)], "source_item_id string, label int"))
+
+
+def as_csv_reads(text, delimiter=","):
+    """Rows of well-formed text by Python's csv module, blank lines left out."""
+    return [r for r in csv.reader(io.StringIO(text, newline=""), delimiter=delimiter) if r]
+
+
+def read_rows(lines, layouts=None):
+    cells = delimited.read_table(lines, layouts if layouts is not None else delimited.sniff(lines)).collect()
+    out = {}
+    for c in sorted(cells, key=lambda c: (c["path"], c["row"], c["column"])):
+        out.setdefault(c["path"].rsplit("/", 1)[-1], {}).setdefault(c["row"], []).append(c["value"])
+    assert all(sorted(rows) == list(range(1, len(rows) + 1)) for rows in out.values())
+    return {p: list(rows.values()) for p, rows in out.items()}
+
+
+def random_table(seed, rows, delimiter):
+    r, out = random.Random(seed), io.StringIO(newline="")
+    w = csv.writer(out, delimiter=delimiter, lineterminator="\n")
+    w.writerow(["id", "note", "more"])
+    parts = ["a", "b c", delimiter, '"', '""', "\n", "\n\n", "#", "x" * 5]
+    for i in range(rows):
+        w.writerow([i, *("".join(r.choice(parts) for _ in range(r.randrange(6))).strip(" ") for _ in range(2))])
+    return out.getvalue()
+
+
+def test_cells_over_lines_equal_csv(spark, monkeypatch):
+    files = {f"{i}": random_table(i, 40, delimited.DELIMITERS[i % 3]) for i in range(12)} | {"torn": 'name,size\n"a\nb",4\nc,5\n'}
+    wanted = {p: as_csv_reads(t, delimited.DELIMITERS[int(p) % 3] if p.isdigit() else ",")[1:] for p, t in files.items()}
+    layouts = spark.createDataFrame([(p, delimited.DELIMITERS[int(p) % 3] if p.isdigit() else ",", 1, 2) for p in files], "path string, delimiter string, header_row int, data_start int")
+    for chunk in (1, 3, 7, 1 << 16):
+        monkeypatch.setattr(delimited, "CHUNK_LINES", chunk)
+        assert read_rows(lines(spark, **files), layouts) == wanted
+
+
+def test_quotes_never_closed_are_text(spark, monkeypatch):
+    text = 'k,v\n1,"a\nb"\n# "\n\n2,"open\n3,"x"\n4,"y""z\n5,"4"5\n'
+    for chunk in (1, 2, 5, 1 << 16):
+        monkeypatch.setattr(delimited, "CHUNK_LINES", chunk)
+        # the quotes opened in row 2 are closed on the next line by the first quote that ends a field
+        assert read_rows(lines(spark, a=text, b='k,v\n1,"a\n2,b\n#\n\n3,c\n')) == {"a": [["1", "a\nb"], ["2", 'open\n3,"x'], ["4", '"y""z'], ["5", '"4"5']], "b": [["1", '"a'], ["2", "b"], ["3", "c"]]}
+
+
+def test_a_long_cell_costs_no_stack(spark):
+    long = "x" * 200_000 + '""' * 100_000 + "\n" + "y" * 100_000
+    assert read_rows(lines(spark, a=f'k,v\n1,"{long}"\n')) == {"a": [["1", long.replace('""', '"')]]}
+
+
+def test_files_are_read_in_splits(spark, tmp_path):
+    files = {f"{i}.csv": random_table(i, n, ",") for i, n in enumerate((400, 3, 0))} | {"empty.csv": "", "blank.csv": "\n\n", "dos.csv": "a,b\r\n1,2\r\n", "bare.csv": "a,b\n1,2"}
+    (tmp_path / "d").mkdir()
+    for name, text in files.items():
+        (tmp_path / "d" / name).write_text(text, newline="")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+    try:
+        kept = str(tmp_path / "kept")
+        got = delimited.read_lines(spark, str(tmp_path / "d"), folder=kept)
+        assert spark.read.parquet(kept).select("path", "split").distinct().count() > 20
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    whole = delimited.lines_of(spark.createDataFrame([f for f in files.items() if f[1]], "path string, value string"))
+    assert sorted((r["path"].rsplit("/", 1)[-1], r["line_no"], r["line"]) for r in got.collect()) == rows(whole)
+    assert rows(delimited.layout_errors(delimited.sniff(got)).selectExpr("element_at(split(path, '/'), -1)")) == [("blank.csv",)]
+    assert read_rows(got) == {p: as_csv_reads(files[p])[1:] for p in ("0.csv", "1.csv", "dos.csv", "bare.csv")}
