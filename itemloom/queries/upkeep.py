@@ -408,10 +408,8 @@ def delimited_documents(spark, sf_dir):
     folder = shared_folder(spark, "csv")
     table(spark, sf_dir, "documents").select("doc_id", "source", "text").write.options(header=True, quoteAll=True, escape='"', emptyValue='""', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(folder)
     lines = delimited.read_lines(spark, folder)
-    read = delimited.read_table(lines, delimited.sniff(lines))
-    cell = lambda n: F.max(F.when(F.col("name") == n, F.col("value")))
-    rows = read.groupBy("path", "row").agg(cell("doc_id").cast("bigint").alias("doc_id"), cell("source").alias("source"), cell("text").alias("t"))
-    return rows.select("doc_id", "source", F.length("t").cast("bigint").alias("n_chars"), F.md5("t").alias("text_md5"))
+    rows, text = delimited.read_rows(lines, delimited.sniff(lines)), delimited.cell("text")
+    return rows.select(delimited.cell("doc_id").cast("bigint").alias("doc_id"), delimited.cell("source").alias("source"), F.length(text).cast("bigint").alias("n_chars"), F.md5(text).alias("text_md5"))
 
 
 @query("""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -39,3 +39,19 @@ def shared_folder(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="itemloom-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """df, written as a table (in the shared folder) and read back, so that it is computed once whoever reads it."""
+    folder = folder or shared_folder(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+#: Rows of a few narrow columns that may be broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def sized(small: DataFrame) -> DataFrame:
+    """small, marked for broadcast if it is counted to have few enough rows; beyond that it is joined as any table."""
+    return small.hint("broadcast") if small.count() <= BROADCAST_ROWS else small

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import shared_folder
+from ..session import sized, stored
 
 #: Lines of a file that one group of a window holds.
 CHUNK_LINES = 1 << 16
@@ -33,15 +33,13 @@ def read_lines(spark: SparkSession, root: str, recursive: bool = True, folder: s
 
     The lines are kept once as a table in `folder` (by default a new one under spark.checkpoint.dir), so that their order
     within a split is fixed whatever reads them; the counts of splits, one row each, give the numbers."""
-    folder = folder or shared_folder(spark, "lines")
     text = spark.read.option("lineSep", "\n").option("recursiveFileLookup", recursive).text(root)
     split = F.col("_metadata.file_block_start")
-    text.select(F.col("_metadata.file_path").alias("path"), split.alias("split"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", r"\r\z", "").alias("line")).write.parquet(folder)
-    kept = spark.read.schema("path string, split bigint, at bigint, line string").parquet(folder)
+    kept = stored(text.select(F.col("_metadata.file_path").alias("path"), split.alias("split"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", r"\r\z", "").alias("line")), "lines", folder)
     sizes = kept.groupBy("path", "split").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("path", "split", (before - F.col("first") + 1).alias("shift"))
-    return kept.join(starts, ["path", "split"]).select("path", (F.col("at") + F.col("shift")).alias("line_no"), "line")
+    starts = stored(sizes.select("path", "split", (before - F.col("first") + 1).alias("shift")), "splits")
+    return kept.join(sized(starts), ["path", "split"]).select("path", (F.col("at") + F.col("shift")).alias("line_no"), "line")
 
 
 def fields(line: Column, delimiter: str) -> Column:
@@ -116,7 +114,11 @@ def records(lines: DataFrame) -> DataFrame:
     odd = lambda c: F.pmod(c, F.lit(2))
     off, on = _quotes_after(F.col("line"), F.col("delimiter"))
     filled = (F.trim("line") != "") & ~F.startswith(F.trim("line"), F.lit("#"))
-    turned = lines.withColumn("chunk", F.expr(f"line_no div {CHUNK_LINES}")).withColumns({"off": off, "on": on, "filled": filled.cast("int")})
+    # all uses of the lines share one shuffle: its filters are stated here, and what a line does is one number
+    known = " AND ".join(f"{c} IS NOT NULL" for c in ("path", "line_no", "chunk", "line", "delimiter"))
+    turn = (off + 2 * on + 4 * filled.cast("int")).alias("turn")
+    turned = lines.withColumn("chunk", F.expr(f"line_no div {CHUNK_LINES}")).where(known).select("path", "chunk", "line_no", "line", "delimiter", turn).repartition("path", "chunk")
+    turned = turned.withColumns({n: F.getbit("turn", F.lit(i)).cast("int") for i, n in enumerate(("off", "on", "filled"))})
     turned = turned.withColumn("swap", (F.col("off") > F.col("on")).cast("int")).withColumns({"swaps": F.sum("swap").over(in_chunk), "seen": F.sum("filled").over(in_chunk)})
     # a fixed state, as it would be with no swap in the chunk so far
     turned = turned.withColumn("fixed", F.when(F.col("off") == F.col("on"), odd(F.col("off") + F.col("swaps"))))
@@ -147,9 +149,14 @@ def records(lines: DataFrame) -> DataFrame:
     counted = F.sum(F.when(F.col("before") == 0, F.col("filled")).otherwise(0)).over(in_chunk)
     start = F.coalesce(F.last(F.when(F.col("before") == 0, F.col("line_no")), True).over(in_chunk), F.col("open_row"))
     told = told.withColumns({"start": start, "row": F.when(F.col("before") == 0, F.col("rows_before") + counted)})
-    short = told.where("before = 0 AND after = 0 AND filled = 1").select("path", "row", "line", "delimiter")
-    long = told.where("before = 1 OR after = 1").groupBy("path", "start").agg(F.max("row").alias("row"), F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"), F.first("delimiter").alias("delimiter"))
-    return short.unionByName(long.select("path", "row", F.array_join("l.line", "\n").alias("line"), "delimiter"))
+    one = told.where("before = 0 AND after = 0 AND filled = 1").select("path", "row", "line", "delimiter")
+    # the lines of a row meet in their chunk; only rows that cross its ends, two at most, meet again
+    listed = F.array_sort(F.collect_list(F.struct("line_no", "line")))
+    several = told.where("before = 1 OR after = 1").groupBy("path", "chunk", "start").agg(F.max("row").alias("row"), listed.alias("l"), F.max_by("after", "line_no").alias("after"), F.first("delimiter").alias("delimiter"))
+    several = several.withColumn("crosses", (F.col("after") == 1) | (F.expr(f"start div {CHUNK_LINES}") != F.col("chunk")))
+    crossing = several.where("crosses").groupBy("path", "start").agg(F.max("row").alias("row"), F.flatten(F.array_sort(F.collect_list(F.struct("chunk", "l")))["l"]).alias("l"), F.first("delimiter").alias("delimiter"))
+    joined = lambda df: df.select("path", "row", F.array_join("l.line", "\n").alias("line"), "delimiter")
+    return one.unionByName(joined(several.where("NOT crosses"))).unionByName(joined(crossing))
 
 
 def sniff(lines: DataFrame) -> DataFrame:
@@ -171,22 +178,38 @@ def sniff(lines: DataFrame) -> DataFrame:
         "path", F.when(known, F.col("b.delimiter")).alias("delimiter"), F.when(known & F.col("b.first.header"), F.col("b.first.line_no")).alias("header_row"),
         F.when(known, start).alias("data_start"), F.when(known, F.col("b.first.header")).alias("has_header"), F.when(known, F.col("b.first.width")).alias("width"),
     )
-    rows = lines.join(layout.select("path", "data_start"), "path").groupBy("path").agg(F.count_if((F.col("line_no") >= F.col("data_start")) & (F.trim("line") != "")).alias("n"))
+    filled = lines.where(F.trim("line") != "").select("path", "line_no")
+    rows = filled.join(layout.select("path", "data_start"), "path").groupBy("path").agg(F.count_if(F.col("line_no") >= F.col("data_start")).alias("n"))
     counted = layout.join(rows, "path", "left").withColumn("data_rows", F.when(F.col("data_start").isNotNull(), F.col("n")))
     return counted.select("path", "delimiter", "header_row", "data_start", "has_header", "data_rows", "width")
 
 
-def read_table(lines: DataFrame, layouts: DataFrame, limit: int | None = None) -> DataFrame:
-    """path, row, column, name, value: cells of all files in long form, names verbatim from the header or column1, column2,
-    …; quoted cells without their quotes, those of several lines with \\n between them (see records; a header is one line);
-    with limit, of the first rows of each file."""
-    known = lines.join(layouts.where("delimiter IS NOT NULL AND data_start IS NOT NULL").select("path", "delimiter", "header_row", "data_start"), "path")
+def read_rows(lines: DataFrame, layouts: DataFrame) -> DataFrame:
+    """path, row, names, values: data rows of all files (see records), names verbatim from the header (one line) and null for
+    files without one; quoted cells without their quotes, those of several lines with \\n between them. What is known of each
+    file is kept as a table of one row a file, and joined to its lines by broadcast if such rows are few."""
     cut = by_delimiter(F.col("line"), F.col("delimiter"), cells)
-    heads = known.where(F.col("line_no") == F.col("header_row")).select("path", cut.alias("names"))
-    rows = records(known.where(F.col("line_no") >= F.col("data_start")).select("path", "line_no", "line", "delimiter"))
+    known = stored(layouts.where("delimiter IS NOT NULL AND data_start IS NOT NULL").select("path", "delimiter", "header_row", "data_start"), "layouts")
+    heads = lines.join(sized(known), "path").where(F.col("line_no") == F.col("header_row")).select("path", cut.alias("names"))
+    heads = stored(heads, "heads")
+    data = lines.join(sized(known), "path").where(F.col("line_no") >= F.col("data_start"))
+    rows = records(data.select("path", "line_no", "line", "delimiter"))
+    return rows.join(sized(heads), "path", "left").select("path", "row", "names", cut.alias("values"))
+
+
+def cell(name: str) -> Column:
+    """The value of a named column in read_rows, null where the row or its file has none."""
+    at = F.array_position("names", name)
+    return F.when(at > 0, F.try_element_at("values", at.cast("int")))
+
+
+def read_table(lines: DataFrame, layouts: DataFrame, limit: int | None = None) -> DataFrame:
+    """path, row, column, name, value: cells of all files in long form, of rows as read_rows gives them, columns without a
+    name being column1, column2, …; with limit, of the first rows of each file."""
+    rows = read_rows(lines, layouts)
     if limit is not None:
         rows = rows.where(F.col("row") <= limit)
-    cells_ = rows.join(heads, "path", "left").select("path", "row", "names", F.posexplode(cut).alias("at", "value"))
+    cells_ = rows.select("path", "row", "names", F.posexplode("values").alias("at", "value"))
     name = F.coalesce(F.try_element_at("names", F.col("at") + 1), F.concat(F.lit("column"), (F.col("at") + 1).cast("string")))
     return cells_.select("path", "row", (F.col("at") + 1).alias("column"), name.alias("name"), "value")
 
