@@ -374,8 +374,11 @@ def _files(spark, sf_dir):
     mark = F.element_at(F.array(F.lit(","), F.lit("\t"), F.lit(";")), (k % 3 + 1).cast("int"))
     # some files have quoted cells that hold the delimiter
     supplier = F.when(k % 6 == 0, F.concat(F.lit('"'), F.col("l_suppkey").cast("string"), F.lit('|""x"""'))).otherwise(F.col("l_suppkey").cast("string"))
-    row = F.concat_ws("|", F.col("l_linenumber").cast("string"), F.col("l_quantity").cast("int").cast("string"), supplier)
-    body = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", row.alias("r")))).alias("rows"))
+    quantity, opened = F.col("l_quantity").cast("int").cast("string"), F.when(k % 6 == 0, F.lit('"')).otherwise(F.lit(""))
+    row = F.concat_ws("|", F.col("l_linenumber").cast("string"), quantity, supplier)
+    # lines of one number stand in order of what they say, up to the supplier's last digit
+    order = F.concat(quantity, F.lit("|"), opened, F.col("l_suppkey").cast("string"))
+    body = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", order.alias("o"), row.alias("r")))).alias("rows"))
     rows = F.array_join(F.transform("rows", lambda x: x["r"]), "\n")
     head = F.when(k % 2 == 0, F.lit("line|qty|supplier\n")).otherwise(F.lit(""))
     before = F.when(k % 5 == 0, F.lit("# made for a test\nrun one\n")).otherwise(F.lit(""))
