@@ -15,3 +15,65 @@ def test_lines_of_one_number_stand_in_the_order_of_the_sql(spark, tmp_path):
     wanted = set(c.execute(ORACLE_SQL["delimited_read"]).fetchall())
     assert found == wanted
     assert [v for _, _, c, _, v in sorted(r for r in found if r[0] == "6") if c == 3] == ['5,"x"', '54,"x"', '548,"x"']
+
+
+def _rows(spark, items):
+    """Rows of items (id, values), as interpreted, with the item's id as metadata."""
+    flat = [(i, 1, None, "c", r, v) for i, values in items for r, v in enumerate(values)]
+    rows = spark.createDataFrame(flat, "item_id string, source_item_id bigint, entry string, collection_id string, __row bigint, n bigint").repartition(3, "__row")
+    return rows.selectExpr("*", "map('who', item_id) AS metadata", "map('who', 'string') AS metadata_types")
+
+
+def test_many_items_in_one_batch_are_apart(spark):
+    from itemloom.plans import project
+
+    big = 2**60 + 1
+    items = [("a", [big, 2]), ("b", [3, None]), ("c", [5]), ("d", list(range(25_000))), *((f"e{i:03}", [i]) for i in range(300))]
+    seen = lambda rows, known: {"of": f"{known['who']} {rows['n'].dtype} {len(rows)}", "sum": rows["n"].sum()}
+
+    def fails_for_c(rows, known):
+        if known["who"] == "c":
+            raise ValueError("no c")
+        return rows.assign(m=rows["n"])
+
+    found = {(r["item_id"], r["name"]): r["value"] for r in project.analyze_items(_rows(spark, items), seen).collect()}
+    assert found["a", "of"] == "a int64 2" and found["a", "sum"] == str(big + 2)
+    assert found["b", "of"] == "b float64 2" and found["d", "of"] == "d int64 25000" and found["d", "sum"] == str(sum(range(25_000)))
+    assert len(found) == 2 * len(items)
+    out = project.process_items(_rows(spark, items), fails_for_c, "m bigint").collect()
+    assert [r["_error"] for r in out if r["item_id"] == "c"] == ["ValueError: no c"]
+    held = {i: [r["m"] for r in sorted((r for r in out if r["item_id"] == i), key=lambda r: r["__row"])] for i in "abd"}
+    assert held == {i: v for i, v in items if i in "abd"}
+
+
+def test_python_runs_once_for_each_item(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from itemloom.plans.project import ItemRecipe, Project
+    from itemloom.plans.refresh import LiveCatalogue
+    from itemloom.plans.store import Store
+
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def told(stage, known):
+        with open(calls / stage, "a") as f:
+            f.write(known["who"] + "\n")
+
+    def process(rows, known):
+        told("process", known)
+        if known["who"] == "3":
+            raise ValueError("three")
+        return rows
+
+    def analyze(rows, known):
+        told("analyze", known)
+        return {"n": len(rows)}
+
+    read = lambda s: s.select("source_item_id", F.lit(1.0).alias("x"))
+    recipe = ItemRecipe("k", F.lit(True), read, collection=F.array(F.lit("c")), metadata={"who": F.col("source_item_id")}, process=process, process_schema="x double", analyze=analyze)
+    live = LiveCatalogue(Project().register(recipe), Store(spark, str(tmp_path / "store")))
+    live.refresh(spark.range(1, 6).select(F.col("id").alias("source_item_id"), F.lit("").alias("label"), F.lit("").alias("path"), F.lit("1").alias("fingerprint")))
+    assert sorted((calls / "process").read_text().split()) == list("12345")
+    assert sorted((calls / "analyze").read_text().split()) == list("1245")
+    assert {r["source_item_id"]: r["message"] for r in live.failures().collect()}.keys() == {3}
