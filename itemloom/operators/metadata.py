@@ -55,18 +55,26 @@ def sniffed(rows: DataFrame) -> DataFrame:
     return typed.withColumns({"vtype": known, "value": text}).drop("_t")
 
 
-def fold(layers: DataFrame, *more: str) -> DataFrame:
-    """entity_id, name, value: of each name, the value of the highest layer; within a layer, of the largest `more` columns."""
-    rank = F.struct("layer", *more) if more else F.col("layer")
-    return layers.groupBy("entity_id", "name").agg(F.max_by("value", rank).alias("value"))
+def fold(layers: DataFrame, *more: str, dealt: bool = False) -> DataFrame:
+    """entity_id, name, value: of each name, the value of the highest layer; within a layer, of the largest `more` columns.
 
+    Text is aggregated by sorting. Few rows share a name of an entity, so they are not sorted and combined where they are
+    read, in tasks as large as the input's, but dealt by entity first; dealt: they are already."""
+    if more:
+        return layers.groupBy("entity_id", "name").agg(F.max_by("value", F.struct("layer", *more)).alias("value"))
+    return _dealt(layers, dealt).groupBy("entity_id", "name").agg(F.max_by("value", "layer").alias("value"))
 
-def fold_typed(layers: DataFrame) -> DataFrame:
+
+def fold_typed(layers: DataFrame, dealt: bool = False) -> DataFrame:
     """entity_id, name, value, vtype: as fold, with the type of the value that wins."""
-    held = layers.groupBy("entity_id", "name").agg(F.max_by(F.struct("value", "vtype"), "layer").alias("v"))
+    held = _dealt(layers, dealt).groupBy("entity_id", "name").agg(F.max_by(F.struct("value", "vtype"), "layer").alias("v"))
     return held.select("entity_id", "name", "v.value", "v.vtype")
 
 
+def _dealt(layers: DataFrame, already: bool) -> DataFrame:
+    return layers if already else layers.repartition("entity_id")
+
+
 def fold_maps(maps: Cols) -> Column:
     """An array of maps merged in order, later keys winning (needs the session's LAST_WIN policy)."""
     empty = F.expr("cast(map() as map<string, string>)")
@@ -151,7 +159,7 @@ def query_view(items: DataFrame, metadata: DataFrame) -> DataFrame:
 
 def changed_entities(old: DataFrame, new: DataFrame) -> DataFrame:
     """entity_id of those whose folded metadata differ between two versions (entity_id, name, value)."""
-    both = old.withColumn("side", F.lit(-1)).unionByName(new.withColumn("side", F.lit(1)))
+    both = old.withColumn("side", F.lit(-1)).unionByName(new.withColumn("side", F.lit(1))).repartition("entity_id")
     return both.groupBy("entity_id", "name", "value").agg(F.sum("side").alias("balance")).where("balance <> 0").select("entity_id").distinct()
 
 

@@ -77,3 +77,25 @@ def test_python_runs_once_for_each_item(spark, tmp_path):
     assert sorted((calls / "process").read_text().split()) == list("12345")
     assert sorted((calls / "analyze").read_text().split()) == list("1245")
     assert {r["source_item_id"]: r["message"] for r in live.failures().collect()}.keys() == {3}
+
+
+def _below_exchange(df):
+    """The part of a plan under its last shuffle."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan[plan.rindex("Exchange") :]
+
+
+def test_text_is_not_aggregated_before_it_is_dealt(spark):
+    from itemloom.operators import changes, metadata
+
+    layers = spark.createDataFrame([("i", 0, "x", "a", "string"), ("i", 4, "x", "b", "string")], "entity_id string, layer int, name string, value string, vtype string")
+    log = layers.selectExpr("*", "1L AS revision", "'upsert' AS op")
+    for df in (metadata.fold(layers), metadata.fold_typed(layers), changes.latest(log, "entity_id", "layer", "name", by="entity_id")):
+        assert "Aggregate" not in _below_exchange(df)
+    assert [r["value"] for r in metadata.fold(layers).collect()] == ["b"]
+
+
+def test_a_task_reads_a_bounded_part_of_a_shuffle(spark):
+    from itemloom.session import prepare
+
+    assert prepare(spark).conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16m"
