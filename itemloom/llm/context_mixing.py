@@ -100,61 +100,66 @@ class Mixer:
         grid = np.linspace(-8, 8, self.BUCKETS)
         self.refined = np.broadcast_to(1 / (1 + np.exp(-grid)), (256, self.BUCKETS)).astype(np.float32).copy()
         self.used = [np.zeros(n, np.int64) for n in (len(self.by_reach), 256, self.refined.size)]
+        self.scorer: Scorer | None = None
 
     def values(self) -> list[np.ndarray]:
         """What learn() moves; used[i] counts how often it moved each row of the i-th."""
         return [self.by_reach, self.by_bits, self.refined.reshape(-1, 1)]
 
-    def _places(self, keys: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-        return [_bases(k, _context(keys, k)) for k in range(ORDERS)], _place(keys)
-
-    def _inputs(self, byte: np.ndarray, bases: list[np.ndarray], place: np.ndarray, bit: int):
+    def _inputs(self, keys: np.ndarray):
+        """Log-odds (order, bit, key), and for each bit of each key's last byte: its gate, its node and whether it is one."""
+        byte, bit = (keys & np.uint64(255)).astype(np.int64), np.arange(8)[:, None]
         node = (1 << bit) | (byte >> (8 - bit))
-        x = np.empty((len(byte), ORDERS), np.float32)
-        reach = np.zeros(len(byte), np.int64)
+        x, reach = np.empty((ORDERS, *node.shape), np.float32), np.zeros(node.shape, np.uint8)
         for k in range(ORDERS):
-            x[:, k] = self.tables[k][bases[k] ^ node]
-            reach[x[:, k] != 0] = k + 1
-        return x, reach * ORDERS + place, node, ((byte >> (7 - bit)) & 1).astype(np.float32)
+            x[k] = self.tables[k].take(_cells(k, _context(keys, k), node))
+            np.maximum(reach, (x[k] != 0).view(np.uint8) * np.uint8(k + 1), out=reach)
+        return x, reach.astype(np.int64) * ORDERS + _place(keys), node, ((byte >> (7 - bit)) & 1).astype(np.float32)
 
     def _predict(self, x, gate, node):
-        mixed = (x * (self.by_reach[gate] + self.by_bits[node])).sum(axis=1).clip(-12, 12)
+        mixed = np.zeros(gate.shape, np.float32)
+        for own, by_reach, by_bits in zip(x, self.by_reach.T.copy(), self.by_bits.T.copy(), strict=True):
+            weight = by_reach.take(gate)
+            weight += by_bits.take(node)
+            weight *= own
+            mixed += weight
+        mixed = mixed.clip(-12, 12)
         p = 1 / (1 + np.exp(-mixed))
         spot = (mixed.clip(-8, 8) + 8) * ((self.BUCKETS - 1) / 16)
-        low = np.minimum(spot.astype(np.int64), self.BUCKETS - 2)
-        part = (spot - low).astype(np.float32)
-        fine = self.refined[node, low] * (1 - part) + self.refined[node, low + 1] * part
-        return p, low + (part > 0.5), (0.5 * p + 0.5 * fine).clip(1e-5, 1 - 1e-5)
+        low = np.minimum(spot.astype(np.int32), self.BUCKETS - 2)
+        part = spot - low.astype(np.float32)
+        at, flat = node * self.BUCKETS + low, self.refined.reshape(-1)
+        fine = flat.take(at) * (1 - part) + flat.take(at + 1) * part
+        return p, at + (part > 0.5), (0.5 * p + 0.5 * fine).clip(1e-5, 1 - 1e-5)
 
     def learn(self, keys: np.ndarray, rate: float, step: int = 256) -> None:
         """Online, in the order of keys: predict a few bytes, then move weights and map toward what came."""
         for at in range(0, len(keys), step):
-            some = keys[at : at + step]
-            (bases, place), byte = self._places(some), (some & np.uint64(255)).astype(np.int64)
+            inputs, gates, nodes, ones = self._inputs(keys[at : at + step])
             for bit in range(8):
-                x, gate, node, y = self._inputs(byte, bases, place, bit)
-                p, bucket, _ = self._predict(x, gate, node)
-                move = (rate * (y - p))[:, None] * x
-                for i, (own, weights) in enumerate(((gate, self.by_reach), (node, self.by_bits))):
-                    spot = (own[:, None] * ORDERS + np.arange(ORDERS)).reshape(-1)
-                    total = np.bincount(spot, move.reshape(-1), weights.size).reshape(weights.shape)
+                x, gate, node, y = inputs[:, bit], gates[bit], nodes[bit], ones[bit]
+                p, spot, _ = self._predict(x, gate, node)
+                move = rate * (y - p) * x
+                low, high = 1 << bit, 2 << bit  # the nodes of this bit
+                for own, weights, used in ((gate, self.by_reach, self.used[0]), (node - low, self.by_bits[low:high], self.used[1][low:high])):
+                    total = np.stack([np.bincount(own, m, len(weights)) for m in move], axis=1)
                     count = np.bincount(own, minlength=len(weights))
                     weights += (total / np.sqrt(np.maximum(count, 1))[:, None]).astype(np.float32)
-                    self.used[i] += count
-                spot = node * self.BUCKETS + bucket
-                count, flat = np.bincount(spot, minlength=self.refined.size), self.refined.reshape(-1)
-                mean = np.bincount(spot, y, self.refined.size) / np.maximum(count, 1)
+                    used += count
+                low, high = low * self.BUCKETS, high * self.BUCKETS
+                spot, flat = spot - low, self.refined.reshape(-1)[low:high]
+                count = np.bincount(spot, minlength=len(flat))
+                mean = np.bincount(spot, y, len(flat)) / np.maximum(count, 1)
                 flat += ((1 - 0.99**count) * (mean - flat)).astype(np.float32)  # as count moves by a hundredth of the way
-                self.used[2] += count
-                np.clip(self.refined, 1e-4, 1 - 1e-4, out=self.refined)
+                self.used[2][low:high] += count
+                np.clip(flat, 1e-4, 1 - 1e-4, out=flat)
 
     def bits(self, keys: np.ndarray) -> np.ndarray:
         """Bits that each key's last byte takes after those before it."""
-        (bases, place), byte, total = self._places(keys), (keys & np.uint64(255)).astype(np.int64), np.zeros(len(keys), np.float64)
-        for bit in range(8):
-            x, gate, node, y = self._inputs(byte, bases, place, bit)
-            p = self._predict(x, gate, node)[2]
-            total -= np.log2(np.where(y > 0, p, 1 - p))
+        x, gate, node, y = self._inputs(keys)
+        p, total = self._predict(x, gate, node)[2], np.zeros(len(keys), np.float64)
+        for bit in np.log2(np.where(y > 0, p, 1 - p)):
+            total -= bit
         return total
 
 
@@ -168,12 +173,19 @@ class Scorer:
         self.keys = np.full(1 << self.SLOTS, np.iinfo(np.uint64).max, np.uint64)
         self.values = np.zeros(1 << self.SLOTS, np.float64)
 
+    @classmethod
+    def of(cls, mixer: Mixer) -> Scorer:
+        """The scorer of a finished mixer, kept with it: a worker's tasks share one broadcast mixer, and so what is remembered."""
+        if mixer.scorer is None:
+            mixer.scorer = cls(mixer)
+        return mixer.scorer
+
     def bits(self, keys: np.ndarray) -> np.ndarray:
         slot = (mix(keys) >> np.uint64(64 - self.SLOTS)).astype(np.int64)
         out, new = self.values[slot], self.keys[slot] != keys
         if new.any():
             distinct, back = np.unique(keys[new], return_inverse=True)
-            value = np.concatenate([self.mixer.bits(distinct[i : i + 8192]) for i in range(0, len(distinct), 8192)])
+            value = np.concatenate([self.mixer.bits(distinct[i : i + 2048]) for i in range(0, len(distinct), 2048)])
             out[new] = value[back]
             slot = (mix(distinct) >> np.uint64(64 - self.SLOTS)).astype(np.int64)
             self.keys[slot], self.values[slot] = distinct, value
@@ -414,7 +426,7 @@ def _frequent(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Reco
 def _score(batches: Iterator[pa.RecordBatch], shared, parts: int) -> Iterator[pa.RecordBatch]:
     """A row for each document, with its frequent words counted, and packed rows of its other words by hash range."""
     mixer, frequent, counts, logs = shared.value
-    scorer, task, n_rows = Scorer(mixer), TaskContext.get().partitionId(), 0
+    scorer, task, n_rows = Scorer.of(mixer), TaskContext.get().partitionId(), 0
     names = ["part", "packed", "row", "doc_id", "held_out", "n_tokens", "n_bytes", "n_known", "base", "score"]
     for batch in batches:
         for rows, data, offsets in text_blocks(batch, limit=_BLOCK):

@@ -268,6 +268,20 @@ def test_scores_against_a_plain_model(spark, table, prose):
         assert r["bits_per_byte"] == pytest.approx(-r["score"] * math.log2(10) / (len((text_of[r["doc_id"]] or "").encode()) + 1))
 
 
+def test_tasks_of_a_worker_share_what_was_scored(prose, monkeypatch):
+    import pyarrow as pa
+
+    mixer, asked = context_mixing.Mixer([np.zeros(1 << b, np.float16) for b in context_mixing.CELL_BITS]), []
+    monkeypatch.setattr(mixer, "bits", lambda keys: asked.append(len(keys)) or np.ones(len(keys)))
+    monkeypatch.setattr(context_mixing.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 3})())
+    shared = type("Shared", (), {"value": (mixer, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0))})
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "held_out": [False, True], "text": [prose(40, 1), prose(40, 2)]})
+    scores = [next(context_mixing._score(iter([batch]), shared, 8)).column("score").to_pylist() for _ in range(3)]
+    assert scores[0] == scores[1] == scores[2] and all(scores[0])
+    padded = ["\0" * 6 + t + "\xff" for t in batch["text"].to_pylist()]
+    assert sum(asked) < 1.5 * len({t[i : i + 7] for t in padded for i in range(len(t) - 6)})
+
+
 def test_empty_corpus(table):
     assert context_mixing.score_texts(table([])).count() == 0
 
