@@ -370,7 +370,7 @@ def ordered_index(spark, sf_dir):
 
 def _files(spark, sf_dir):
     """A text file for each order: comma, tab or semicolon, some with a comment and a preamble, some without a header."""
-    k = F.col("l_orderkey")
+    k = F.col("path").cast("bigint")
     mark = F.element_at(F.array(F.lit(","), F.lit("\t"), F.lit(";")), (k % 3 + 1).cast("int"))
     # some files have quoted cells that hold the delimiter
     supplier = F.when(k % 6 == 0, F.concat(F.lit('"'), F.col("l_suppkey").cast("string"), F.lit('|""x"""'))).otherwise(F.col("l_suppkey").cast("string"))
@@ -378,12 +378,14 @@ def _files(spark, sf_dir):
     row = F.concat_ws("|", F.col("l_linenumber").cast("string"), quantity, supplier)
     # lines of one number stand in order of what they say, up to the supplier's last digit
     order = F.concat(quantity, F.lit("|"), opened, F.col("l_suppkey").cast("string"))
-    body = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", order.alias("o"), row.alias("r")))).alias("rows"))
+    # dealt by path before lines are made of them: the columns are smaller than the text, and a file's lines stay together
+    parts = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("path"), "l_linenumber", "l_quantity", "l_suppkey").repartition("path")
+    body = parts.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", order.alias("o"), row.alias("r")))).alias("rows"))
     rows = F.array_join(F.transform("rows", lambda x: x["r"]), "\n")
     head = F.when(k % 2 == 0, F.lit("line|qty|supplier\n")).otherwise(F.lit(""))
     before = F.when(k % 5 == 0, F.lit("# made for a test\nrun one\n")).otherwise(F.lit(""))
     text = F.concat(before, F.replace(F.concat(head, rows), F.lit("|"), mark), F.lit("\n"))
-    return delimited.lines_of(body.select(k.cast("string").alias("path"), text.alias("value")))
+    return delimited.lines_of(body.select("path", text.alias("value")))
 
 
 @query(r"""

@@ -165,23 +165,33 @@ def sniff(lines: DataFrame) -> DataFrame:
     The delimiter with most further fields over the first lines wins, of equals the earlier candidate; files where none
     has any get null. The first line with two fields or more is the header, unless all of them are numbers: then the file
     has no header, header_row is null, and that line is the first of data. Fields are counted at delimiters, in quotes or
-    not. Each file's lines are cut once."""
-    shape = lambda d: F.transform(fields(F.col("line"), d), lambda x: ~F.rlike(x, F.lit(_NUMBER)))  # noqa: E731  which fields are no numbers
-    cut = lines.select("path", "line_no", (F.trim("line") != "").alias("filled"), *(shape(d).alias(f"f{i}") for i, d in enumerate(DELIMITERS)))
-    first = lambda i: F.min(F.when(F.size(f"f{i}") >= 2, F.struct("line_no", F.size(f"f{i}").alias("width"), F.exists(f"f{i}", lambda x: x).alias("header"))))
-    vote = lambda i: F.sum(F.when(F.col("line_no") <= VOTING_LINES, F.greatest(F.size(f"f{i}") - 1, F.lit(0))).otherwise(0))
-    seen = cut.groupBy("path").agg(*(F.struct(vote(i).alias("score"), F.lit(-i).alias("order"), F.lit(d).alias("delimiter"), first(i).alias("first")).alias(f"c{i}") for i, d in enumerate(DELIMITERS)))
-    best = seen.select("path", F.greatest(*(f"c{i}" for i in range(len(DELIMITERS)))).alias("b"))
-    start = F.col("b.first.line_no") + F.col("b.first.header").cast("int")
-    known = F.col("b.score") > 0
-    layout = best.select(
-        "path", F.when(known, F.col("b.delimiter")).alias("delimiter"), F.when(known & F.col("b.first.header"), F.col("b.first.line_no")).alias("header_row"),
-        F.when(known, start).alias("data_start"), F.when(known, F.col("b.first.header")).alias("has_header"), F.when(known, F.col("b.first.width")).alias("width"),
+    not. Each file's lines are read and cut once: within a chunk of lines, and then over a file's chunks, it is known how
+    many filled lines come before the first one with two fields, whichever delimiter wins."""
+    text = F.trim("line")
+    filled = F.coalesce(text != "", F.lit(False))
+    width = lambda d: F.when(filled & ~F.startswith(text, F.lit("#")), F.length(text) - F.length(F.replace(text, F.lit(d), F.lit(""))) + 1).otherwise(0)
+    named = lambda d: F.exists(F.split(text, d, -1), lambda x: ~F.rlike(F.trim(x), F.lit(_NUMBER)))
+    each = range(len(DELIMITERS))
+    cut = lines.select("path", F.expr(f"line_no div {CHUNK_LINES}").alias("chunk"), "line_no", filled.alias("filled"), *(width(d).alias(f"w{i}") for i, d in enumerate(DELIMITERS)), "line")
+    cut = cut.select("path", "chunk", "line_no", "filled", *(f"w{i}" for i in each), *(F.when(F.col(f"w{i}") >= 2, named(d)).alias(f"h{i}") for i, d in enumerate(DELIMITERS)))
+    so_far = Window.partitionBy("path", "chunk").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    cut = cut.withColumns({f"narrow{i}": F.col("filled") & (F.max(f"w{i}").over(so_far) < 2) for i in each})
+    vote = lambda i: F.sum(F.when(F.col("line_no") <= VOTING_LINES, F.greatest(F.col(f"w{i}") - 1, F.lit(0))).otherwise(0))
+    first = lambda i: F.min(F.when(F.col(f"w{i}") >= 2, F.struct("line_no", F.col(f"w{i}").alias("width"), F.col(f"h{i}").alias("header"))))
+    sums = {k: v for i in each for k, v in {f"score{i}": vote(i), f"first{i}": first(i), f"before{i}": F.count_if(f"narrow{i}")}.items()}
+    chunks = cut.groupBy("path", "chunk").agg(F.count_if("filled").alias("filled"), *(c.alias(n) for n, c in sums.items()))
+    chunks = chunks.withColumns({f"first{i}": F.min(f"first{i}").over(Window.partitionBy("path")) for i in each})
+    before = lambda i: F.sum(F.when(F.col("chunk") <= F.expr(f"first{i}.line_no div {CHUNK_LINES}"), F.col(f"before{i}")))
+    shape = lambda i, d: F.struct(F.sum(f"score{i}").alias("score"), F.lit(-i).alias("order"), F.lit(d).alias("delimiter"), F.min(f"first{i}").alias("first"), before(i).alias("before"))
+    seen = chunks.groupBy("path").agg(F.sum("filled").alias("filled"), *(shape(i, d).alias(f"c{i}") for i, d in enumerate(DELIMITERS)))
+    best = seen.select("path", "filled", F.greatest(*(f"c{i}" for i in each)).alias("b"))
+    header = F.col("b.first.header").cast("int")
+    told = lambda c: F.when(F.col("b.score") > 0, c)
+    return best.select(
+        "path", told(F.col("b.delimiter")).alias("delimiter"), told(F.when(F.col("b.first.header"), F.col("b.first.line_no"))).alias("header_row"),
+        told(F.col("b.first.line_no") + header).alias("data_start"), told(F.col("b.first.header")).alias("has_header"),
+        told(F.col("filled") - F.col("b.before") - header).alias("data_rows"), told(F.col("b.first.width")).alias("width"),
     )
-    filled = lines.where(F.trim("line") != "").select("path", "line_no")
-    rows = filled.join(layout.select("path", "data_start"), "path").groupBy("path").agg(F.count_if(F.col("line_no") >= F.col("data_start")).alias("n"))
-    counted = layout.join(rows, "path", "left").withColumn("data_rows", F.when(F.col("data_start").isNotNull(), F.col("n")))
-    return counted.select("path", "delimiter", "header_row", "data_start", "has_header", "data_rows", "width")
 
 
 def read_rows(lines: DataFrame, layouts: DataFrame) -> DataFrame:

@@ -99,3 +99,17 @@ def test_a_task_reads_a_bounded_part_of_a_shuffle(spark):
     from itemloom.session import prepare
 
     assert prepare(spark).conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16m"
+
+
+def test_a_sniff_reads_lines_once_and_counts_rows_behind_any_line(spark, monkeypatch):
+    from itemloom.sources import delimited
+
+    files = {"a": "# x\nalone\n\nk,v\n1,2\nloose\n# y\n3,4\n", "b": "1;2\n\n3;4;5,6\n", "c": "one\n\ntwo\n", "d": "t\n#\n\ti\tj\nu\n,\n"}
+    lines = delimited.lines_of(spark.createDataFrame(list(files.items()), "path string, value string").repartition("path"))
+    want = {"a": (4, 5, 4, 2), "b": (None, 1, 2, 2), "c": (None, None, None, None), "d": (3, 4, 2, 3)}
+    for size in (1 << 16, 3, 2, 1):
+        monkeypatch.setattr(delimited, "CHUNK_LINES", size)
+        df = delimited.sniff(lines)
+        assert {r["path"]: (r["header_row"], r["data_start"], r["data_rows"], r["width"]) for r in df.collect()} == want, size
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Generate ") == 1 and "Join" not in plan
