@@ -113,3 +113,17 @@ def test_a_sniff_reads_lines_once_and_counts_rows_behind_any_line(spark, monkeyp
         assert {r["path"]: (r["header_row"], r["data_start"], r["data_rows"], r["width"]) for r in df.collect()} == want, size
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("Generate ") == 1 and "Join" not in plan
+
+
+def test_readers_of_payloads_compute_rows_once(spark, tmp_path):
+    from itemloom.queries import live
+    from itemloom.session import stored
+
+    data, kept = "/root/testdata/sf0.001", []
+    seen = live._catalogue(spark, data, keep=lambda name, df: kept.append(name) or stored(df, name, str(tmp_path / name))).payloads
+    assert sorted(kept) == ["folds-large", "folds-small", "rows-large", "rows-small"]
+    for kind, plain in live._catalogue(spark, data).payloads.items():
+        plan = seen[kind]._jdf.queryExecution().executedPlan().toString()
+        assert "lineitem" not in plan and "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+        rows = lambda df: sorted(map(tuple, df.select("item_id", "l_extendedprice", "scaled", "share").collect()))
+        assert rows(seen[kind]) == rows(plain)
