@@ -186,3 +186,25 @@ def test_a_node_is_named_alike_at_any_depth(spark):
     rows = spark.createDataFrame([(p,) for p in paths], "p array<string>")
     got = rows.select(hierarchy.node_id("p").alias("a"), F.try_element_at(hierarchy.id_path("p"), F.lit(-1)).alias("b")).collect()
     assert all(r["a"] == r["b"] for r in got) and len({r["a"] for r in got}) == 7
+
+
+def test_effective_metadata_are_sorted_once(spark):
+    from itemloom.plans import pipeline
+
+    rows = [("i", 0, "x", "low", "string"), ("i", 2, "x", "7", "bigint"), ("i", 1, "x", "mid", "string"), ("i", 4, "x", "found", "string"), ("i", 0, "y", "a", "string"), ("j", 3, "x", "b", "string")]
+    maps = pipeline.effective_maps(spark.createDataFrame(rows, "entity_id string, layer int, name string, value string, vtype string"))
+    assert "SortAggregate" not in maps._jdf.queryExecution().executedPlan().toString()
+    got = {r["item_id"]: (r["metadata"], r["metadata_types"]) for r in maps.collect()}
+    assert got == {"i": ({"x": "7", "y": "a"}, {"x": "bigint", "y": "string"}), "j": ({"x": "b"}, {"x": "string"})}
+
+
+def test_tables_of_items_in_a_batch_are_their_own(spark):
+    from itemloom.plans import project
+
+    def first(rows, known):
+        rows.loc[0, "n"] = -1
+        rows["m"] = list(rows.index)
+        return {"of": f"{rows['n'].tolist()} {rows['m'].tolist()}"}
+
+    found = {r["item_id"]: r["value"] for r in project.analyze_items(_rows(spark, [("a", [1, 2]), ("b", [3]), ("c", [4, 5, 6])]), first).collect()}
+    assert found == {"a": "[-1, 2] [0, 1]", "b": "[-1] [0]", "c": "[-1, 5, 6] [0, 1, 2]"}
